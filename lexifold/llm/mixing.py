@@ -79,7 +79,7 @@ def draw(sources: DataFrame, seed: int = 0) -> DataFrame:
     """(source_ix, pass, block, shard, place): one row per draw. Shards have about SHARD_DRAWS rows, ordered by place."""
     run = sources.withColumn("shards", F.ceil(F.sum("draws").over(Window.partitionBy()) / SHARD_DRAWS).cast("long")).where("draws > 0")
     run = run.withColumn("lo", F.explode(F.sequence(F.lit(0).cast("long"), F.col("draws") - 1, F.lit(SEQUENCE).cast("long"))))
-    run = run.repartition("source_ix", "lo")  # a source with a third of all draws is made by many tasks
+    run = run.repartition(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source_ix", "lo")  # a source with a third of all draws is made by many tasks
     k = run.withColumn("k", F.explode(F.sequence("lo", F.least(F.col("lo") + SEQUENCE, F.col("draws")) - 1)))
     k = k.select("source_ix", "blocks", "shards", F.lit(seed).alias("seed"), "k", F.floor(F.col("k") / F.col("blocks")).cast("long").alias("pass"))
     k = k.withColumn("block", permuted(F.col("k") % F.col("blocks"), F.col("blocks"), F.col("seed"), F.col("source_ix"), F.col("pass")))
@@ -110,7 +110,7 @@ def mix(docs: DataFrame, seed: int = 0, block_words: int = BLOCK_WORDS) -> tuple
 
 def taken(cut: DataFrame, drawn: DataFrame) -> DataFrame:
     uses = drawn.groupBy("source_ix", "block").agg(F.count("*").alias("uses"))
-    each = cut.join(uses, ["source_ix", "block"], "left")
+    each = cut.join(uses.hint("merge"), ["source_ix", "block"], "left")
     words = F.coalesce(F.sum((F.col("hi") - F.col("lo")) * F.col("uses")), F.lit(0)).cast("long")
     return each.groupBy("doc_id", "size", "source_ix", "start", "source_size", "target").agg(words.alias("taken"), F.count("*").alias("_n"))
 
@@ -123,12 +123,12 @@ def mixed_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
     """
     names = docs.columns
     _, cut, drawn = mix(docs, seed)
-    spans = cut.where("lo IS NOT NULL").join(drawn.select("source_ix", "block", "pass"), ["source_ix", "block"])
+    spans = cut.where("lo IS NOT NULL").join(drawn.select("source_ix", "block", "pass").hint("merge"), ["source_ix", "block"])
     runs = spans.groupBy("doc_id", "size", "source", "pass").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("runs"))
     runs = runs.withColumnsRenamed({c: f"_{c}" for c in runs.columns})
     sized = sizes(docs)
     same = (F.col("doc_id").eqNullSafe(F.col("_doc_id"))) & (F.col("size") == F.col("_size")) & (F.col("source").eqNullSafe(F.col("_source")))
-    both = sized.join(runs, same, "left").where("size = 0 OR _runs IS NOT NULL")
+    both = sized.join(runs.hint("merge"), same, "left").where("size = 0 OR _runs IS NOT NULL")
     words = F.regexp_extract_all("text", F.lit(f"({GAP}{WORD}{GAP})"), F.lit(1))
     part = F.array_join(F.flatten(F.transform("_runs", lambda r: F.slice(F.col("_words"), (r["lo"] + 1).cast("int"), (r["hi"] - r["lo"]).cast("int")))), "")
     whole = F.aggregate("_runs", F.lit(0).cast("long"), lambda a, r: a + r["hi"] - r["lo"]) == F.col("size")
