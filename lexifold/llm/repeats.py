@@ -244,6 +244,8 @@ def find(parsed: DataFrame, parts: int) -> DataFrame:
 
 def merge(lo: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs of overlapping or touching spans."""
+    if not lo.size:
+        return lo, end
     order = np.argsort(lo, kind="stable")
     lo, end = lo[order], np.maximum.accumulate(end[order])
     new = np.ones(lo.size, bool)
