@@ -30,12 +30,12 @@ DEPTH, KMER = 50, 12
 SLACK = DEPTH - KMER + 1
 #: Bytes on either side of a trigger, one of which two phrases must share with it if they share a window.
 SIDE = 16
-CHUNK = 4 << 20
+CHUNK, PART = 8 << 20, 4 << 20
 LAST = np.iinfo(np.int64).max
 
 
-def _pack(x: np.ndarray) -> bytes:
-    return zstandard.compress(np.ascontiguousarray(x).tobytes(), 1)
+def _pack(x: np.ndarray, level: int = 1) -> bytes:
+    return zstandard.compress(np.ascontiguousarray(x).tobytes(), level)
 
 
 def _open(b: bytes, kind: type) -> np.ndarray:
@@ -89,11 +89,22 @@ def parse(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def contents(data: np.ndarray, lo: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A hash of the bytes of each range."""
+    """A hash of the bytes of each range: a difference of running sums, moved to the start by the base's inverse."""
     total = np.zeros(data.size + 1, U64)
-    np.cumsum(_BYTE[data] * powers(_BASE, data.size), out=total[1:])
-    inverse = U64(pow(int(_BASE), -1, 1 << 64))
-    return mix64((total[end] - total[lo]) * powers(inverse, data.size + 1)[lo] ^ (end - lo).astype(U64))
+    np.take(_BYTE, data, out=total[1:])
+    total[1:] *= powers(_BASE, data.size)
+    np.cumsum(total, out=total)
+    inverse = pow(int(_BASE), -1, 1 << 64)
+    small, large = powers(U64(inverse), 1 << 16), powers(U64(pow(inverse, 1 << 16, 1 << 64)), (data.size >> 16) + 1)
+    return mix64((total[end] - total[lo]) * small[lo & 0xFFFF] * large[lo >> 16] ^ (end - lo).astype(U64))
+
+
+def eight(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each of some positions on as one number."""
+    out = np.zeros(at.size, U64)
+    for k in range(8):
+        out |= data[np.clip(at + k, 0, data.size - 1)].astype(U64) << U64(8 * k)
+    return out
 
 
 def gather(data: np.ndarray, lo: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -136,7 +147,7 @@ def dictionary(docs: DataFrame, buckets: int) -> DataFrame:
                     docs_here, number = np.unique(row[i], return_inverse=True)
                     body = [gather(data, lo[i], hi[i] + DEPTH - lo[i]), (hi[i] - lo[i]).astype(np.uint8), (trigger[i] - lo[i]).astype(np.uint8), np.diff(lo[i] - offsets[row[i]], prepend=0).astype(np.int32), np.diff(number, prepend=0).astype(np.int16 if len(docs_here) < 1 << 15 else np.int32)]
                     wide = body[-1].dtype == np.int32
-                    out.append((int(bucket[i[0]]), False, [*map(_pack, body), _pack(doc[docs_here]), _pack(key[docs_here]), _pack(part[docs_here]), bytes([wide])]))
+                    out.append((int(bucket[i[0]]), False, [_pack(body[0], 6), *map(_pack, body[1:]), _pack(doc[docs_here]), _pack(key[docs_here]), _pack(part[docs_here]), bytes([wide])]))
                 b, s, x = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(s, pa.bool_()), pa.array(x, pa.list_(pa.binary()))], ["bucket", "spans", "body"])
 
@@ -153,7 +164,7 @@ def ranks(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.unique(r[at] * (int(r.max()) + 1) + r[at + DEPTH - 32], return_inverse=True)[1]
 
 
-def shared(data: np.ndarray, keys: np.ndarray, known: np.ndarray) -> np.ndarray:
+def shared(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
     """Whether another has the same key, of those whose key is known."""
     out = np.zeros(keys.size, bool)
     _, inverse, n = np.unique(keys[known], return_inverse=True, return_counts=True)
@@ -178,11 +189,10 @@ def covered(data: np.ndarray, windows: np.ndarray, trigger: np.ndarray, doc: np.
     # of the different contents, those that share the trigger and SIDE bytes beside it with another
     a = t[head]
     right, left = a + KMER + SIDE <= first[head] + size[head], trigger[head] >= SIDE
-    word = words(data)
-    place = lambda at: word[np.clip(at, 0, data.size - 1)]
+    place = lambda at: eight(data, at)
     core = mix64(place(a) ^ mix64(place(a + KMER - 8)))
-    keep = shared(data, mix64(core ^ mix64(place(a + KMER)) ^ mix64(mix64(place(a + KMER + 8)))), right)
-    keep |= shared(data, mix64(core ^ mix64(place(a - 8)) ^ mix64(mix64(place(a - 16)))), left)
+    keep = shared(mix64(core ^ mix64(place(a + KMER)) ^ mix64(mix64(place(a + KMER + 8)))), right)
+    keep |= shared(mix64(core ^ mix64(place(a - 8)) ^ mix64(mix64(place(a - 16)))), left)
     some = np.flatnonzero(keep)
     runs = [(whole, np.zeros(whole.size, np.int64), size[whole])]
     if some.size:
@@ -256,11 +266,28 @@ def merge(lo: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if wanted, kept (the remaining bytes)."""
-    parts = shares(docs, "text", CHUNK)
+    parts = shares(docs, "text", PART)
     rows = docs.select("doc_id", "text", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("key"), F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("long").alias("part"))
     spans = find(dictionary(rows, parts), parts)
 
-    def finish(own: pa.Table, found: pa.Table) -> pa.Table:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text", CHUNK):
+                place = np.array(batch.column("part"), np.int64)
+                order = np.argsort(place, kind="stable")
+                groups = [i for i in np.split(order, np.flatnonzero(np.diff(place[order])) + 1) if i.size]
+                packed = []
+                for i in groups:
+                    sink = pa.BufferOutputStream()
+                    rows_here = batch.take(pa.array(i))
+                    with pa.ipc.new_stream(sink, rows_here.schema) as out:
+                        out.write_batch(rows_here)
+                    packed.append(zstandard.compress(sink.getvalue().to_pybytes(), 6))
+                yield pa.RecordBatch.from_arrays([pa.array([int(place[i[0]]) for i in groups], pa.int64()), pa.array(packed, pa.binary())], ["part", "rows"])
+
+    def finish(packed: pa.Table, found: pa.Table) -> pa.Table:
+        own = [pa.ipc.open_stream(zstandard.decompress(b)).read_all() for b in packed.column("rows").to_pylist()]
+        own = pa.concat_tables(own) if own else empty
         blobs = found.column("body").to_pylist()
         doc, key, lo, end = (np.concatenate([_open(b[i], np.int64) for b in blobs]) if blobs else np.zeros(0, np.int64) for i in range(4))
         order = np.lexsort((key, doc))
@@ -283,8 +310,9 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
         return pa.table(columns | ({"kept": pa.array(left, pa.binary())} if keep_text else {}))
 
     kind = dict(docs.dtypes)["doc_id"]
+    empty = pa.table({"doc_id": pa.array([], pa.int64()), "text": pa.array([], pa.string()), "key": pa.array([], pa.int64())})
     schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
-    return rows.groupBy("part").cogroup(spans.groupBy("part")).applyInArrow(finish, schema)
+    return rows.mapInArrow(pack, "part long, rows binary").groupBy("part").cogroup(spans.groupBy("part")).applyInArrow(finish, schema)
 
 
 def op3_prefix_free(spark: SparkSession, sf_dir: str) -> DataFrame:
