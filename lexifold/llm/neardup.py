@@ -8,7 +8,8 @@ those whose shingle sets have a Jaccard similarity of 0.8 or more, counted exact
 component of links; a pair of similarity 0.8 shares no band with probability (1 - 0.8^ROWS)^BANDS, below 1e-5.
 
 Copies are one text from the start. In a band's bucket, each text is compared with the smallest one; then labels of
-different classes in a bucket with each other; and last all pairs whose classes still differ. So a group of near copies
+different classes in a bucket with each other; and last all pairs whose classes still differ and whose registers agree
+in LIKELY of all. So a group of near copies
 costs one comparison for each member, yet no pair that shares a band goes unsettled.
 
 Texts without a word (or null) are alone unless they are exact copies of each other; null texts are alone. A row with a
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 from .common import U64, checkpointed, mix64, slices, table, utf8, word_hashes
 
 WORDS, BANDS, ROWS = 5, 30, 5
+LIKELY = 0.6
 CHUNK = 4 << 20
 
 
@@ -79,7 +81,7 @@ def sketch(row: np.ndarray, shingle: np.ndarray, count: np.ndarray, rows: int) -
 
 
 def banded(texts: DataFrame) -> DataFrame:
-    """(doc_id, bands): band keys of each text that has a word."""
+    """(doc_id, bands, registers): band keys and 16 bits of each register of each text that has a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -91,9 +93,9 @@ def banded(texts: DataFrame) -> DataFrame:
                 for j in range(ROWS):
                     key = mix64(key ^ mix64(found[:, :, j] + U64(j + 1)))
                 bands = pa.ListArray.from_arrays(np.arange(0, has.size * BANDS + 1, BANDS, dtype=np.int32), key.view(np.int64).ravel())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(has)), bands], ["doc_id", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(has)), bands, pa.array([x.tobytes() for x in found.astype(np.uint16)], pa.binary())], ["doc_id", "bands", "registers"])
 
-    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, bands array<long>")
+    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, bands array<long>, registers binary")
 
 
 def sets(texts: DataFrame) -> DataFrame:
@@ -118,6 +120,28 @@ def linked(pairs: DataFrame, known: DataFrame) -> DataFrame:
     return both.where(5 * common >= 4 * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
+def likely(named: DataFrame, registers: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a bucket with different labels whose registers agree often enough to be similar.
+
+    At a similarity of 0.8 the share of equal registers is below LIKELY with a chance of about 1e-8. Blocks of rows are
+    compared with the whole bucket; only pairs that pass leave the task.
+    """
+
+    def run(got: pa.Table) -> pa.Table:
+        x = np.frombuffer(b"".join(got.column("registers").to_pylist()), np.uint16).reshape(got.num_rows, -1)
+        ids, label = np.array(got.column("doc_id")), np.array(got.column("label"))
+        block = max(1, (1 << 24) // x.size)
+        a, b = [], []
+        for lo in range(0, len(ids), block):
+            near = (x[lo: lo + block, None] == x).mean(2) >= LIKELY
+            i, j = np.nonzero(near & (label[lo: lo + block, None] != label) & (ids[lo: lo + block, None] < ids))
+            a.append(ids[lo + i])
+            b.append(ids[j])
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    return named.join(registers.hint("merge"), "doc_id").groupBy("key").applyInArrow(run, "a long, b long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(doc_id, label): of each linked document the smallest one that it reaches."""
     edges = checkpointed(links.union(links.select("b", "a")).distinct())
@@ -142,7 +166,8 @@ def classes(docs: DataFrame) -> DataFrame:
     alone = copies.groupBy("doc_id").agg(F.min("copy_of").alias("copy_of"), F.max("copy_of").alias("other"))
     reps = copies.where("doc_id = copy_of").select("doc_id").distinct()
     texts = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
-    members = banded(texts).join(reps.hint("merge"), "doc_id", "left_semi").select("doc_id", F.explode(F.array_distinct("bands")).alias("key"))
+    sketches = checkpointed(banded(texts).join(reps.hint("merge"), "doc_id", "left_semi"))
+    members = sketches.select("doc_id", F.explode(F.array_distinct("bands")).alias("key"))
     members = checkpointed(members)
     buckets = members.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("last")).where("a < last").select("key", "a")
     members = checkpointed(members.join(buckets.hint("merge"), "key"))  # what stands alone in its bucket goes
@@ -156,8 +181,7 @@ def classes(docs: DataFrame) -> DataFrame:
         mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key", "lo")
         named = named.join(mixed.hint("merge"), "key")
         if last:  # whatever is not settled
-            x, y = named.select("key", F.col("doc_id").alias("a"), F.col("label").alias("la")), named.select("key", F.col("doc_id").alias("b"), F.col("label").alias("lb"))
-            pairs = x.join(y.hint("merge"), "key").where("a < b AND la <> lb").select("a", "b")
+            pairs = likely(named.select("key", "doc_id", "label"), sketches.select("doc_id", "registers"))
         else:  # one document for each label, all against the first label's
             one = named.groupBy("key", "label").agg(F.min("doc_id").alias("b"), F.first("lo").alias("lo"))
             head = one.where("label = lo").select("key", F.col("b").alias("a"))
