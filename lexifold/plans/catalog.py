@@ -141,7 +141,7 @@ def learned_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (corrected_text, decision_counts, judge_requests, verdict_merge, token_offsets, phonetic_keys, key_collisions, phrase_keys, common_share, content_words, sounds_alike_pairs, identifier_chunks, trust_fold, status_counts, trust_history, misspelling_counters, table_counts, trace_top, value_percentiles, learned_terms)}
 
 _WORDS = f"unnest(regexp_extract_all(text, '{T.TOKEN}'))"
-_TRUST = """SELECT user_id, CAST(list_reduce(list_prepend(CAST(NULL AS BIGINT), list(v ORDER BY seq)), (a, e) -> CASE WHEN e >= 100 THEN greatest(coalesce(a, 0), 2) ELSE a + e END) AS BIGINT) AS trust
+_TRUST = """SELECT user_id, CAST(list_reduce(list_prepend(CAST(NULL AS BIGINT), list(v ORDER BY seq)), lambda a, e: CASE WHEN e >= 100 THEN greatest(coalesce(a, 0), 2) ELSE a + e END) AS BIGINT) AS trust
 FROM (SELECT user_id, event_id AS seq, CAST(CASE event_type WHEN 'signup' THEN 100 WHEN 'purchase' THEN 1 WHEN 'error' THEN -2 ELSE 0 END AS BIGINT) AS v FROM events WHERE event_type <> 'view') GROUP BY user_id"""
 _KEYS = f"SELECT word, {T.key('word', 'duckdb')} AS key, n FROM (SELECT word, count(*) AS n FROM (SELECT {_WORDS} AS word FROM documents) GROUP BY word)"
 
@@ -161,7 +161,7 @@ ORACLES = {
     "key_collisions": f"SELECT key, count(*) AS spellings, CAST(sum(n) AS BIGINT) AS n FROM ({_KEYS}) GROUP BY key HAVING count(*) > 1",
     "phrase_keys": f"SELECT p_partkey, {T.phrase_key('p_name', 'duckdb')} AS key FROM part",
     "common_share": f"SELECT doc_id, count(*) FILTER (WHERE {T.common('word', listed(COMMON))}) AS n_common, count(*) AS n FROM (SELECT doc_id, {_WORDS} AS word FROM documents) GROUP BY doc_id",
-    "content_words": f"SELECT doc_id, CAST(len(list_distinct(list_filter(regexp_extract_all({T.casefold('text')}, '{T.TOKEN}'), w -> length(w) >= 3 AND w NOT IN ({listed(GLUE)})))) AS BIGINT) AS n_content FROM documents",
+    "content_words": f"SELECT doc_id, CAST(len(list_distinct(list_filter(regexp_extract_all({T.casefold('text')}, '{T.TOKEN}'), lambda w: length(w) >= 3 AND w NOT IN ({listed(GLUE)})))) AS BIGINT) AS n_content FROM documents",
     "sounds_alike_pairs": f"WITH v AS (SELECT w, {T.key('w', 'duckdb')} AS k FROM (SELECT DISTINCT {_WORDS} AS w FROM benchmark)) SELECT x.w AS a, y.w AS b FROM v x JOIN v y ON x.w < y.w AND length(x.k) >= 4 AND length(y.k) >= 4 AND {T.near('x.k', 'y.k', 'duckdb')}",
     "identifier_chunks": f"SELECT page_id, count(*) AS n FROM (SELECT page_id, unnest(regexp_split_to_array(url, '[ \\t\\n]+')) AS c FROM pages) WHERE {T.identifier('c', 'duckdb')} GROUP BY page_id",
     "trust_fold": f"SELECT * FROM ({_TRUST}) WHERE trust IS NOT NULL",
