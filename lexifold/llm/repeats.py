@@ -30,7 +30,7 @@ DEPTH, KMER = 50, 12
 SLACK = DEPTH - KMER + 1
 #: Bytes on either side of a trigger, one of which two phrases must share with it if they share a window.
 SIDE = 16
-CHUNK, PART = 8 << 20, 4 << 20
+CHUNK, PART = 4 << 20, 3 << 20
 LAST = np.iinfo(np.int64).max
 
 
