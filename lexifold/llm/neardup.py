@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import U64, checkpointed, mix64, slices, table, utf8, word_hashes
 
 WORDS, BANDS, ROWS = 5, 30, 5
-LIKELY = 0.6
+LIKELY = 0.68
 CHUNK = 4 << 20
 
 
@@ -123,18 +123,20 @@ def linked(pairs: DataFrame, known: DataFrame) -> DataFrame:
 def likely(named: DataFrame, registers: DataFrame) -> DataFrame:
     """Pairs (a, b) of a bucket with different labels whose registers agree often enough to be similar.
 
-    At a similarity of 0.8 the share of equal registers is below LIKELY with a chance of about 1e-8. Blocks of rows are
-    compared with the whole bucket; only pairs that pass leave the task.
+    At a similarity of 0.8 the share of equal registers is below LIKELY with a chance of about 1e-4. Blocks of rows are
+    compared with the whole bucket; only pairs that pass leave the task, each in the first band that it shares.
     """
 
     def run(got: pa.Table) -> pa.Table:
         x = np.frombuffer(b"".join(got.column("registers").to_pylist()), np.uint16).reshape(got.num_rows, -1)
-        ids, label = np.array(got.column("doc_id")), np.array(got.column("label"))
+        ids, label, band = np.array(got.column("doc_id")), np.array(got.column("label")), got.column("band")[0].as_py()
         block = max(1, (1 << 24) // x.size)
         a, b = [], []
         for lo in range(0, len(ids), block):
-            near = (x[lo: lo + block, None] == x).mean(2) >= LIKELY
-            i, j = np.nonzero(near & (label[lo: lo + block, None] != label) & (ids[lo: lo + block, None] < ids))
+            same = x[lo: lo + block, None] == x
+            use = (same.mean(2) >= LIKELY) & (label[lo: lo + block, None] != label) & (ids[lo: lo + block, None] < ids)
+            use &= same.reshape(*same.shape[:2], BANDS, ROWS).all(3).argmax(2) == band
+            i, j = np.nonzero(use)
             a.append(ids[lo + i])
             b.append(ids[j])
         return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
@@ -167,7 +169,7 @@ def classes(docs: DataFrame) -> DataFrame:
     reps = copies.where("doc_id = copy_of").select("doc_id").distinct()
     texts = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
     sketches = checkpointed(banded(texts).join(reps.hint("merge"), "doc_id", "left_semi"))
-    members = sketches.select("doc_id", F.explode(F.array_distinct("bands")).alias("key"))
+    members = sketches.select("doc_id", F.posexplode("bands").alias("band", "key"))
     members = checkpointed(members)
     buckets = members.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("last")).where("a < last").select("key", "a")
     members = checkpointed(members.join(buckets.hint("merge"), "key"))  # what stands alone in its bucket goes
@@ -177,11 +179,11 @@ def classes(docs: DataFrame) -> DataFrame:
     links = checkpointed(linked(tested, known))
     for last in (False, True):
         labels = components(links)
-        named = members.select("key", "doc_id").join(labels.hint("merge"), "doc_id", "left").select("key", "doc_id", F.coalesce("label", "doc_id").alias("label"))
+        named = members.select("key", "band", "doc_id").join(labels.hint("merge"), "doc_id", "left").select("key", "band", "doc_id", F.coalesce("label", "doc_id").alias("label"))
         mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key", "lo")
         named = named.join(mixed.hint("merge"), "key")
         if last:  # whatever is not settled
-            pairs = likely(named.select("key", "doc_id", "label"), sketches.select("doc_id", "registers"))
+            pairs = likely(named.select("key", "band", "doc_id", "label"), sketches.select("doc_id", "registers"))
         else:  # one document for each label, all against the first label's
             one = named.groupBy("key", "label").agg(F.min("doc_id").alias("b"), F.first("lo").alias("lo"))
             head = one.where("label = lo").select("key", F.col("b").alias("a"))
