@@ -30,7 +30,7 @@ SAMPLE_DOCS = 300
 MARGIN = 2.0
 SHARPNESS = 8.0
 UND = "und"
-CHUNK = 8 << 20
+CHUNK = 2 << 20
 
 
 def held_out(column: str = "doc_id") -> Column:

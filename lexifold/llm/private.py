@@ -29,7 +29,7 @@ PATTERNS = {
     "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
-CHUNK = 8 << 20
+CHUNK = 3 << 20
 
 #: The labelled table: [kind words] marks a span, all else is outside.
 LABELLED = """
