@@ -42,10 +42,11 @@ def shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     factors = mix64(np.arange(1, WORDS + 1, dtype=U64))
     whole = np.zeros(h.size, U64)
     for j in range(WORDS):  # words past the end of the row count as none
+        left = max(h.size - j, 0)
         same = np.zeros(h.size, bool)
-        same[: h.size - j] = row[j:] == row[: h.size - j]
+        same[:left] = row[j:] == row[:left]
         moved = np.zeros(h.size, U64)
-        moved[: h.size - j] = h[j:]
+        moved[:left] = h[j:]
         whole += np.where(same, mix64(moved) * (factors[j] | U64(1)), U64(0))
     full = np.zeros(h.size, bool)
     full[: max(h.size - WORDS + 1, 0)] = row[WORDS - 1:] == row[: max(h.size - WORDS + 1, 0)]

@@ -1,0 +1,157 @@
+import hashlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from lexifold.llm import brown, chat, language, mixing, neardup, pieces, private, rabitq, repeats, webp
+
+WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau".split()
+
+
+def texts(n=40, seed=0):
+    r = np.random.default_rng(seed)
+    out = [" ".join(r.choice(WORDS, r.integers(5, 80))) for _ in range(n)]
+    return [*out, out[0], out[1] + " tail", "", None, "x", "é☃ ▁ " * 20, "\xff" * 700, "a" * 3000]
+
+
+@pytest.fixture
+def docs(spark):
+    rows = [(i, t, "en" if i % 2 else "fi", f"s{i % 3}" if i % 7 else None, 0) for i, t in enumerate(texts())]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_webp_round_trip():
+    t = texts()
+    media, size = webp.store(pa.array(t))
+    for x, n, m, samples in zip(t, size, media, webp.load(media), strict=True):
+        raw = (x or "").encode()
+        full = max(-(-len(raw) // 576), 1) * 576
+        assert n == len(raw) and samples.tobytes() == raw + b"\xff" * (full - len(raw))
+        first = m[: 8 + int.from_bytes(m[4:8], "little")]
+        image = webp.decode(first)
+        assert (image[..., 1] == image[..., 2]).all() and image[..., 2].tobytes() == samples[: image[..., 2].size].tobytes()
+
+
+def put(*fields):
+    value, at = 0, 0
+    for v, n in fields:
+        value |= v << at
+        at += n
+    return value.to_bytes((at + 7) // 8, "little")
+
+
+def wrap(width, height, *fields):
+    stream = b"\x2f" + put((width - 1, 14), (height - 1, 14), (1, 1), (0, 3), *fields)
+    body = b"VP8L" + len(stream).to_bytes(4, "little") + stream + b"\0" * (len(stream) % 2)
+    return b"RIFF" + (len(body) + 4).to_bytes(4, "little") + b"WEBP" + body
+
+
+def one(symbol):
+    return [(1, 1), (0, 1), (1, 1), (symbol, 8)]
+
+
+def two(a, b):
+    return [(1, 1), (1, 1), (1, 1), (a, 8), (b, 8)]
+
+
+def test_webp_transforms():
+    # palette of two colours, eight indexes in a sample
+    palette = [(1, 1), (3, 2), (1, 8), (0, 1), *two(0, 200), *one(0), *two(0, 7), *one(255), *one(0)]
+    # pixels 0xff000000 then, by difference, green 200, blue 7 and alpha wrapped
+    data = [(0, 1), (0, 1), (1, 1), (1, 1)]
+    image = [(0, 1), (0, 1), (0, 1), *one(0b10), *one(0), *one(0), *one(255), *one(0)]
+    got = webp.decode(wrap(2, 1, *palette, *data, *image))
+    assert got[0, 0].tolist() == [255, 0, 0, 0] and got[0, 1].tolist()[2:] == [200, 7]
+    # predictor: left of each pixel, residual green 1
+    head = [(1, 1), (0, 2), (0, 3), (0, 1), *one(1), *one(0), *one(0), *one(255), *one(0), (0, 1)]
+    image = [(0, 1), (0, 1), *one(1), *one(0), *one(0), *one(0), *one(0)]
+    assert webp.decode(wrap(3, 2, *head, *image))[..., 2].tolist() == [[1, 2, 3], [2, 3, 4]]
+    # cross-colour: the factor's blue channel is what red takes of green, in parts of 32
+    head = [(1, 1), (1, 2), (0, 3), (0, 1), *one(0), *one(0), *one(32), *one(255), *one(0), (0, 1)]
+    image = [(0, 1), (0, 1), *one(5), *one(1), *one(0), *one(255), *one(0)]
+    assert webp.decode(wrap(2, 2, *head, *image))[0, 0].tolist() == [255, 1 + 5, 5, 0]
+
+
+def test_neighbours(spark):
+    r = np.random.default_rng(1)
+    x = r.standard_normal((400, 16))
+    x[7] = x[100] = x[50]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(400, None), (401, [0.0] * 16), (402, [float("nan")] * 16), (450, [1.0])]
+    got = rabitq.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).toPandas()
+    u = x / np.sqrt((x * x).sum(1))[:, None]
+    hits = 0
+    for q in range(0, 400, 50):
+        s = u @ u[q]
+        s[q] = -9
+        best = np.lexsort((np.arange(400), -s))[:5]
+        hits += len(set(best) & set(got[got.query_id == q].vec_id))
+    assert hits >= 0.9 * 40 and got[(got.query_id == 50)].sort_values("rank").vec_id.tolist()[:2] == [7, 100]
+
+
+def test_repeats(docs):
+    got = {r.doc_id: r for r in repeats.remove_repeats(docs).collect()}
+    seen = {}
+    for i, t in enumerate(texts()):
+        raw = (t or "").encode()
+        gone = np.zeros(len(raw), bool)
+        for j in range(len(raw) - 49):
+            if seen.setdefault(raw[j: j + 50], i) < i:
+                gone[j: j + 50] = True
+        kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
+        assert (got[i].n_removed, got[i].kept_sha256) == (int(gone.sum()), hashlib.sha256(kept).hexdigest())
+
+
+def test_language(spark, docs):
+    rows = [(i, ("the house is warm and the dog sleeps " if i % 2 else "talo on lämmin ja koira nukkuu nyt ") * 5, "en" if i % 2 else "fi") for i in range(200)]
+    train = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(train)
+    got = {r.doc_id: r for r in language.classify(train.union(spark.createDataFrame([(900, None, None), (901, "12 !", None)], train.schema)), model).collect()}
+    assert all(got[i].lang_pred == ("en" if i % 2 else "fi") for i in range(200))
+    assert got[900].lang_pred == got[901].lang_pred == "und" and got[901].rejected and not got[3].rejected
+    assert language.classify(train, language.train(train.limit(0))).first().lang_pred == "und"
+
+
+def test_mixing(docs):
+    packed, cut, drawn = mixing.mix(docs)
+    got = mixing.taken(cut, drawn).toPandas()
+    assert len(got) == len(texts()) and (got["taken"] <= 2 * got["size"]).all()
+    by = got.groupby("source_ix").agg({"taken": "sum", "target": "first"})
+    assert (abs(by.taken - by.target) <= 64).all() and abs(by.target.sum() - 1.5 * got["size"].sum()) < 1e-6
+    mixed = mixing.sizes(mixing.mixed_documents(docs)).toPandas()
+    assert mixed["size"].sum() == got.taken.sum()
+
+
+def test_private():
+    t = "write to a.b@mail.example.org or +1 (212) 555-0143, card 4111 1111 1111 1111, host 10.0.0.300 and 10.0.0.7"
+    kinds = [k for k, _, _ in private.base_spans(t)]
+    assert kinds == ["email", "ip", "card", "phone"]
+    base, spans = private.find(pa.array([t, None, "", "in 1998 there were 12 people"]), private.train())
+    assert base[1:] == [[], [], []] and spans[3] == [] and set(base[0]) <= set(spans[0])
+    assert "@" not in private.masked(t, spans[0])
+
+
+def test_brown(docs):
+    got = brown.score(docs).toPandas().set_index("doc_id")
+    assert len(got) == len(texts()) and got.loc[42].n_tokens == 1 and (got.score < 0).all()
+    assert np.isclose(got.base_score[3], got.base_score[3]) and got.train_tokens.nunique() == 1
+
+
+def test_chat(spark):
+    rows = [(1, 1, 1, "append", "user", "hi [x] "), (1, 2, 2, "append", "assistant", "no"), (1, 3, 2, "regenerate", "assistant", None), (1, 4, 2, "append", "assistant", "a</s>"), (1, 5, 2, "append", "assistant", "\\l"), (1, 6, 1, "edit", "user", "ho")]
+    events = spark.createDataFrame(rows, "conv_id long, seq long, message long, op string, role string, text string")
+    back = chat.read_back(chat.format_chats(events)).first()
+    assert [tuple(t) for t in back.turns] == [("user", "ho"), ("assistant", "a</s>\\l")] and back.loss_text == "a</s>\\l"
+
+
+def test_near_duplicates(spark):
+    base = " ".join(f"w{i}" for i in range(200))
+    rows = [(1, base), (2, base), (3, base + " more"), (4, " ".join(f"v{i}" for i in range(200))), (5, ""), (6, None), (7, None), (8, "one"), (9, "one")]
+    got = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 6, 7: 7, 8: 8, 9: 8}
+
+
+def test_pieces(docs):
+    made = pieces.encode(docs)
+    back = {r.doc_id: r.text for r in pieces.decode(made).collect()}
+    assert all(back[i] == (t or "") for i, t in enumerate(texts())) and made.where("NOT exact AND text_sha256 IS NOT NULL").count() == 0
