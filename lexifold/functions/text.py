@@ -64,7 +64,7 @@ def key(x: str, engine: str = "spark") -> str:
 def phrase_key(x: str, engine: str = "spark") -> str:
     """Keys of the words between white space, the empty ones dropped, joined by a space."""
     if engine == "duckdb":
-        return f"array_to_string(list_filter(list_transform(regexp_split_to_array(trim({x}), '\\s+'), w -> {key('w', engine)}), w -> w <> ''), ' ')"
+        return f"array_to_string(list_filter(list_transform(regexp_split_to_array(trim({x}), '\\s+'), lambda w: {key('w', engine)}), lambda w: w <> ''), ' ')"
     return f"array_join(filter(transform(split(trim({x}), '\\\\s+'), w -> {key('w')}), w -> w <> ''), ' ')"
 
 
