@@ -101,7 +101,9 @@ def identifier(chunk: str, engine: str = "spark") -> str:
 def tokens(docs: DataFrame) -> DataFrame:
     """One row per token: doc_id, pos, start and end (code points), word, and the gaps before and after it."""
     words = F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))
-    split = docs.select("doc_id", F.split("text", TOKEN, -1).alias("gaps"), words.alias("words"))
+    # dealt by document before the cut, so that the windows over tokens need no exchange of tokens
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    split = docs.select("doc_id", "text").repartition(parts, "doc_id").select("doc_id", F.split("text", TOKEN, -1).alias("gaps"), words.alias("words"))
     zipped = F.arrays_zip(F.col("gaps").alias("gap"), F.col("words").alias("word"), F.slice("gaps", 2, F.size("words")).alias("after"))
     cut = split.select("doc_id", F.posexplode(zipped).alias("pos", "t")).where("t.word IS NOT NULL")
     cut = cut.select("doc_id", "pos", "t.gap", "t.word", "t.after")
