@@ -29,7 +29,9 @@ def marked_tokens(docs: DataFrame, words: frozenset[str] = COMMON) -> DataFrame:
     t = T.identifiers(T.tokens(docs)).withColumn("key", F.expr(T.key("word"))).withColumn("common", F.expr(T.common("word", listed(words)))).withColumn("opens", T.sentence_initial())
     upper = (F.left("word", F.lit(1)) != F.lower(F.left("word", F.lit(1)))) & F.col("word").rlike("^[^0-9]")
     seen = F.when(~F.col("word").rlike("^[0-9]+$") & (F.lower("word") != "s"), F.struct(upper.alias("upper"), "opens"))
-    after = F.first(seen, ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    # read backwards: a frame that ends at the last row is computed anew for each row, in the square of a document
+    back = Window.partitionBy("doc_id").orderBy(F.desc("pos"))
+    after = F.last(seen, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1))
     before = F.last(seen, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
     phrase = F.coalesce(F.lead("word").over(order).rlike("^[0-9]+$"), F.lit(False)) | F.coalesce(after["upper"], F.lit(False)) | F.coalesce(before["upper"] & ~before["opens"], F.lit(False))
     return t.withColumn("in_phrase", phrase)
