@@ -38,10 +38,11 @@ def marked_tokens(docs: DataFrame, words: frozenset[str] = COMMON) -> DataFrame:
 
 
 def windows(tokens: DataFrame, longest: int) -> DataFrame:
-    """Runs of 1 to `longest` tokens with one space between neighbours: start, end, n, key, text, all_common."""
+    """Runs of 1 to `longest` tokens with one space between neighbours: start, end, n, key, text, all_common, and as
+    match "key"; two such neighbours read as one word have the match "join"."""
     order = Window.partitionBy("doc_id").orderBy("pos")
     step = tokens
-    for i in range(1, longest):
+    for i in range(1, max(longest, 2)):
         step = step.withColumn(f"_{i}", F.lead(F.struct("gap", "word", "key", "end", "common", "ident"), i).over(order))
     kinds = []
     for n in range(1, longest + 1):
@@ -53,18 +54,13 @@ def windows(tokens: DataFrame, longest: int) -> DataFrame:
         common, clean = F.col("common"), ~F.col("ident")
         for r in rest:
             common, clean = common & r["common"], clean & ~r["ident"]
-        kinds.append(F.when(whole & clean, F.struct(F.lit(n).alias("n"), (rest[-1]["end"] if rest else F.col("end")).alias("end"), keys.alias("key"), F.concat_ws(" ", "word", *(r["word"] for r in rest)).alias("text"), common.alias("all_common"))))
+        kinds.append(F.when(whole & clean, F.struct(F.lit("key").alias("match"), F.lit(n).alias("n"), (rest[-1]["end"] if rest else F.col("end")).alias("end"), keys.alias("key"), F.concat_ws(" ", "word", *(r["word"] for r in rest)).alias("text"), common.alias("all_common"))))
+    after = F.col("_1")
+    two = F.coalesce(after["gap"] == " ", F.lit(False)) & ~F.col("ident") & ~after["ident"] & ~(F.lower("word").isin("a", "an", "the") & after["common"])
+    kinds.append(F.when(two, F.struct(F.lit("join").alias("match"), F.lit(2).alias("n"), after["end"].alias("end"), F.expr(T.key("concat(word, _1.word)")).alias("key"), F.concat("word", F.lit(" "), after["word"]).alias("text"), (F.col("common") & after["common"]).alias("all_common"))))
     return step.select("doc_id", "start", "in_phrase", F.explode(F.filter(F.array(*kinds), lambda k: k.isNotNull())).alias("w")).select("doc_id", "start", "in_phrase", "w.*")
 
 
-def pairs(tokens: DataFrame, words: frozenset[str] = COMMON) -> DataFrame:
-    order = Window.partitionBy("doc_id").orderBy("pos")
-    p = tokens.withColumn("b", F.lead(F.struct("gap", "word", "end", "common", "ident")).over(order)).where((F.col("b.gap") == " ") & ~F.col("ident") & ~F.col("b.ident"))
-    p = p.where(~(F.lower("word").isin("a", "an", "the") & F.col("b.common")))
-    joined = F.expr(T.key("concat(word, b.word)"))
-    return p.select("doc_id", "start", "in_phrase", F.lit(2).alias("n"), F.col("b.end").alias("end"), joined.alias("key"), F.concat("word", F.lit(" "), "b.word").alias("text"), (F.col("common") & F.col("b.common")).alias("all_common"))
-
-
 def shortened(k: str) -> str:
     """The key and every way of leaving out one letter of it."""
     return f"array_distinct(array_append(transform(sequence(1, length({k})), i -> concat(substring({k}, 1, i - 1), substring({k}, i + 1))), {k}))"
@@ -73,19 +69,17 @@ def shortened(k: str) -> str:
 def candidates(docs: DataFrame, terms: DataFrame, misspellings: DataFrame, words: frozenset[str] = COMMON) -> DataFrame:
     """Settled spans: doc_id, start, end, text, match, all_common, in_phrase, terms (array of term names)."""
     longest = terms.agg(F.max(F.size(F.split("preferred", " ")))).first()[0] or 1
-    keys = term_keys(terms, misspellings)
-    tokens = marked_tokens(docs, words)
-    w = windows(tokens, longest).where("key <> ''")
-    exact = w.join(keys, "key").withColumn("match", F.lit("key"))
-    lone = w.where(f"n = 1 AND length(key) >= {FUZZY_LENGTH}").join(keys.select("key").distinct(), "key", "left_anti")
-    near = keys.where("key NOT LIKE '% %'").select(F.col("key").alias("k"), "term", F.explode(F.expr(shortened("key"))).alias("cut"))
+    keys = term_keys(terms, misspellings).join(terms.select("term", "preferred"), "term")
+    w = windows(marked_tokens(docs, words), longest).where("key <> ''")
+    exact = w.join(keys, "key")
+    lone = w.where(f"match = 'key' AND n = 1 AND length(key) >= {FUZZY_LENGTH}").join(keys.select("key").distinct(), "key", "left_anti")
+    near = keys.where("key NOT LIKE '% %'").select(F.col("key").alias("k"), "term", "preferred", F.explode(F.expr(shortened("key"))).alias("cut"))
     fuzzy = lone.withColumn("cut", F.explode(F.expr(shortened("key")))).join(near, "cut").where(T.near("key", "k")).drop("cut", "k").withColumn("match", F.lit("fuzzy"))
-    joined = pairs(tokens, words).join(keys, "key").withColumn("match", F.lit("join"))
-    found = exact.unionByName(fuzzy).unionByName(joined).groupBy("doc_id", "start", "end", "match").agg(F.first("text").alias("text"), F.first("all_common").alias("all_common"), F.first("in_phrase").alias("in_phrase"), F.array_sort(F.collect_set("term")).alias("terms"))
-    return settled(found, terms)
+    found = exact.unionByName(fuzzy).groupBy("doc_id", "start", "end", "match").agg(F.first("text").alias("text"), F.first("all_common").alias("all_common"), F.first("in_phrase").alias("in_phrase"), F.array_sort(F.collect_set("term")).alias("terms"), F.bool_or(F.col("text") == F.col("preferred")).alias("said"))
+    return settled(found)
 
 
-def settled(found: DataFrame, terms: DataFrame) -> DataFrame:
+def settled(found: DataFrame) -> DataFrame:
     """Longest first, then leftmost: a span that overlaps one already taken goes. One that reads as its term does holds
     its place but is no candidate. Work is by cluster of overlapping spans, so a long document is no long list."""
     order = Window.partitionBy("doc_id").orderBy("start", F.desc("end"))
@@ -93,13 +87,12 @@ def settled(found: DataFrame, terms: DataFrame) -> DataFrame:
     spans = found.withColumn("new", F.when(F.coalesce(F.col("start") >= reach, F.lit(True)), 1).otherwise(0))
     spans = spans.withColumn("cluster", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     rank = F.when(F.col("match") == "join", 1).otherwise(0)
-    item = F.struct((F.col("start") - F.col("end")).alias("o"), "start", rank.alias("rank"), "end", "text", "match", "all_common", "in_phrase", "terms")
+    item = F.struct((F.col("start") - F.col("end")).alias("o"), "start", rank.alias("rank"), "end", "text", "match", "all_common", "in_phrase", "terms", "said")
     lists = spans.groupBy("doc_id", "cluster").agg(F.array_sort(F.collect_list(item)).alias("items"))
     free = lambda taken, s: ~F.exists(taken, lambda t: (t["start"] < s["end"]) & (s["start"] < t["end"]))
     taken = F.aggregate("items", F.slice("items", 1, 0), lambda a, s: F.when(free(a, s), F.array_append(a, s)).otherwise(a))
-    kept = lists.select("doc_id", F.explode(taken).alias("s")).select("doc_id", "s.start", "s.end", "s.text", "s.match", "s.all_common", "s.in_phrase", "s.terms")
-    said = kept.select("doc_id", "start", "text", F.explode("terms").alias("term")).join(terms.select("term", "preferred"), "term").where("text = preferred").select("doc_id", "start").distinct()
-    return kept.join(said, ["doc_id", "start"], "left_anti")
+    kept = lists.select("doc_id", F.explode(taken).alias("s")).where("NOT s.said")
+    return kept.select("doc_id", "s.start", "s.end", "s.text", "s.match", "s.all_common", "s.in_phrase", "s.terms")
 
 
 def context_words(docs: DataFrame) -> DataFrame:

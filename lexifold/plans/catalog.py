@@ -20,8 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def dictionary(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    terms = spark.createDataFrame([(p.lower(), p, None, None, t) for p, t in TERMS], "term string, preferred string, kind string, note string, trust int")
-    return terms, spark.createDataFrame(SPELLINGS, "term string, misspelling string, seen int, vetoes int, guard array<string>")
+    """Inline tables, so that the planner knows their size and joins them where the tokens are."""
+    terms = ", ".join(f"({T.quoted(p.lower())}, {T.quoted(p)}, {t})" for p, t in TERMS)
+    spelled = ", ".join(f"({T.quoted(t)}, {T.quoted(m)}, {seen}, {vetoes}, CAST(array({', '.join(map(T.quoted, guard))}) AS array<string>))" for t, m, seen, vetoes, guard in SPELLINGS)
+    none = "CAST(NULL AS string)"
+    return (spark.sql(f"SELECT term, preferred, {none} AS kind, {none} AS note, trust FROM VALUES {terms} AS t(term, preferred, trust)"),
+            spark.sql(f"SELECT * FROM VALUES {spelled} AS t(term, misspelling, seen, vetoes, guard)"))
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
