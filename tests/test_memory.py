@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from lexifold.functions import text as T
 from lexifold.operators import correct, evaluate, memory
 from lexifold.operators.kernel import Memory, alike, key, one_edit
-from lexifold.sources.log import parse_cases
+from lexifold.sources.log import EVENTS, parse_cases
+from lexifold.streaming.fold import fold_stream
 
 
 def test_keys_and_edits():
@@ -59,3 +60,27 @@ def test_percentile_and_cases(spark):
     assert parse_cases('# note\n{"a":\n 1}\n# more\n{"b": 2}') == [{"a": 1}, {"b": 2}]
     T.register(spark)
     assert spark.sql("SELECT sounds_alike('Zeroda', 'Zerodha')").first()[0]
+
+
+def test_stream_equals_replay(spark, tmp_path):
+    """Two micro-batches, the second with an event sent again, end in the state that one replay gives."""
+    edit = json.dumps({"formatted": "Ask Joonas now.", "final": "Ask Jonas now."})
+    kinds = [("observation", edit), ("add_term", json.dumps({"preferred": "Maarit"})), ("observation", edit), ("delete_term", json.dumps({"preferred": "Maarit"}))]
+    log = [(u, i + 1, f"2026-01-0{i + 1}", kind, payload) for u in ("u", "v") for i, (kind, payload) in enumerate(kinds) if u == "u" or i < 3]
+    schema = EVENTS.replace("ts timestamp", "ts string")
+    source, seen = str(tmp_path / "log"), []
+
+    def keep(batch, _):
+        seen.append({(r.user_id, r.part, r.term): (r.preferred, r.trust, r.updated) for r in batch.where("part = 'term'").collect()})
+
+    for some in ([e for e in log if e[1] <= 2], [e for e in log if e[1] >= 2]):
+        spark.createDataFrame(some, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = fold_stream(spark.readStream.schema(schema).parquet(source))
+        query = stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        try:
+            assert query.awaitTermination(120)
+        finally:
+            query.stop()
+    whole = memory.replay(spark.createDataFrame(log, schema))
+    assert len(seen) == 2 and seen[0] != seen[1]
+    assert seen[1] == {(r.user_id, r.part, r.term): (r.preferred, r.trust, r.updated) for r in whole.where("part = 'term'").collect()}
