@@ -8,9 +8,10 @@ those whose shingle sets have a Jaccard similarity of 0.8 or more, counted exact
 component of links; a pair of similarity 0.8 shares no band with probability (1 - 0.8^ROWS)^BANDS, below 1e-5.
 
 Copies are one text from the start. In a band's bucket, each text is compared with the smallest one; then labels of
-different classes in a bucket with each other; and last all pairs whose classes still differ and whose registers agree
-in LIKELY of all. So a group of near copies
-costs one comparison for each member, yet no pair that shares a band goes unsettled.
+different classes in a bucket with each other; and last all pairs whose classes still differ, save those that a bound
+rules out: each set has a bitmap of the parities of its shingles' cells, two bitmaps differ in no more bits than the sets
+differ in shingles, and sizes too far apart leave too little in common. The bound never rules out a similar pair, so no
+pair that shares a band goes unsettled. It is compared inside the bucket, which is quadratic in what is left unsettled.
 
 Texts without a word (or null) are alone unless they are exact copies of each other; null texts are alone. A row with a
 null doc_id has a null class. Rows with one doc_id are one document if their texts are equal; else their classes join.
@@ -28,7 +29,8 @@ from pyspark.sql import functions as F
 from .common import U64, checkpointed, mix64, slices, table, utf8, word_hashes
 
 WORDS, BANDS, ROWS = 5, 30, 5
-LIKELY = 0.68
+#: Cells of a bitmap for each shingle, and the smallest and largest bitmap.
+CELLS, LEAST, MOST = 4, 1 << 10, 1 << 18
 CHUNK = 4 << 20
 
 
@@ -82,7 +84,7 @@ def sketch(row: np.ndarray, shingle: np.ndarray, count: np.ndarray, rows: int) -
 
 
 def banded(texts: DataFrame) -> DataFrame:
-    """(doc_id, bands, registers): band keys and 16 bits of each register of each text that has a word."""
+    """(doc_id, bands): the band keys of each text that has a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -94,9 +96,9 @@ def banded(texts: DataFrame) -> DataFrame:
                 for j in range(ROWS):
                     key = mix64(key ^ mix64(found[:, :, j] + U64(j + 1)))
                 bands = pa.ListArray.from_arrays(np.arange(0, has.size * BANDS + 1, BANDS, dtype=np.int32), key.view(np.int64).ravel())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(has)), bands, pa.array([x.tobytes() for x in found.astype(np.uint16)], pa.binary())], ["doc_id", "bands", "registers"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(has)), bands], ["doc_id", "bands"])
 
-    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, bands array<long>, registers binary")
+    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, bands array<long>")
 
 
 def sets(texts: DataFrame) -> DataFrame:
@@ -121,28 +123,68 @@ def linked(pairs: DataFrame, known: DataFrame) -> DataFrame:
     return both.where(5 * common >= 4 * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
-def likely(named: DataFrame, registers: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a bucket with different labels whose registers agree often enough to be similar.
+def bitmap(shingle: np.ndarray) -> np.ndarray:
+    """The parity of each cell of a set, as 64-bit words; the number of cells is a power of two that grows with the set."""
+    cells = min(max(1 << (CELLS * shingle.size - 1).bit_length(), LEAST), MOST)
+    odd = np.bincount((shingle.view(U64) & U64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8)).view(U64)
 
-    At a similarity of 0.8 the share of equal registers is below LIKELY with a chance of about 1e-4. Blocks of rows are
-    compared with the whole bucket; only pairs that pass leave the task, each in the first band that it shares.
+
+def bitmaps(known: DataFrame) -> DataFrame:
+    """(doc_id, size, cells): the size of each set and its bitmap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s = batch.column("shingles")
+            flat, ends = np.array(s.flatten()), np.concatenate([[0], np.cumsum(np.array(pa.compute.list_value_length(s)))]).astype(np.int64)
+            cells = [bitmap(flat[a:b]).tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(ends)), pa.array(cells, pa.binary())], ["doc_id", "size", "cells"])
+
+    return known.select("doc_id", "shingles").mapInArrow(run, "doc_id long, size long, cells binary")
+
+
+def possible(size: np.ndarray, cells: list[bytes], label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows with different labels whose sizes and bitmaps allow a similarity of 0.8; no similar pair is left out.
+
+    It takes a difference of at most a ninth of both sizes. Sizes are then so near that bitmaps are of equal length or
+    one is twice the other, which is folded.
+    """
+    left, right = [], []
+    width = np.array([len(c) // 8 for c in cells])
+    for w in np.unique(width):
+        own = np.flatnonzero(width == w)
+        twice = np.flatnonzero(width == 2 * w)
+        x = np.frombuffer(b"".join(cells[i] for i in own), U64).reshape(own.size, w)
+        y = np.frombuffer(b"".join(cells[i] for i in twice), U64).reshape(twice.size, 2, w)
+        x, rows = np.concatenate([x, y[:, 0] ^ y[:, 1]]), np.concatenate([own, twice])
+        block = max(1, (1 << 21) // x.size)
+        for lo in range(0, own.size, block):
+            i = own[lo: lo + block, None]
+            total = size[i] + size[rows]
+            use = (label[i] != label[rows]) & (np.arange(lo, lo + i.size)[:, None] < np.arange(rows.size)) & (9 * abs(size[i] - size[rows]) <= total)
+            if use.any():
+                use &= 9 * np.bitwise_count(x[lo: lo + i.size, None] ^ x).sum(2, dtype=np.int64) <= total
+            a, b = np.nonzero(use)
+            left.append(own[lo + a])
+            right.append(rows[b])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def unsettled(named: DataFrame, signs: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a bucket with different labels that may be similar.
+
+    Only pairs that the bound cannot rule out leave the task, each in the first band that it shares.
     """
 
     def run(got: pa.Table) -> pa.Table:
-        x = np.frombuffer(b"".join(got.column("registers").to_pylist()), np.uint16).reshape(got.num_rows, -1)
         ids, label, band = np.array(got.column("doc_id")), np.array(got.column("label")), got.column("band")[0].as_py()
-        block = max(1, (1 << 24) // x.size)
-        a, b = [], []
-        for lo in range(0, len(ids), block):
-            same = x[lo: lo + block, None] == x
-            use = (same.mean(2) >= LIKELY) & (label[lo: lo + block, None] != label) & (ids[lo: lo + block, None] < ids)
-            use &= same.reshape(*same.shape[:2], BANDS, ROWS).all(3).argmax(2) == band
-            i, j = np.nonzero(use)
-            a.append(ids[lo + i])
-            b.append(ids[j])
-        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+        keys = np.array(got.column("bands").combine_chunks().flatten()).reshape(got.num_rows, BANDS)
+        i, j = possible(np.array(got.column("size")), got.column("cells").to_pylist(), label)
+        use = (ids[i] != ids[j]) & ((keys[i] == keys[j]).argmax(1) == band)
+        i, j = ids[i[use]], ids[j[use]]
+        return pa.table({"a": np.minimum(i, j), "b": np.maximum(i, j)})
 
-    return named.join(registers.hint("merge"), "doc_id").groupBy("key").applyInArrow(run, "a long, b long")
+    return named.join(signs.hint("merge"), "doc_id").groupBy("key").applyInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -184,7 +226,9 @@ def classes(docs: DataFrame) -> DataFrame:
         mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key", "lo")
         named = named.join(mixed.hint("merge"), "key")
         if last:  # whatever is not settled
-            pairs = likely(named.select("key", "band", "doc_id", "label"), sketches.select("doc_id", "registers"))
+            named = checkpointed(named.select("key", "band", "doc_id", "label"))
+            signs = bitmaps(known.join(named.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")).join(sketches.hint("merge"), "doc_id")
+            pairs = unsettled(named, signs)
         else:  # one document for each label, all against the first label's
             one = named.groupBy("key", "label").agg(F.min("doc_id").alias("b"), F.first("lo").alias("lo"))
             head = one.where("label = lo").select("key", F.col("b").alias("a"))
