@@ -2,9 +2,10 @@
 
 The automaton reports at each position, by its output links, every piece that ends there; each one relaxes the best
 score of that position. Scores are those of the model file; a character that is no piece costs more than any piece and
-is written as byte pieces. Ties go to the longer piece. No piece holds a space mark after another character, so the
-words between spaces are encoded apart and their codes are kept in a bounded cache. A literal space mark (U+2581) is
-written as bytes; so decoding gives each text back exactly.
+is written as byte pieces. Ties go to the longer piece. Some pieces are runs of space marks, but none holds a mark after
+another character (checked when the model is read); so texts are cut where a space follows another character, each run
+of spaces stays with the word after it, and the codes of these units are kept in a bounded cache. A literal space mark
+(U+2581) is written as bytes; so decoding gives each text back exactly.
 
 A null text is encoded as no pieces and decoded as null, an empty one as the piece of the leading space mark. Repeated
 rows give repeated results.
@@ -13,6 +14,7 @@ rows give repeated results.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -25,6 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 
 MARK, STAND_IN = "▁", "\U0010ffff"
+#: A run of spaces with the word after it, or the spaces that end a text.
+UNIT = re.compile(" +[^ ]*")
 CACHED = 500_000
 
 
@@ -49,12 +53,14 @@ class Codec:
             elif sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i):
                 self.bytes_of.append(b"")
             else:
+                if MARK in piece.lstrip(MARK):
+                    raise ValueError(f"a space mark after another character: {piece}")
                 self.automaton.add_word(piece, (len(piece), sp.get_score(i), i))
                 self.bytes_of.append(piece.replace(MARK, " ").encode())
                 low = min(low, sp.get_score(i)) if sp.get_score(i) > -1e8 else low
         self.automaton.make_automaton()
         self.unknown = low - 10.0
-        self.words: dict[str, bytes] = {}
+        self.units: dict[str, bytes] = {}
 
     def best(self, text: str, plain: str) -> list[int]:
         """Ids of the best path through `text`; `plain` gives the characters that are written as bytes."""
@@ -88,16 +94,16 @@ class Codec:
             n -= size[n]
         return out[::-1]
 
-    def word(self, word: str) -> bytes:
-        plain = MARK + word
-        ids = np.array(self.best(MARK + word.replace(MARK, STAND_IN), plain), np.int32).tobytes()
-        if len(self.words) < CACHED and len(word) < 64:
-            self.words[word] = ids
+    def unit(self, unit: str) -> bytes:
+        plain = unit.replace(" ", MARK)
+        ids = np.array(self.best(unit.replace(MARK, STAND_IN).replace(" ", MARK), plain), np.int32).tobytes()
+        if len(self.units) < CACHED and len(unit) < 64:
+            self.units[unit] = ids
         return ids
 
     def encode(self, text: str) -> np.ndarray:
-        known = self.words.get
-        return np.frombuffer(b"".join([known(w) or self.word(w) for w in text.split(" ")]), np.int32)
+        known = self.units.get
+        return np.frombuffer(b"".join([known(u) or self.unit(u) for u in UNIT.findall(" " + text)]), np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))[1:].decode("utf8")

@@ -184,3 +184,12 @@ def test_near_duplicates_unlikely_registers(spark):
     rows = [(keys[i][b], b, i + j, i + j) for (i, _), bands in shared.items() for b in bands for j in (0, 1)]
     got = neardup.unsettled(spark.createDataFrame(rows, "key long, band int, doc_id long, label long"), signs).collect()
     assert rows and sorted((r.a, r.b) for r in got) == [p for p, bands in shared.items() if bands]
+
+
+def test_pieces_runs_of_spaces():
+    c = pieces.codec(pieces.model_path())
+    for t in ["if x:\n foo bar".replace(" ", "   "), "if x:\n   foo  bar", "    a", "a     ", " " * 40, "", "a b  c   d    e", "▁  ▁ x"]:
+        whole = (" " + t).replace("▁", pieces.STAND_IN).replace(" ", "▁")
+        got = c.encode(t)
+        assert got.tolist() == c.best(whole, " " + t) and c.decode(got) == t
+    assert len(c.encode("a" + " " * 16)) < 4
