@@ -4,8 +4,12 @@ Texts are cut once into words (A-Z lowered, split at the six ASCII spaces) and o
 kept as word numbers beside the sorted 64-bit hashes of its words. Counts of words come together by hash range, never on
 the driver; what reaches the driver is bounded by parameters: the HEAD_WORDS most frequent words and one matrix of
 bigrams among them, the length bands of all other words, and the end. The exchange algorithm puts the head words into
-CLASSES classes; each band and the end is a class of its own. A word costs its class after the class before, which is
-interpolated with the class alone, and the word within its class; a band keeps half a count for unknown words.
+CLASSES classes; each band and the end is a class of its own. Then every other word that training has at least MIN_COUNT
+times joins one of the CLASSES classes, by hash range: the one where its counts of classes before and after raise the
+likelihood of the class bigrams most (all such words in one batch, against the matrix of the head words and bands).
+Only rarer words stay in the bands. Class bigrams are then counted anew over all words. A word costs its class after the
+class before, which is interpolated with the class alone, and the word within its class; a band keeps half a count for
+unknown words.
 
 A null text is empty: only its end is scored. Rows with a null doc_id train. Without training rows every count is 0.
 Repeated rows each count. Hash ties between words (64 bits) would be counted as one word.
@@ -27,6 +31,9 @@ from pyspark.sql import functions as F
 from .common import U64, checkpointed, shares, slices, table, utf8, word_hashes
 
 HEAD_WORDS, CLASSES = 512, 24
+MIN_COUNT = 3
+#: Of a word that joins no class.
+STAYS = 255
 BAND_EDGES = (3, 5, 7, 9, 12)
 BANDS = len(BAND_EDGES) + 1
 SWEEPS = 4
@@ -54,9 +61,8 @@ def _cuts(hashes: np.ndarray, ranges: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(hashes, edges), [hashes.size]])
 
 
-def cut_words(docs: DataFrame) -> DataFrame:
+def cut_words(docs: DataFrame, ranges: int) -> DataFrame:
     """(batch, range, body): range -1 has the texts of a batch, the others its words' hashes, training counts and bands."""
-    ranges = shares(docs, "text", RANGE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -122,7 +128,7 @@ class Model:
     ends: int
     vocabulary: int
     cls: np.ndarray | None = None
-    step: np.ndarray | None = None
+    matrix: np.ndarray | None = None
 
     @property
     def total(self) -> int:
@@ -242,47 +248,165 @@ def train(cut: DataFrame, summed: DataFrame) -> Model:
     model = Model(head[0][order], order, counts, kinds, np.concatenate([counts, tokens]), int(n_ends), vocabulary)
     pairs = bigrams(cut, model)
     cls = exchange(pairs, len(counts))
-    k = int(cls.max()) + 1
-    one = np.eye(k)[cls]
-    m = one.T @ pairs @ one
-    after, alone = m.sum(1, keepdims=True), m.sum(0)
-    base = (alone + 0.5) / (alone.sum() + 0.5 * k)
+    one = np.eye(int(cls.max()) + 1)[cls]
     model.cls = cls
-    model.step = np.log10(np.where(after > 0, KEEP * m / np.maximum(after, 1) + (1 - KEEP) * base, base))
+    model.matrix = one.T @ pairs @ one
     return model
 
 
+def contexts(cut: DataFrame, model: Model, ranges: int) -> DataFrame:
+    """(range, batch, body): of each word of a batch that is no head word its hash and band, and how often which class
+    stands before it (numbers from 0) and after it (from the number of classes) in training texts."""
+    heads, k = len(model.counts), len(model.matrix)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, body in zip(batch.column("batch"), batch.column("body"), strict=True):
+                texts = body.as_py()
+                which, unit, before, row, train = _chain(model, texts)
+                use = np.flatnonzero(train[row] & (unit >= heads) & (which >= 0))
+                words, band = _open(texts[5], U64), _open(texts[6], np.uint8)
+                found = []
+                for side, beside in ((0, before[use]), (1, unit[use + 1] if use.size else use)):
+                    found.append(np.unique(which[use] * (2 * k) + side * k + model.cls[beside], return_counts=True))
+                key, n = (np.concatenate(x) for x in zip(*found, strict=True))
+                order = np.argsort(key)
+                key, n = key[order], n[order].astype(np.uint32)
+                number = key // (2 * k)
+                entries = np.bincount(number, minlength=words.size).astype(np.uint8)
+                cuts = _cuts(words, ranges)
+                ends = np.searchsorted(number, cuts)
+                rows = [(r, [_pack(words[a:b]), _pack(band[a:b]), _pack(entries[a:b]), _pack((key[i:j] % (2 * k)).astype(np.uint8)), _pack(n[i:j])]) for r, (a, b, i, j) in enumerate(zip(cuts[:-1], cuts[1:], ends[:-1], ends[1:], strict=True)) if b > a]
+                yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in rows], pa.int32()), pa.array([name.as_py()] * len(rows), pa.string()), pa.array([p for _, p in rows], pa.list_(pa.binary()))], ["range", "batch", "body"])
+
+    return cut.where("range < 0").select("batch", "body").mapInArrow(run, "range int, batch string, body array<binary>")
+
+
+def choose(into: np.ndarray, out: np.ndarray, m: np.ndarray, classes: int) -> np.ndarray:
+    """The class that gains most by each word, given the counts of classes before (into) and after (out) it."""
+    f = lambda x: np.where(x > 0, x * np.log(np.maximum(x, 1)), 0.0)
+    rows, columns = m[:classes], m[:, :classes].T
+    r, q = rows.sum(1), columns.sum(1)
+    best = np.zeros(len(into), np.uint8)
+    for lo in range(0, len(into), 1024):
+        a, b = into[lo: lo + 1024, None], out[lo: lo + 1024, None]
+        gain = (f(rows + b) - f(rows)).sum(2) + (f(columns + a) - f(columns)).sum(2)
+        gain -= f(r + b.sum(2)) - f(r) + f(q + a.sum(2)) - f(q)
+        best[lo: lo + 1024] = gain.argmax(1)
+    return best
+
+
+def assign(found: DataFrame, model: Model) -> DataFrame:
+    """(range, batch, classes, sums): the class of each word of a batch in a range, STAYS where it joins none.
+
+    One row without a batch for each range has the tokens that joined each class, and words and tokens that left each band.
+    """
+    k = len(model.matrix)
+    classes = k - BANDS - 1
+
+    def run(parts: pd.DataFrame) -> pd.DataFrame:
+        words = [_open(b[0], U64) for b in parts["body"]]
+        every, number = np.unique(np.concatenate(words), return_inverse=True)
+        total, band = np.zeros(every.size, np.int64), np.zeros(every.size, np.uint8)
+        ends = np.cumsum([0, *(w.size for w in words)])
+        own = [number[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        for i, b in zip(own, parts["body"], strict=True):
+            band[i] = _open(b[1], np.uint8)
+            before = _open(b[3], np.uint8) < k
+            total += np.bincount(np.repeat(i, _open(b[2], np.uint8))[before], _open(b[4], np.uint32)[before], every.size).astype(np.int64)
+        often = np.flatnonzero(total >= MIN_COUNT)
+        place = np.full(every.size, -1, np.int64)
+        place[often] = np.arange(often.size)
+        counts = np.zeros(often.size * 2 * k, np.float32 if total.sum() < 1 << 24 else float)
+        for i, b in zip(own, parts["body"], strict=True):
+            at = np.repeat(place[i], _open(b[2], np.uint8))
+            use = at >= 0
+            key = at[use] * (2 * k) + _open(b[3], np.uint8)[use]  # each once in a batch
+            counts[key] += _open(b[4], np.uint32)[use]
+        counts = counts.reshape(-1, 2 * k)
+        best = np.full(every.size, STAYS, np.uint8)
+        best[often] = choose(counts[:, :k], counts[:, k:], model.matrix, classes)
+        rows = [(parts["range"].iloc[0], name, _pack(best[i]), None) for name, i in zip(parts["batch"], own, strict=True)]
+        sums = [np.bincount(best[often], total[often], k), np.bincount(band[often], minlength=k), np.bincount(band[often], total[often], k)]
+        rows.append((parts["range"].iloc[0], None, None, _pack(np.stack(sums).astype(np.int64))))
+        return pd.DataFrame(rows, columns=["range", "batch", "classes", "sums"])
+
+    return found.groupBy("range").applyInPandas(run, "range int, batch string, classes binary, sums binary")
+
+
+def classed(cut: DataFrame, summed: DataFrame, assigned: DataFrame, model: Model) -> DataFrame:
+    """(body, pairs): the texts of each batch with count and class of each of its words, and class bigrams in training."""
+    k = len(model.matrix)
+
+    def run(key: tuple, parts: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        ids, known, train, sizes, number, words, band = own["body"].iloc[0]
+        parts = parts.sort_values("range")
+        counts = [_open(b, np.int64) for b in parts["counts"] if b is not None]
+        joined = [_open(b, np.uint8) for b in parts["classes"] if b is not None]
+        count, join = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (counts, joined))
+        cls = model.cls[model.of(_open(words, U64), _open(band, np.uint8))].astype(np.uint8)
+        cls = np.where(join == STAYS, cls, join).astype(np.uint8)
+        body = [ids, known, train, sizes, number, _pack(count), _pack(cls)]
+        _, after, before, row, trained = _classes(body, k)
+        use = trained[row]
+        return pd.DataFrame({"body": [body], "pairs": [np.bincount(before[use] * k + after[use], minlength=k * k)]})
+
+    both = summed.where("batch IS NOT NULL").select("batch", "range", "counts", F.lit(None).cast("binary").alias("classes"))
+    both = both.union(assigned.where("batch IS NOT NULL").select("batch", "range", F.lit(None).cast("binary"), "classes"))
+    texts = cut.where("range < 0").select("batch", "body").groupBy("batch")
+    return both.groupBy("batch").cogroup(texts).applyInPandas(run, "body array<binary>, pairs array<long>")
+
+
+def _classes(body: list[bytes], k: int) -> tuple[np.ndarray, ...]:
+    """Counts (-1 for ends), classes and classes before of all tokens of a batch, the row of each, and which rows train."""
+    _, _, train, sizes, number, count, cls = body
+    sizes, number = _open(sizes, np.uint32).astype(np.int64), _open(number, np.uint32)
+    stop = np.zeros(number.size + sizes.size, bool)
+    stop[np.cumsum(sizes + 1) - 1] = True
+    c, at = np.full(stop.size, -1, np.int64), np.full(stop.size, k - 1, np.int64)
+    c[~stop] = _open(count, np.int64)[number]
+    at[~stop] = _open(cls, np.uint8)[number]
+    return c, at, np.roll(at, 1), np.repeat(np.arange(sizes.size), sizes + 1), _open(train, bool)
+
+
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity."""
-    cut = checkpointed(cut_words(docs))
+    ranges = shares(docs, "text", RANGE)
+    cut = checkpointed(cut_words(docs, ranges))
     summed = checkpointed(sum_counts(cut))
     model = train(cut, summed)
-    heads = len(model.counts)
-    in_class = np.bincount(model.cls[:heads], model.counts, int(model.cls.max()) + 1)
-    bands_of = model.tokens[heads:]
-
-    def run(key: tuple, parts: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        texts = list(own["body"].iloc[0])
-        counts = np.concatenate([_open(b, np.int64) for b in parts.sort_values("range")["counts"]]) if len(parts) else np.zeros(0, np.int64)
-        which, unit, before, row, trained = _chain(model, texts)
-        c = np.full(which.size, model.ends, np.int64)
-        c[which >= 0] = counts[which[which >= 0]]
-        plain = np.log10((c + 0.5) / (model.total + 0.5 * (model.vocabulary + 1)))
-        emit = np.zeros(which.size)
-        is_head, is_band = unit < heads, (unit >= heads) & (unit < model.units - 1)
-        emit[is_head] = np.log10(c[is_head] / in_class[model.cls[unit[is_head]]])
-        b = unit[is_band] - heads
-        emit[is_band] = np.log10((c[is_band] + 0.5) / (bands_of[b] + 0.5 * (model.kinds[b] + 1)))
-        value = model.step[model.cls[before], model.cls[unit]] + emit
-        n = len(trained)
-        tokens = np.bincount(row, minlength=n)
-        out = pd.DataFrame({"doc_id": pd.array(_open(texts[0], np.int64), "Int64"), "held_out": ~trained, "n_tokens": tokens, "n_known": np.bincount(row[c > 0], minlength=n), "train_tokens": model.total, "base_score": np.bincount(row, plain, n), "score": np.bincount(row, value, n)})
-        out.loc[~_open(texts[1], bool), "doc_id"] = pd.NA
-        out["perplexity"] = 10 ** (-out["score"] / tokens)
-        return out
+    k, heads = len(model.matrix), len(model.counts)
+    classes = k - BANDS - 1
+    assigned = checkpointed(assign(contexts(cut, model, ranges), model))
+    sums = sum((_open(bytes(r["sums"]), np.int64).reshape(3, k) for r in assigned.where("batch IS NULL").select("sums").collect()), np.zeros((3, k), np.int64))
+    in_class = np.bincount(model.cls[:heads], model.counts, k) + sums[0]
+    kinds_of, bands_of = model.kinds - sums[1][:BANDS], model.tokens[heads:] - sums[2][:BANDS]
+    texts = checkpointed(classed(cut, summed, assigned, model))
+    m = np.zeros(k * k)
+    for r in texts.select(F.posexplode("pairs")).groupBy("pos").agg(F.sum("col").alias("n")).collect():
+        m[r["pos"]] = r["n"]
+    m = m.reshape(k, k)
+    after, alone = m.sum(1, keepdims=True), m.sum(0)
+    base = (alone + 0.5) / (alone.sum() + 0.5 * k)
+    step = np.log10(np.where(after > 0, KEEP * m / np.maximum(after, 1) + (1 - KEEP) * base, base))
+    ends, total, vocabulary = model.ends, model.total, model.vocabulary
 
-    counts = summed.where("batch IS NOT NULL").select("batch", "range", "counts")
-    return counts.groupBy("batch").cogroup(cut.where("range < 0").select("batch", "body").groupBy("batch")).applyInPandas(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for body in (b.as_py() for batch in batches for b in batch.column("body")):
+            c, cls, before, row, trained = _classes(body, k)
+            c[c < 0] = ends
+            plain = np.log10((c + 0.5) / (total + 0.5 * (vocabulary + 1)))
+            emit = np.zeros(c.size)
+            is_class, is_band = cls < classes, (cls >= classes) & (cls < k - 1)
+            emit[is_class] = np.log10(c[is_class] / in_class[cls[is_class]])
+            b = cls[is_band] - classes
+            emit[is_band] = np.log10((c[is_band] + 0.5) / (bands_of[b] + 0.5 * (kinds_of[b] + 1)))
+            n = len(trained)
+            tokens, value = np.bincount(row, minlength=n), np.bincount(row, step[before, cls] + emit, n)
+            out = [pa.array(_open(body[0], np.int64), mask=~_open(body[1], bool)), pa.array(~trained), pa.array(tokens), pa.array(np.bincount(row[c > 0], minlength=n)), pa.array(np.full(n, total)), pa.array(np.bincount(row, plain, n)), pa.array(value), pa.array(10 ** (-value / tokens))]
+            yield pa.RecordBatch.from_arrays(out, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
+
+    return texts.select("body").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
 
 
 def op7_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
