@@ -2,9 +2,12 @@
 
 Characters are lowered; each run of anything but letters is one boundary. Models of ORDER characters are counted on
 about `sample_docs` whole labelled documents of each language, chosen by a hash of doc_id (the sample is a parameter; it
-bounds what reaches the driver). The language with the lowest cross-entropy per character wins, ties to the first by
-code point. A second sample of that size sets the rejection limit: the cross-entropy that all but a thousandth of it
-stay below, plus `margin` bits.
+bounds what reaches the driver) and at most TRAINED of its documents. The language with the lowest cross-entropy per
+character wins, ties to the first by code point. A second sample, of that size or the rest, sets the rejection limit: the
+cross-entropy that all but a thousandth of it stay below, raised halfway to the one that all but a twentieth of the
+sample of each language exceed when its own model is left out, where that is higher. With one language, the limit is as
+far above its quantile as that is above the median. A language with fewer than FEW documents trains on all of them and
+has no say in the limit.
 
 A null text or one without a letter gives `und`, score 0, rejected. Without labelled rows each text is `und`. Rows
 with a null doc_id are not held out and never train. Repeated rows give the same answer each; other columns are kept.
@@ -27,7 +30,8 @@ from .common import U64, mix64, slices, table, utf8
 
 ORDER = 4
 SAMPLE_DOCS = 300
-MARGIN = 2.0
+TRAINED, FEW = 0.8, 5
+KEPT, LEFT_OUT = 0.999, 0.05
 SHARPNESS = 8.0
 UND = "und"
 CHUNK = 2 << 20
@@ -178,13 +182,35 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_pydict({"lang": pa.array([lang.as_py()] * len(n), pa.string()), **{f"c{j}": grams[:, j] for j in range(ORDER)}, "n": n.astype(np.int64)})
 
 
-def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, margin: float = MARGIN) -> Model:
+def limit(labelled: DataFrame, model: Model) -> float:
+    """The rejection limit by a sample that did not train; infinite if it has no letter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text", CHUNK):
+                e, has = model.entropies(batch.column("text"))
+                own = np.array(batch.column("lang").to_pylist())[:, None] == np.array(model.languages)
+                bits = [e.min(1)[has], np.where(own, np.inf, e).min(1)[has]]
+                yield pa.RecordBatch.from_arrays([batch.column("lang").filter(pa.array(has)), *map(pa.array, bits)], ["lang", "low", "other"])
+
+    seen = labelled.mapInArrow(run, "lang string, low double, other double").toPandas()
+    if not len(seen):
+        return np.inf
+    high = float(seen["low"].quantile(KEPT))
+    if len(model.languages) < 2:
+        return 2 * high - float(seen["low"].median())
+    other = float(seen.groupby("lang")["other"].quantile(LEFT_OUT).min())
+    return max(high, (high + other) / 2)
+
+
+def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     labelled = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out())
     sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     if not sizes:
         return Model([], np.zeros(0, np.int64), [])
     draw = F.pmod(F.xxhash64(F.lit("language sample"), "doc_id"), F.lit(1 << 31))
-    share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(int(min(1.0, sample_docs / n) * (1 << 31))))])[F.col("lang")]
+    parts = {k: int(min(1.0 if n < FEW else TRAINED, sample_docs / n) * (1 << 31)) for k, n in sizes.items()}
+    share = F.create_map(*[x for k, part in parts.items() for x in (F.lit(k), F.lit(part).cast("long"))])[F.col("lang")]
     schema = "lang string, " + ", ".join(f"c{j} int" for j in range(ORDER)) + ", n long"
     keys = ["lang", *(f"c{j}" for j in range(ORDER))]
     seen = labelled.where(draw < share).select("lang", "text").mapInArrow(_count, schema).groupBy(*keys).agg(F.sum("n").alias("n")).toPandas()
@@ -196,10 +222,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, margin: float = MARGI
         own = seen[seen["lang"] == lang].sort_values(keys[1:])
         models.append(KneserNey(own[keys[1:]].to_numpy(np.int64), own["n"].to_numpy(), len(alphabet)))
     model = Model(languages, alphabet, models)
-    rest = labelled.where((draw >= share) & (draw < 2 * share)).select("doc_id", "text")
-    bits = classify(rest, model).where(f"lang_pred <> '{UND}'").select("bits").toPandas()["bits"]
-    if len(bits):
-        model.limit = float(np.quantile(bits, 0.999)) + margin
+    model.limit = limit(labelled.where((draw >= share) & (draw < 2 * share)).select("lang", "text"), model)
     return model
 
 

@@ -214,3 +214,22 @@ def test_brown_tail(spark):
     both = brown.score(docs.union(spark.createDataFrame([(i, t) for i, t in enumerate(swapped, 100000)], docs.schema).where(brown.held_out()))).toPandas().set_index("doc_id")
     other = both[both.index >= 100000]
     assert np.isfinite(scored.score).all() and (scored.score.loc[other.index - 100000].to_numpy() - other.score.to_numpy()).mean() > 0.5
+
+
+def invented(seed, letters, n):
+    """Texts of words of a vocabulary of their own."""
+    r = np.random.default_rng(seed)
+    words = ["".join(r.choice(list(letters), r.integers(2, 9))) for _ in range(300)]
+    return [" ".join(r.choice(words, r.integers(20, 60))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("n", [60, 900])
+def test_language_not_learned(spark, n):
+    made = {"a": invented(1, "abcdefghijklmno", n), "b": invented(2, "efghijklmnopqrst", n), "c": invented(3, "aeioulmnrstdh", n)}
+    rows = [(i, t, lang) for i, (lang, t) in enumerate((lang, t) for lang, ts in made.items() for t in ts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(docs)
+    kept = language.classify(docs, model).where("NOT rejected").count()
+    new = spark.createDataFrame([(i, t) for i, t in enumerate(invented(4, "abcdefghilmnoprstu", 200))], "doc_id long, text string")
+    gone = language.classify(new, model).where("rejected").count()
+    assert np.isfinite(model.limit) and kept >= 0.999 * len(rows) and gone >= 180
