@@ -371,7 +371,7 @@ def _classes(body: list[bytes], k: int) -> tuple[np.ndarray, ...]:
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity."""
-    ranges = shares(docs, "text", RANGE)
+    (ranges,) = shares(docs, "text", RANGE)
     cut = checkpointed(cut_words(docs, ranges))
     summed = checkpointed(sum_counts(cut))
     model = train(cut, summed)

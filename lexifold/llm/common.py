@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,23 +25,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one only where that is unset."""
+    """The folder named by spark.checkpoint.dir. Where that is unset, a local master gets one of its own; a cluster has to name it."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp())
     return sc.getCheckpointDir()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows of a table as written to the shared folder."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def shares(df: DataFrame, column: str, share: int) -> int:
-    """How many parts of about `share` bytes the text column of a table makes (1 at least)."""
+def shares(df: DataFrame, column: str, *share: int) -> list[int]:
+    """How many parts of about so many bytes the text column of a table makes (1 at least), for each size."""
     total = df.agg(F.sum(F.octet_length(column))).first()[0] or 0
-    return int(total // share) + 1
+    return [int(total // s) + 1 for s in share]
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
