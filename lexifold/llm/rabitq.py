@@ -6,12 +6,17 @@ bits in each cell, so that its inner product with a code is a few AND and popcou
 an error bound. In each cell, every vector whose upper bound reaches the lower bound of the K-th best is reranked by the
 exact cosine in double precision.
 
-Cells: centroids are fitted on a bounded sample (`sample`), about the square root of the number of vectors; every vector
-is in the cell of its nearest centroid and a query visits the `probes` nearest. A large cell is dealt over parts, so no
-task gathers a cell. Equal vectors are one class of which the K + 1 smallest ids are kept, enough for any query.
+Cells: centroids are fitted on a sample drawn by hash (SAMPLE rows at most), about the square root of the number of
+vectors, one for each four of the sample at most; every vector is in the cell of its nearest centroid. How many cells a
+query visits is measured, at every size: the true neighbours of ASKED queries at most, drawn by hash, are found among all
+vectors, and as many of the nearest cells are visited as hold RECALL of these neighbours. Where vectors have clusters
+that's a few cells; where they are noise it is a large share of all. Vectors and queries of a cell meet in blocks of
+BLOCK by BLOCK rows, so no task gathers a cell. Equal vectors are one class of which the K + 1 smallest ids are kept,
+enough for any query.
 
 Null vectors, zero ones, and those with null or non-finite components or of another length than most take no part; nor
-do rows with a null id. Of rows with one id each stands for itself. Ties go to the smaller id.
+do rows with a null id. Of rows with one id each stands for itself: it asks, is an answer, and a query never gets its own
+id. Ties go to the smaller id. An empty table gives no rows; columns other than vec_id and embedding are left out.
 """
 
 from __future__ import annotations
@@ -19,17 +24,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, table
 
 K = 5
-SAMPLE, ROUNDS = 16384, 8
-PROBE_SHARE, LEAST_PROBES = 0.4, 12
-MOST_CELLS = 1024
-PART_ROWS = 4096
+SAMPLE, ROUNDS = 65536, 8
+ASKED, RECALL = 256, 0.97
+BLOCK = 2048
 QUERY_BITS = 6
 #: Errors of an estimate stay below BOUND / sqrt(d - 1) times the scalar of a code, save for a share of about exp(-BOUND^2 / 2).
 BOUND = 3.0
@@ -58,18 +62,29 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Lists of one length as rows."""
+    flat = column.combine_chunks().flatten() if isinstance(column, pa.ChunkedArray) else column.flatten()
+    return np.array(flat, float).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
+def some(rows: DataFrame, name: str, most: int, label: str) -> tuple[np.ndarray, int]:
+    """The vectors of about `most` rows at most, drawn by a hash of a column and in its order; and the number of rows."""
+    n = rows.count()
+    draw = F.pmod(F.xxhash64(F.lit(label), name), F.lit(1 << 31))
+    drawn = rows.where(draw < int(min(1.0, most / max(n, 1)) * (1 << 31))).select(name, "embedding").orderBy(name)
+    return matrix(drawn.toArrow().column("embedding")), n
+
+
 def fit(reps: DataFrame, sample: int = SAMPLE) -> np.ndarray:
-    """Centroids by k-means on a sample drawn by hash."""
-    n = reps.count()
-    cells = int(min(MOST_CELLS, max(1, np.sqrt(n) / 2)))
-    draw = F.pmod(F.xxhash64(F.lit("sample"), "class"), F.lit(1 << 31))
-    rows = reps.where(draw < int(min(1.0, sample / max(n, 1)) * (1 << 31))).select("class", "embedding").orderBy("class").toPandas()
-    if not len(rows):
+    """Centroids by k-means on the sample."""
+    x, n = some(reps, "class", sample, "sample")
+    if not len(x):
         return np.zeros((0, 0))
-    x = unit(np.array(rows["embedding"].tolist(), float))
-    centres = x[np.linspace(0, len(x) - 1, min(cells, len(x))).astype(int)]
+    x = unit(x)
+    centres = x[np.linspace(0, len(x) - 1, int(max(1, min(np.sqrt(n), len(x) / 4)))).astype(int)]
     for _ in range(ROUNDS):
-        at = (x @ centres.T).argmax(1)
+        at = np.concatenate([(x[lo: lo + 4096] @ centres.T).argmax(1) for lo in range(0, len(x), 4096)])
         total = np.zeros_like(centres)
         np.add.at(total, at, x)
         norm = np.sqrt((total * total).sum(1, keepdims=True))
@@ -99,68 +114,114 @@ class Codes:
         self.centre, self.turn, self.d = centre, turn, d
 
     def estimate(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Estimated inner products of a unit query with all vectors, and bounds of their errors."""
+        """Estimated inner products of unit queries (rows of q) with all vectors, and bounds of their errors."""
         rest = (q - self.centre) @ self.turn
-        far = max(float(np.sqrt(rest @ rest)), 1e-12)
+        far = np.maximum(np.sqrt((rest * rest).sum(1)), 1e-12)[:, None]
         direction = rest / far
-        low, step = direction.min(), max((direction.max() - direction.min()) / ((1 << QUERY_BITS) - 1), 1e-12)
+        low = direction.min(1, keepdims=True)
+        step = np.maximum((direction.max(1, keepdims=True) - low) / ((1 << QUERY_BITS) - 1), 1e-12)
         level = np.round((direction - low) / step).astype(np.uint8)
-        planes = np.packbits(level >> np.arange(QUERY_BITS, dtype=np.uint8)[:, None] & 1, axis=1)
-        planes = np.ascontiguousarray(np.pad(planes, ((0, 0), (0, -planes.shape[1] % 8)))).view(np.uint64)
-        dot = sum(float(1 << j) * np.bitwise_count(self.bits & planes[j]).sum(1) for j in range(QUERY_BITS))
-        signed = 2 * (low * self.ones + step * dot) - (low * self.d + step * float(level.sum()))  # bits as plus and minus one
+        dot = np.zeros((len(q), len(self.far)))
+        for j in range(QUERY_BITS):
+            plane = np.packbits(level >> j & 1, axis=1)
+            plane = np.ascontiguousarray(np.pad(plane, ((0, 0), (0, -plane.shape[1] % 8)))).view(np.uint64)
+            for word in range(plane.shape[1]):
+                dot += float(1 << j) * np.bitwise_count(plane[:, word, None] & self.bits[:, word])
+        total = level.sum(1, dtype=float)[:, None]
+        signed = 2 * (low * self.ones + step * dot) - (low * self.d + step * total)  # bits as plus and minus one
         cosine = signed / np.sqrt(self.d) / self.own
         error = BOUND * (self.error + step / 2 / self.own)
-        base = q @ self.centre
+        base = (q @ self.centre)[:, None]
         # q.x = (q-c).(x-c) + q.c + x.c - c.c, and x.c follows from |x - c|
         xc = (1 + self.centre @ self.centre - self.far ** 2) / 2
         return far * self.far * cosine + base + xc - self.centre @ self.centre, far * self.far * error
 
 
+def nearest_cells(x: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
+    """For each unit vector the n nearest cells, nearest first."""
+    return np.concatenate([np.argsort(-(x[lo: lo + 2048] @ centres.T), 1, kind="stable")[:, :n] for lo in range(0, len(x), 2048)]) if len(x) else np.zeros((0, n), int)
+
+
+def probes(placed: DataFrame, queries: DataFrame, centres: np.ndarray, k: int, asked: int = ASKED, recall: float = RECALL) -> int:
+    """How many of the nearest cells hold a share of `recall` of the true neighbours of some queries."""
+    q, _ = some(queries, "query", asked, "asked")
+    if not len(q):
+        return 1
+    q = unit(q)
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                near = unit(matrix(batch.column("embedding"))) @ q.T
+                near[near > 1 - 1e-9] = -2  # the query itself
+                rows = np.argsort(-near, 0, kind="stable")[:k]
+                columns = np.broadcast_to(np.arange(len(q)), rows.shape)
+                yield pa.RecordBatch.from_arrays([pa.array(columns.ravel()), pa.array(near[rows, columns].ravel()), batch.column("cell").take(pa.array(rows.ravel()))], ["query", "near", "cell"])
+
+    found = placed.select("embedding", "cell").mapInArrow(best, "query long, near double, cell int").where("near > -2")
+    first = found.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("near"), "cell"))).where(F.col("r") <= k).toArrow()
+    if not len(first):
+        return 1
+    rank = np.argsort(nearest_cells(q, centres, len(centres)), 1)[np.array(first.column("query")), np.array(first.column("cell"))]
+    return int(np.sort(rank)[int(np.ceil(recall * rank.size)) - 1]) + 1
+
+
 def search(reps: DataFrame, queries: DataFrame, centres: np.ndarray, k: int = K) -> DataFrame:
-    """(query, class, score): for each query class the best vector classes of every cell that it visits."""
-    probes = min(len(centres), max(LEAST_PROBES, int(len(centres) * PROBE_SHARE)))
+    """(query, class, score): for each query class the best vector classes of every block of rows that it meets."""
     turn = rotation(centres.shape[1])
 
-    def cells_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cells_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if len(b):
-                x = unit(np.array(b["embedding"].tolist(), float))
-                yield b.assign(cell=(x @ centres.T).argmax(1))
+            if b.num_rows:
+                cell = nearest_cells(unit(matrix(b.column("embedding"))), centres, 1)[:, 0]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell, pa.int32())], [*b.schema.names, "cell"])
+
+    placed = checkpointed(reps.select("class", "embedding").mapInArrow(cells_of, "class long, embedding array<double>, cell int"))
+    visited = probes(placed, queries, centres, k)
 
-    def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if len(b):
-                x = unit(np.array(b["embedding"].tolist(), float))
-                near = np.argsort(-(x @ centres.T), 1, kind="stable")[:, :probes]
-                yield pd.DataFrame({"query": np.repeat(b["query"], probes), "q": np.repeat(b["embedding"], probes), "cell": near.ravel()})
-
-    placed = checkpointed(reps.select("class", "embedding").mapInPandas(cells_of, "class long, embedding array<double>, cell int"))
-    sizes = placed.groupBy("cell").count().withColumn("parts", F.ceil(F.col("count") / PART_ROWS).cast("int")).drop("count")
-    dealt = placed.join(F.broadcast(sizes), "cell").withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts"))).drop("parts")  # MOST_CELLS rows at most
-    asked = queries.mapInPandas(visits, "query long, q array<double>, cell int").join(F.broadcast(sizes), "cell")
-    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("parts") - 1).cast("long")))).drop("parts")
-
-    def look(key: tuple, base: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query": [], "class": [], "score": []}).astype({"query": "int64", "class": "int64"})
-        if not len(base) or not len(ask):
-            return empty
-        raw = np.array(base["embedding"].tolist(), float)
-        norm = np.sqrt((raw * raw).sum(1))
-        codes = Codes(unit(raw), centres[key[0]], turn)
-        ids, out = base["class"].to_numpy(), []
-        for name, vector in zip(ask["query"], ask["q"], strict=True):
-            v = np.array(vector, float)
-            estimate, error = codes.estimate(unit(v[None])[0])
-            least = estimate - error
-            bar = np.partition(least, -(k + 1))[-(k + 1)] if len(least) > k + 1 else -np.inf
-            again = np.flatnonzero(estimate + error >= bar)
-            score = (raw[again] * v).sum(1) / (norm[again] * np.sqrt((v * v).sum()))
-            best = np.lexsort((ids[again], -score))[: k + 1]
-            out.append(pd.DataFrame({"query": name, "class": ids[again][best], "score": score[best]}))
-        return pd.concat(out)
-
-    return dealt.groupBy("cell", "part").cogroup(asked.groupBy("cell", "part")).applyInPandas(look, "query long, class long, score double")
+            if b.num_rows:
+                near = nearest_cells(unit(matrix(b.column("embedding"))), centres, visited)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(near.astype(np.int32).tolist(), pa.list_(pa.int32()))], ["query", "embedding", "cells"])
+
+    asks = checkpointed(queries.mapInArrow(visits, "query long, embedding array<double>, cells array<int>"))
+    each = asks.select("query", F.explode("cells").alias("cell"))
+    many = lambda rows, name: rows.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+    blocks = checkpointed(many(placed, "parts").join(many(each, "turns"), "cell"))  # one row for each cell
+    numbers = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    # each block of vectors of a cell is dealt to each block of queries that visit it
+    base = placed.join(F.broadcast(blocks), "cell").withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "class"), F.col("parts")).cast("int")).withColumn("turn", F.explode(numbers("turns")))
+    asking = asks.withColumn("cell", F.explode("cells")).drop("cells").join(F.broadcast(blocks), "cell").withColumn("turn", F.pmod(F.xxhash64(F.lit("turn"), "query"), F.col("turns")).cast("int")).withColumn("part", F.explode(numbers("parts")))
+
+    def look(base: pa.Table, ask: pa.Table) -> pa.Table:
+        names, found, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        if base.num_rows and ask.num_rows:
+            raw, asked = matrix(base.column("embedding")), matrix(ask.column("embedding"))
+            x, q = unit(raw), unit(asked)
+            codes = Codes(x, centres[base.column("cell")[0].as_py()], turn)
+            ids, query = np.array(base.column("class")), np.array(ask.column("query"))
+            norm, asked_norm = np.sqrt((raw * raw).sum(1)), np.sqrt((asked * asked).sum(1))
+            for lo in range(0, len(q), 256):
+                estimate, error = codes.estimate(q[lo: lo + 256])
+                least = estimate - error
+                bar = -np.partition(-least, k, 1)[:, k: k + 1] if len(ids) > k + 1 else -np.inf
+                row, at = np.nonzero(estimate + error >= bar)
+                exact = np.empty(row.size)
+                for i in range(0, row.size, 1 << 16):
+                    r, a = row[i: i + (1 << 16)] + lo, at[i: i + (1 << 16)]
+                    exact[i: i + (1 << 16)] = (raw[a] * asked[r]).sum(1) / (norm[a] * asked_norm[r])
+                order = np.lexsort((ids[at], -exact, row))
+                row, at, exact = row[order], at[order], exact[order]
+                start = np.searchsorted(row, np.arange(row[-1] + 1)) if row.size else row
+                keep = np.arange(row.size) - start[row] <= k
+                names.append(query[row[keep] + lo])
+                found.append(ids[at[keep]])
+                scores.append(exact[keep])
+        return pa.table({"query": np.concatenate(names), "class": np.concatenate(found), "score": np.concatenate(scores)})
+
+    keys = ("cell", "part", "turn")
+    return base.select(*keys, "class", "embedding").groupBy(*keys).cogroup(asking.select(*keys, "query", "embedding").groupBy(*keys)).applyInArrow(look, "query long, class long, score double")
 
 
 def nearest(vectors: DataFrame, every: int = 50, k: int = K) -> DataFrame:

@@ -1,10 +1,8 @@
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from lexifold.llm import brown, chat, language, mixing, neardup, pieces, private, rabitq, repeats, webp
+from lexifold.llm import brown, chat, language, neardup, pieces, private, webp
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau".split()
 
@@ -73,35 +71,6 @@ def test_webp_transforms():
     assert webp.decode(wrap(2, 2, *head, *image))[0, 0].tolist() == [255, 1 + 5, 5, 0]
 
 
-def test_neighbours(spark):
-    r = np.random.default_rng(1)
-    x = r.standard_normal((400, 16))
-    x[7] = x[100] = x[50]
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(400, None), (401, [0.0] * 16), (402, [float("nan")] * 16), (450, [1.0])]
-    got = rabitq.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).toPandas()
-    u = x / np.sqrt((x * x).sum(1))[:, None]
-    hits = 0
-    for q in range(0, 400, 50):
-        s = u @ u[q]
-        s[q] = -9
-        best = np.lexsort((np.arange(400), -s))[:5]
-        hits += len(set(best) & set(got[got.query_id == q].vec_id))
-    assert hits >= 0.9 * 40 and got[(got.query_id == 50)].sort_values("rank").vec_id.tolist()[:2] == [7, 100]
-
-
-def test_repeats(docs):
-    got = {r.doc_id: r for r in repeats.remove_repeats(docs).collect()}
-    seen = {}
-    for i, t in enumerate(texts()):
-        raw = (t or "").encode()
-        gone = np.zeros(len(raw), bool)
-        for j in range(len(raw) - 49):
-            if seen.setdefault(raw[j: j + 50], i) < i:
-                gone[j: j + 50] = True
-        kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-        assert (got[i].n_removed, got[i].kept_sha256) == (int(gone.sum()), hashlib.sha256(kept).hexdigest())
-
-
 def test_language(spark, docs):
     rows = [(i, ("the house is warm and the dog sleeps " if i % 2 else "talo on lämmin ja koira nukkuu nyt ") * 5, "en" if i % 2 else "fi") for i in range(200)]
     train = spark.createDataFrame(rows, "doc_id long, text string, lang string")
@@ -112,16 +81,6 @@ def test_language(spark, docs):
     assert language.classify(train, language.train(train.limit(0))).first().lang_pred == "und"
 
 
-def test_mixing(docs):
-    packed, cut, drawn = mixing.mix(docs)
-    got = mixing.taken(cut, drawn).toPandas()
-    assert len(got) == len(texts()) and (got["taken"] <= 2 * got["size"]).all()
-    by = got.groupby("source_ix").agg({"taken": "sum", "target": "first"})
-    assert (abs(by.taken - by.target) <= 64).all() and abs(by.target.sum() - 1.5 * got["size"].sum()) < 1e-6
-    mixed = mixing.sizes(mixing.mixed_documents(docs)).toPandas()
-    assert mixed["size"].sum() == got.taken.sum()
-
-
 def test_private():
     t = "write to a.b@mail.example.org or +1 (212) 555-0143, card 4111 1111 1111 1111, host 10.0.0.300 and 10.0.0.7"
     kinds = [k for k, _, _ in private.base_spans(t)]
