@@ -3,18 +3,23 @@
 A text's shingles are runs of five words (A-Z lowered, split at the six ASCII spaces; a shorter text is one shingle),
 weighted by 1 + ln of how often they occur. Each shingle is a Poisson process of arrivals, an arrival falls on one of
 BANDS * ROWS registers, a register keeps its first; a shingle stops once its next arrival is later than every register.
-Registers of equal shingles meet with the probability Jaccard of the texts. Texts that share a band are candidates;
-those whose shingle sets have a Jaccard similarity of 0.8 or more, counted exactly, are linked. A class is a connected
-component of links; a pair of similarity 0.8 shares no band with probability (1 - 0.8^ROWS)^BANDS, below 1e-5.
+Registers of two texts are equal with the probability Jaccard similarity of their weighted shingles: the sum over the
+shingles d of both of 1 / sum over d' of max(x[d'] / x[d], y[d'] / y[d]). Where no shingle repeats, that's the Jaccard
+similarity of their sets. Texts that share a band are candidates; those whose probability Jaccard is 0.8 or more, computed
+exactly, are linked. A class is a connected component of links. A pair of similarity 0.8 shares no band with probability
+(1 - 0.8^ROWS)^BANDS, below 1e-5; that is all that is missed.
 
 Copies are one text from the start. In a band's bucket, each text is compared with the smallest one; then labels of
 different classes in a bucket with each other; and last all pairs whose classes still differ, save those that a bound
-rules out: each set has a bitmap of the parities of its shingles' cells, two bitmaps differ in no more bits than the sets
-differ in shingles, and sizes too far apart leave too little in common. The bound never rules out a similar pair, so no
-pair that shares a band goes unsettled. It is compared inside the bucket, which is quadratic in what is left unsettled.
+rules out: each set has a bitmap of the parities of its shingles' cells, and two bitmaps differ in no more bits than the
+sets differ in shingles. Similar sets differ in at most a ninth of both sizes; with weights, in at most a fifth of both
+weights, since a probability Jaccard is no larger than the overlap of the two distributions. So no pair that shares a
+band goes unsettled. Buckets meet there in blocks of BLOCK texts, so no task gathers one.
 
 Texts without a word (or null) are alone unless they are exact copies of each other; null texts are alone. A row with a
-null doc_id has a null class. Rows with one doc_id are one document if their texts are equal; else their classes join.
+null doc_id has a null class. Rows with one doc_id are one document: their texts are compared apart, and
+their classes join. Repeated rows count once. An empty table gives no rows; a very long text is one row's work in memory.
+Columns other than doc_id and text are left out by `classes` and kept by `keep_one`, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,6 +37,7 @@ WORDS, BANDS, ROWS = 5, 30, 5
 #: Cells of a bitmap for each shingle, and the smallest and largest bitmap.
 CELLS, LEAST, MOST = 4, 1 << 10, 1 << 18
 CHUNK = 4 << 20
+BLOCK = 4096
 
 
 def shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -84,7 +90,7 @@ def sketch(row: np.ndarray, shingle: np.ndarray, count: np.ndarray, rows: int) -
 
 
 def banded(texts: DataFrame) -> DataFrame:
-    """(doc_id, bands): the band keys of each text that has a word."""
+    """(doc_id, digest, bands): the band keys of each text that has a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -96,31 +102,67 @@ def banded(texts: DataFrame) -> DataFrame:
                 for j in range(ROWS):
                     key = mix64(key ^ mix64(found[:, :, j] + U64(j + 1)))
                 bands = pa.ListArray.from_arrays(np.arange(0, has.size * BANDS + 1, BANDS, dtype=np.int32), key.view(np.int64).ravel())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(has)), bands], ["doc_id", "bands"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(has)) for c in ("doc_id", "digest")), bands], ["doc_id", "digest", "bands"])
 
-    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, bands array<long>")
+    return texts.select("doc_id", "digest", "text").mapInArrow(run, "doc_id long, digest binary, bands array<long>")
 
 
 def sets(texts: DataFrame) -> DataFrame:
-    """(doc_id, shingles): the set of shingles of each text."""
+    """(node, shingles, counts): the shingles of each text, and how often each occurs unless none repeats (then null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", CHUNK):
-                row, s, _ = shingles(batch.column("text"))
+                row, s, n = shingles(batch.column("text"))
                 ends = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(ends, s.view(np.int64))], ["doc_id", "shingles"])
+                plain = np.ones(batch.num_rows, bool)
+                plain[row[n > 1]] = False
+                counts = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(np.where(plain, 0, np.diff(ends)))]).astype(np.int32), n[~plain[row]].astype(np.int32), mask=pa.array(plain))
+                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(ends, s.view(np.int64)), counts], ["node", "shingles", "counts"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, shingles array<long>, counts array<int>")
+
+
+def similarity(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray) -> float:
+    """The probability Jaccard of two sets of shingles a and b with weights x and y.
+
+    For a shingle of both, the maxima are x's share where y[d'] / x[d'] is at most its own ratio, else y's: so shingles
+    are sorted by their ratio, and the sums are running ones.
+    """
+    every = np.union1d(a, b)
+    u, v = np.zeros(every.size), np.zeros(every.size)
+    u[np.searchsorted(every, a)], v[np.searchsorted(every, b)] = x, y
+    both = (u > 0) & (v > 0)
+    ratio = np.where(u > 0, v / np.where(u > 0, u, 1), np.inf)
+    order = np.argsort(ratio, kind="stable")
+    at = np.searchsorted(ratio[order], ratio[both], "right")
+    below, above = np.concatenate([[0], np.cumsum(u[order])]), np.concatenate([[0], np.cumsum(v[order])])
+    return float((1 / (below[at] / u[both] + (above[-1] - above[at]) / v[both])).sum())
 
-    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>")
+
+def weights(counts: np.ndarray | None, size: int) -> np.ndarray:
+    return np.ones(size) if counts is None else 1 + np.log(counts)
 
 
 def linked(pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough; merge joins, whose hot keys are split at run time."""
-    left = known.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
-    right = known.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
-    both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.where(5 * common >= 4 * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+    """The pairs (a, b) that are similar enough; merge joins, whose hot keys are split at run time."""
+    side = lambda n: known.select(F.col("node").alias(n), F.col("shingles").alias(f"s{n}"), F.col("counts").alias(f"n{n}")).hint("merge")
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    repeats = F.col("na").isNotNull() | F.col("nb").isNotNull()
+    common = F.when(~repeats, F.size(F.array_intersect("sa", "sb")))
+    settled = both.withColumn("common", common).where(repeats | (5 * F.col("common") >= 4 * (F.size("sa") + F.size("sb") - F.col("common"))))
+    # what has repeated shingles leaves with its sets, all others without
+    slim = settled.select("a", "b", *(F.when(repeats, F.col(c)).alias(c) for c in ("sa", "na", "sb", "nb")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            for i in np.flatnonzero(np.array(batch.column("sa").is_valid())):
+                sa, na, sb, nb = (None if not (v := batch.column(c)[i]).is_valid else np.array(v.values) for c in ("sa", "na", "sb", "nb"))
+                keep[i] = similarity(sa.view(U64), weights(na, sa.size), sb.view(U64), weights(nb, sb.size)) >= 0.8 - 1e-12
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("a", "b")], ["a", "b"])
+
+    return slim.mapInArrow(run, "a long, b long")
 
 
 def bitmap(shingle: np.ndarray) -> np.ndarray:
@@ -131,72 +173,85 @@ def bitmap(shingle: np.ndarray) -> np.ndarray:
 
 
 def bitmaps(known: DataFrame) -> DataFrame:
-    """(doc_id, size, cells): the size of each set and its bitmap."""
+    """(node, size, weight, cells): the size of each set, its weight (null where that's the size), and its bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = batch.column("shingles")
-            flat, ends = np.array(s.flatten()), np.concatenate([[0], np.cumsum(np.array(pa.compute.list_value_length(s)))]).astype(np.int64)
-            cells = [bitmap(flat[a:b]).tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(ends)), pa.array(cells, pa.binary())], ["doc_id", "size", "cells"])
+            size, weight, cells = [], [], []
+            for s, n in zip(batch.column("shingles"), batch.column("counts"), strict=True):
+                s = np.array(s.values)
+                size.append(s.size)
+                weight.append(float(weights(np.array(n.values), s.size).sum()) if n.is_valid else None)
+                cells.append(bitmap(s).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(size, pa.int64()), pa.array(weight, pa.float64()), pa.array(cells, pa.binary())], ["node", "size", "weight", "cells"])
 
-    return known.select("doc_id", "shingles").mapInArrow(run, "doc_id long, size long, cells binary")
+    return known.select("node", "shingles", "counts").mapInArrow(run, "node long, size long, weight double, cells binary")
 
 
-def possible(size: np.ndarray, cells: list[bytes], label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def possible(size: np.ndarray, weight: np.ndarray, cells: list[bytes], label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows with different labels whose sizes and bitmaps allow a similarity of 0.8; no similar pair is left out.
 
-    It takes a difference of at most a ninth of both sizes. Sizes are then so near that bitmaps are of equal length or
-    one is twice the other, which is folded.
+    weight is NaN where no shingle repeats. Of two bitmaps the longer is folded to the length of the other.
     """
-    left, right = [], []
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    plain = np.isnan(weight)
+    weight = np.where(plain, size, weight)
     width = np.array([len(c) // 8 for c in cells])
     for w in np.unique(width):
         own = np.flatnonzero(width == w)
-        twice = np.flatnonzero(width == 2 * w)
-        x = np.frombuffer(b"".join(cells[i] for i in own), U64).reshape(own.size, w)
-        y = np.frombuffer(b"".join(cells[i] for i in twice), U64).reshape(twice.size, 2, w)
-        x, rows = np.concatenate([x, y[:, 0] ^ y[:, 1]]), np.concatenate([own, twice])
+        # a set that is larger by more than either bound allows is none's partner
+        near = 5 * (size - size[own].max()) <= weight + weight[own].max()
+        larger = np.flatnonzero((width > w) & near)
+        rows = np.concatenate([own, larger])
+        x = np.empty((rows.size, w), U64)
+        for i, r in enumerate(rows):
+            x[i] = np.bitwise_xor.reduce(np.frombuffer(cells[r], U64).reshape(-1, w), 0)
         block = max(1, (1 << 21) // x.size)
         for lo in range(0, own.size, block):
             i = own[lo: lo + block, None]
-            total = size[i] + size[rows]
-            use = (label[i] != label[rows]) & (np.arange(lo, lo + i.size)[:, None] < np.arange(rows.size)) & (9 * abs(size[i] - size[rows]) <= total)
+            most = np.where(plain[i] & plain[rows], (size[i] + size[rows]) / 9, (weight[i] + weight[rows]) / 5) + 1e-6
+            use = (label[i] != label[rows]) & (np.arange(lo, lo + i.size)[:, None] < np.arange(rows.size)) & (abs(size[i] - size[rows]) <= most)
             if use.any():
-                use &= 9 * np.bitwise_count(x[lo: lo + i.size, None] ^ x).sum(2, dtype=np.int64) <= total
+                use &= np.bitwise_count(x[lo: lo + i.size, None] ^ x).sum(2, dtype=np.int64) <= most
             a, b = np.nonzero(use)
             left.append(own[lo + a])
             right.append(rows[b])
     return np.concatenate(left), np.concatenate(right)
 
 
-def unsettled(named: DataFrame, signs: DataFrame) -> DataFrame:
+def unsettled(named: DataFrame, signs: DataFrame, block: int = BLOCK) -> DataFrame:
     """Pairs (a, b) of a bucket with different labels that may be similar.
 
-    Only pairs that the bound cannot rule out leave the task, each in the first band that it shares.
+    A bucket of more than `block` texts is dealt into blocks, and each two of them meet in a task. Only pairs that the
+    bound cannot rule out leave the task, each in the first band that it shares.
     """
 
     def run(got: pa.Table) -> pa.Table:
-        ids, label, band = np.array(got.column("doc_id")), np.array(got.column("label")), got.column("band")[0].as_py()
+        ids, label, part = (np.array(got.column(c)) for c in ("node", "label", "part"))
+        band, p, q = (got.column(c)[0].as_py() for c in ("band", "p", "q"))
         keys = np.array(got.column("bands").combine_chunks().flatten()).reshape(got.num_rows, BANDS)
-        i, j = possible(np.array(got.column("size")), got.column("cells").to_pylist(), label)
-        use = (ids[i] != ids[j]) & ((keys[i] == keys[j]).argmax(1) == band)
+        i, j = possible(np.array(got.column("size")), got.column("weight").to_numpy(), got.column("cells").to_pylist(), label)
+        use = (ids[i] != ids[j]) & ((part[i] != part[j]) | (p == q)) & ((keys[i] == keys[j]).argmax(1) == band)
         i, j = ids[i[use]], ids[j[use]]
         return pa.table({"a": np.minimum(i, j), "b": np.maximum(i, j)})
 
-    return named.join(signs.hint("merge"), "doc_id").groupBy("key").applyInArrow(run, "a long, b long")
+    sizes = checkpointed(named.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("parts")))
+    dealt = named.join(sizes.hint("merge"), "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    met = dealt.join(signs.hint("merge"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = met.withColumn("p", F.least("part", "other")).withColumn("q", F.greatest("part", "other")).drop("other", "parts")
+    return met.groupBy("key", "p", "q").applyInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(doc_id, label): of each linked document the smallest one that it reaches."""
+    """(node, label): of each linked text the smallest one that it reaches."""
     edges = checkpointed(links.union(links.select("b", "a")).distinct())
-    labels = edges.groupBy(F.col("a").alias("doc_id")).agg(F.least(F.min("b"), F.first("a")).alias("label"))
+    labels = edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label"))
     labels = checkpointed(labels)
     while True:
-        seen = edges.join(labels.withColumnRenamed("doc_id", "b").hint("merge"), "b").groupBy(F.col("a").alias("doc_id")).agg(F.min("label").alias("near"))
-        jump = labels.select(F.col("doc_id").alias("label"), F.col("label").alias("far"))
-        moved = labels.join(seen.hint("merge"), "doc_id").join(jump.hint("merge"), "label", "left")
-        new = checkpointed(moved.select("doc_id", F.least("label", "near", "far").alias("label"), F.col("label").alias("old")))
+        seen = edges.join(labels.withColumnRenamed("node", "b").hint("merge"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
+        moved = labels.join(seen.hint("merge"), "node").join(jump.hint("merge"), "label", "left")
+        new = checkpointed(moved.select("node", F.least("label", "near", "far").alias("label"), F.col("label").alias("old")))
         done = new.where("label <> old").isEmpty()
         labels = new.drop("old")
         if done:
@@ -205,32 +260,31 @@ def components(links: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id, copy_of): the class of each document by its smallest id; copy_of is the first of its copies."""
-    every = checkpointed(docs.where("doc_id IS NOT NULL").select("doc_id", F.coalesce(F.md5("text"), F.concat(F.lit("null "), F.col("doc_id").cast("string"))).alias("digest")).distinct())
-    first = every.groupBy("digest").agg(F.min("doc_id").alias("copy_of"))
-    copies = checkpointed(every.join(first.hint("merge"), "digest").select("doc_id", "copy_of"))
-    alone = copies.groupBy("doc_id").agg(F.min("copy_of").alias("copy_of"), F.max("copy_of").alias("other"))
-    reps = copies.where("doc_id = copy_of").select("doc_id").distinct()
-    texts = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
-    sketches = checkpointed(banded(texts).join(reps.hint("merge"), "doc_id", "left_semi"))
-    members = sketches.select("doc_id", F.posexplode("bands").alias("band", "key"))
+    own = F.concat(F.unhex(F.md5(F.col("doc_id").cast("string"))), F.lit(b"null"))
+    texts = docs.where("doc_id IS NOT NULL").select("doc_id", F.coalesce(F.unhex(F.md5("text")), own).alias("digest"), "text")
+    every = checkpointed(texts.select("doc_id", "digest").distinct())
+    # a text is a node, known by the smallest document that has it; both sides of joins are read anew, so that hot keys can be split
+    nodes = checkpointed(every.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).withColumn("node", F.monotonically_increasing_id()))
+    sketches = checkpointed(banded(texts).join(nodes.hint("merge"), ["digest", "doc_id"]).dropDuplicates(["node"]).select("node", "bands"))
+    members = sketches.select("node", F.posexplode("bands").alias("band", "key"))
     members = checkpointed(members)
-    buckets = members.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("last")).where("a < last").select("key", "a")
+    buckets = members.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a < last").select("key", "a")
     members = checkpointed(members.join(buckets.hint("merge"), "key"))  # what stands alone in its bucket goes
-    wanted = members.select("doc_id").distinct()
-    known = checkpointed(sets(texts.join(wanted.hint("merge"), "doc_id", "left_semi")).groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("shingles"))).alias("shingles")))
-    tested = checkpointed(members.where("a < doc_id").select("a", F.col("doc_id").alias("b")).distinct())
+    wanted = nodes.join(members.select("node").distinct().hint("merge"), "node")
+    known = checkpointed(sets(texts.join(wanted.hint("merge"), ["digest", "doc_id"])).dropDuplicates(["node"]))
+    tested = checkpointed(members.where("a < node").select("a", F.col("node").alias("b")).distinct())
     links = checkpointed(linked(tested, known))
     for last in (False, True):
         labels = components(links)
-        named = members.select("key", "band", "doc_id").join(labels.hint("merge"), "doc_id", "left").select("key", "band", "doc_id", F.coalesce("label", "doc_id").alias("label"))
+        named = members.select("key", "band", "node").join(labels.hint("merge"), "node", "left").select("key", "band", "node", F.coalesce("label", "node").alias("label"))
         mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key", "lo")
         named = named.join(mixed.hint("merge"), "key")
         if last:  # whatever is not settled
-            named = checkpointed(named.select("key", "band", "doc_id", "label"))
-            signs = bitmaps(known.join(named.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")).join(sketches.hint("merge"), "doc_id")
+            named = checkpointed(named.select("key", "band", "node", "label"))
+            signs = bitmaps(known.join(named.select("node").distinct().hint("merge"), "node", "left_semi")).join(sketches.hint("merge"), "node")
             pairs = unsettled(named, signs)
-        else:  # one document for each label, all against the first label's
-            one = named.groupBy("key", "label").agg(F.min("doc_id").alias("b"), F.first("lo").alias("lo"))
+        else:  # one text for each label, all against the first label's
+            one = named.groupBy("key", "label").agg(F.min("node").alias("b"), F.first("lo").alias("lo"))
             head = one.where("label = lo").select("key", F.col("b").alias("a"))
             pairs = one.where("label > lo").join(head.hint("merge"), "key").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         pairs = checkpointed(pairs.distinct().join(tested.hint("merge"), ["a", "b"], "left_anti"))
@@ -238,10 +292,14 @@ def classes(docs: DataFrame) -> DataFrame:
             links = checkpointed(links.union(linked(pairs, known)))
             tested = tested.union(pairs)
     # rows with one doc_id and different texts tie their classes
-    split = alone.where("copy_of < other").select(F.col("copy_of").alias("a"), F.col("other").alias("b"))
+    owners = checkpointed(every.join(nodes.select("digest", "node", F.col("doc_id").alias("copy_of")).hint("merge"), "digest").select("doc_id", "node", "copy_of"))
+    split = owners.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a < last").select("doc_id", "a")
+    split = owners.join(split.hint("merge"), "doc_id").where("a < node").select("a", F.col("node").alias("b"))
     labels = components(links.union(split))
-    named = alone.join(labels.withColumnRenamed("doc_id", "copy_of").hint("merge"), "copy_of", "left")
-    return named.select("doc_id", F.coalesce("label", "copy_of").alias("class_id"), "copy_of")
+    least = labels.join(nodes.select("node", "doc_id").hint("merge"), "node").groupBy("label").agg(F.min("doc_id").alias("class_id"))
+    named = owners.join(labels.join(least.hint("merge"), "label").select("node", "class_id").hint("merge"), "node", "left")
+    found = named.groupBy("doc_id").agg(F.min(F.coalesce("class_id", "copy_of")).alias("class_id"), F.min("copy_of").alias("copy_of"))
+    return found.union(docs.where("doc_id IS NULL").select("doc_id", F.lit(None).cast("long"), F.lit(None).cast("long")))
 
 
 def op9_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -251,6 +309,10 @@ def op9_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The document with the smallest id of each class, one row of it; rows with a null doc_id stay."""
     gone = classes(docs).where("doc_id <> class_id").select("doc_id")
-    left = docs.join(gone.hint("merge"), "doc_id", "left_anti")
+    named, nameless = docs.where("doc_id IS NOT NULL"), docs.where("doc_id IS NULL")  # apart: a null is no hot key
+    name = "_row"
+    while name in docs.columns:
+        name += "_"
     row = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    return left.withColumn("_row", row).where("_row = 1 OR doc_id IS NULL").select(*docs.columns)
+    left = named.join(gone.hint("merge"), "doc_id", "left_anti").withColumn(name, row).where(F.col(name) == 1)
+    return left.select(*docs.columns).union(nameless)

@@ -2,7 +2,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from lexifold.llm import brown, chat, language, neardup, pieces, private, webp
+from lexifold.llm import brown, chat, language, pieces, webp
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau".split()
 
@@ -81,15 +81,6 @@ def test_language(spark, docs):
     assert language.classify(train, language.train(train.limit(0))).first().lang_pred == "und"
 
 
-def test_private():
-    t = "write to a.b@mail.example.org or +1 (212) 555-0143, card 4111 1111 1111 1111, host 10.0.0.300 and 10.0.0.7"
-    kinds = [k for k, _, _ in private.base_spans(t)]
-    assert kinds == ["email", "ip", "card", "phone"]
-    base, spans = private.find(pa.array([t, None, "", "in 1998 there were 12 people"]), private.train())
-    assert base[1:] == [[], [], []] and spans[3] == [] and set(base[0]) <= set(spans[0])
-    assert "@" not in private.masked(t, spans[0])
-
-
 def test_brown(docs):
     got = brown.score(docs).toPandas().set_index("doc_id")
     assert len(got) == len(texts()) and got.loc[42].n_tokens == 1 and (got.score < 0).all()
@@ -103,48 +94,12 @@ def test_chat(spark):
     assert [tuple(t) for t in back.turns] == [("user", "ho"), ("assistant", "a</s>\\l")] and back.loss_text == "a</s>\\l"
 
 
-def test_near_duplicates(spark):
-    base = " ".join(f"w{i}" for i in range(200))
-    rows = [(1, base), (2, base), (3, base + " more"), (4, " ".join(f"v{i}" for i in range(200))), (5, ""), (6, None), (7, None), (8, "one"), (9, "one")]
-    got = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 6, 7: 7, 8: 8, 9: 8}
-
-
 def test_pieces(docs):
     made = pieces.encode(docs)
     back = {r.doc_id: r.text for r in pieces.decode(made).collect()}
     assert all(back[i] == (t or "") for i, t in enumerate(texts())) and made.where("NOT exact AND text_sha256 IS NOT NULL").count() == 0
 
 
-def test_near_duplicates_bound(spark):
-    r = np.random.default_rng(3)
-    sets = []
-    for n in (20, 200, 250, 260, 1000, 30000):
-        base = r.integers(0, 1 << 63, n)
-        for d in (0, n // 9, n // 8, n // 5):
-            sets.append(np.concatenate([base[d:], r.integers(0, 1 << 63, d)]))
-    size, cells = np.array([x.size for x in sets]), [neardup.bitmap(x).tobytes() for x in sets]
-    left, right = neardup.possible(size, cells, np.arange(len(sets)))
-    found = {frozenset(p) for p in zip(left.tolist(), right.tolist(), strict=True)}
-    similar = {frozenset((i, j)) for i in range(len(sets)) for j in range(i) if 5 * (n := np.intersect1d(sets[i], sets[j]).size) >= 4 * (size[i] + size[j] - n)}
-    assert len(similar) >= 8 and similar <= found and len(found) < len(sets) * 2
-
-
-def test_near_duplicates_unlikely_registers(spark):
-    # nearly equal sets, but three tenths of the shingles repeat in one text only: few registers agree, some band may
-    texts = []
-    for k in range(6):
-        words = [f"{k}w{i}" for i in range(400)]
-        texts += [" ".join(words), " ".join(words + words[:120] * 300)]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    signs = neardup.bitmaps(neardup.sets(df)).join(neardup.banded(df), "doc_id").cache()
-    keys = {r.doc_id: r.bands for r in signs.collect()}
-    shared = {(i, i + 1): [b for b in range(neardup.BANDS) if keys[i][b] == keys[i + 1][b]] for i in range(0, 12, 2)}
-    rows = [(keys[i][b], b, i + j, i + j) for (i, _), bands in shared.items() for b in bands for j in (0, 1)]
-    got = neardup.unsettled(spark.createDataFrame(rows, "key long, band int, doc_id long, label long"), signs).collect()
-    assert rows and sorted((r.a, r.b) for r in got) == [p for p, bands in shared.items() if bands]
-
-
 def test_pieces_runs_of_spaces():
     c = pieces.codec(pieces.model_path())
     for t in ["if x:\n foo bar".replace(" ", "   "), "if x:\n   foo  bar", "    a", "a     ", " " * 40, "", "a b  c   d    e", "▁  ▁ x"]:
