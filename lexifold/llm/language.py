@@ -10,7 +10,9 @@ far above its quantile as that is above the median. A language with fewer than F
 has no say in the limit.
 
 A null text or one without a letter gives `und`, score 0, rejected. Without labelled rows each text is `und`. Rows
-with a null doc_id are not held out and never train. Repeated rows give the same answer each; other columns are kept.
+with a null doc_id are not held out and never train. Repeated rows give the same answer each, in training they count
+each. Whole texts are read; a very long one is a task's work by itself. An empty table gives no rows. `classify` keeps
+other columns but puts its own in place of any named lang_pred, score, rejected or bits; `keep_known` keeps all columns.
 """
 
 from __future__ import annotations
@@ -143,13 +145,7 @@ class Model:
         code = np.zeros(chars.size, np.int64)
         for j in range(ORDER):
             code = code * base + x[j: j + chars.size]
-        if base ** ORDER <= 1 << 25:
-            seen = np.flatnonzero(np.bincount(code, minlength=base ** ORDER))
-            place = np.zeros(base ** ORDER, np.int32)
-            place[seen] = np.arange(seen.size)
-            at = place[code]
-        else:
-            seen, at = np.unique(code, return_inverse=True)
+        seen, at = np.unique(code, return_inverse=True)
         points = np.concatenate([[0, 1], self.alphabet.astype(np.int64)])
         grams = np.stack([points[(seen // base ** (ORDER - 1 - j)) % base] for j in range(ORDER)], 1)
         out = np.zeros((n, len(self.languages)))
@@ -249,4 +245,12 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_known(docs: DataFrame) -> DataFrame:
     """The documents that language ID does not reject, with their columns."""
-    return classify(docs, train(docs.select("doc_id", "text", "lang"))).where("NOT rejected").select(*docs.columns)
+    model = train(docs.select("doc_id", "text", "lang"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text", CHUNK):
+                rejected = model.answer(batch.column(batch.schema.get_field_index("text")))[2]
+                yield batch.filter(pa.array(~rejected))
+
+    return docs.mapInArrow(run, docs.schema)
