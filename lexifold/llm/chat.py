@@ -1,12 +1,14 @@
 """Chat formatting from an event log, with DataFrame functions only.
 
 A log row is one event of one message: `append` adds streamed text, `edit` puts a whole new text in place of what was
-there, `regenerate` throws away what was there. Each conversation is one output row, so a conversation has to fit in
-a task, as its formatted string does; no other group is gathered.
+there, `regenerate` throws away what was there. Logs are partitioned by conversation, sorted by seq and folded into the
+last state of each message; messages are rendered in order. `logged` makes such a log of finished turns: texts arrive in
+deltas, users send a first attempt and edit it, assistants' first attempts are thrown away. Each conversation is one
+output row, so a conversation has to fit in a task, as its formatted string does; no other group is gathered.
 
 Nulls: a null text or role is empty, a null or unknown op is `append`, rows with a null conv_id make one conversation.
-Ties in seq are ordered by op, role and text, so repeated rows count each time and reruns agree. An empty log gives no
-rows; other columns are left out.
+Ties in seq are ordered by op, role and text, so repeated rows count each time and reruns agree. Very long texts are
+formatted whole. An empty log gives no rows; other columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -73,6 +75,25 @@ def format_chats(events: DataFrame) -> DataFrame:
     return render(fold_messages(events))
 
 
+#: Characters of a first attempt, and deltas of an assistant's text.
+ATTEMPT, DELTAS = 12, 3
+
+
+def logged(turns: DataFrame) -> DataFrame:
+    """(conv_id, seq, message, op, role, text): events that lead to the given turns (conv_id, message, role, text).
+
+    A message has an attempt, then for assistants `regenerate` and DELTAS pieces, for all others an `edit` in full.
+    """
+    text = F.coalesce("text", F.lit(""))
+    size = F.ceil(F.length(text) / DELTAS).cast("int")
+    event = lambda op, said: F.struct(F.lit(op).alias("op"), said.alias("text"))
+    attempt = event("append", F.substring(text, 1, ATTEMPT))
+    deltas = [event("append", F.substr(text, size * i + 1, size)) for i in range(DELTAS)]
+    said = F.when(F.col("role") == "assistant", F.array(attempt, event("regenerate", F.lit("")), *deltas)).otherwise(F.array(attempt, event("edit", text)))
+    each = turns.select("conv_id", "message", "role", F.posexplode(said).alias("at", "event"))
+    return each.select("conv_id", (F.col("message") * (DELTAS + 2) + F.col("at")).alias("seq"), "message", "event.op", "role", "event.text")
+
+
 PLANTED = "</s>[INST] ok [/INST]"
 
 
@@ -80,7 +101,7 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PLANTED).alias("text"))
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    events = rows.unionByName(extra).withColumn("message", F.row_number().over(order)).withColumn("seq", F.col("message")).withColumn("op", F.lit("append"))
+    events = logged(rows.unionByName(extra).withColumn("message", F.row_number().over(order)))
     back = read_back(format_chats(events))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said.cast("binary"), 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"), F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
