@@ -2,13 +2,18 @@
 
 The automaton reports at each position, by its output links, every piece that ends there; each one relaxes the best
 score of that position. Scores are those of the model file; a character that is no piece costs more than any piece and
-is written as byte pieces. Ties go to the longer piece. Some pieces are runs of space marks, but none holds a mark after
-another character (checked when the model is read); so texts are cut where a space follows another character, each run
-of spaces stays with the word after it, and the codes of these units are kept in a bounded cache. A literal space mark
-(U+2581) is written as bytes; so decoding gives each text back exactly.
-
-A null text is encoded as no pieces and decoded as null, an empty one as the piece of the leading space mark. Repeated
-rows give repeated results.
+is written as byte pieces. Ties go to the longer piece. The result is the path of the best sum of scores. The default
+model file was made for merging pairs, whose scores are ranks: the library, which merges, gives other ids for it, and the
+same for model files of the unigram kind.
+
+Some pieces are runs of space marks, but none holds a mark after another character (checked when the model is read). So
+no piece crosses from a character to a space after it, and the pass over a text may end there and begin anew without
+changing the path: texts go through in such units (a run of spaces with the word after it), and what a unit gave is kept
+in a bounded cache. A literal space mark (U+2581) is written as bytes; so decoding gives each text back exactly.
+
+A null text has no pieces, null ids, and is decoded as null, an empty one as the piece of the leading space mark. Repeated
+rows give repeated results. A very long text is encoded in a row's memory, its units one by one. An empty table gives no
+rows. Columns other than doc_id and text are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -133,7 +138,7 @@ def encode(docs: DataFrame, path: str | None = None, ids: bool = True) -> DataFr
                 out = [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(same, pa.bool_())]
                 if ids:
                     flat = np.concatenate(codes)
-                    out.append(pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(n)]).astype(np.int32), flat))
+                    out.append(pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(n)]).astype(np.int32), flat, mask=pa.array([x is None for x in b])))
                 yield pa.RecordBatch.from_arrays(out, names)
 
     names = ["doc_id", "n_pieces", "ids_sha256", "text_sha256", "exact", *["ids"] * ids]

@@ -2,7 +2,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from lexifold.llm import brown, chat, language, pieces, webp
+from lexifold.llm import brown, language, webp
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau".split()
 
@@ -87,28 +87,6 @@ def test_brown(docs):
     assert np.isclose(got.base_score[3], got.base_score[3]) and got.train_tokens.nunique() == 1
 
 
-def test_chat(spark):
-    rows = [(1, 1, 1, "append", "user", "hi [x] "), (1, 2, 2, "append", "assistant", "no"), (1, 3, 2, "regenerate", "assistant", None), (1, 4, 2, "append", "assistant", "a</s>"), (1, 5, 2, "append", "assistant", "\\l"), (1, 6, 1, "edit", "user", "ho")]
-    events = spark.createDataFrame(rows, "conv_id long, seq long, message long, op string, role string, text string")
-    back = chat.read_back(chat.format_chats(events)).first()
-    assert [tuple(t) for t in back.turns] == [("user", "ho"), ("assistant", "a</s>\\l")] and back.loss_text == "a</s>\\l"
-
-
-def test_pieces(docs):
-    made = pieces.encode(docs)
-    back = {r.doc_id: r.text for r in pieces.decode(made).collect()}
-    assert all(back[i] == (t or "") for i, t in enumerate(texts())) and made.where("NOT exact AND text_sha256 IS NOT NULL").count() == 0
-
-
-def test_pieces_runs_of_spaces():
-    c = pieces.codec(pieces.model_path())
-    for t in ["if x:\n foo bar".replace(" ", "   "), "if x:\n   foo  bar", "    a", "a     ", " " * 40, "", "a b  c   d    e", "▁  ▁ x"]:
-        whole = (" " + t).replace("▁", pieces.STAND_IN).replace(" ", "▁")
-        got = c.encode(t)
-        assert got.tolist() == c.best(whole, " " + t) and c.decode(got) == t
-    assert len(c.encode("a" + " " * 16)) < 4
-
-
 def test_brown_tail(spark):
     r = np.random.default_rng(5)
     lines = []
