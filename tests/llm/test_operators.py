@@ -1,8 +1,7 @@
 import numpy as np
-import pyarrow as pa
 import pytest
 
-from lexifold.llm import brown, language, webp
+from lexifold.llm import brown, language
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau".split()
 
@@ -19,58 +18,6 @@ def docs(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
 
 
-def test_webp_round_trip():
-    t = texts()
-    media, size = webp.store(pa.array(t))
-    for x, n, m, samples in zip(t, size, media, webp.load(media), strict=True):
-        raw = (x or "").encode()
-        full = max(-(-len(raw) // 576), 1) * 576
-        assert n == len(raw) and samples.tobytes() == raw + b"\xff" * (full - len(raw))
-        first = m[: 8 + int.from_bytes(m[4:8], "little")]
-        image = webp.decode(first)
-        assert (image[..., 1] == image[..., 2]).all() and image[..., 2].tobytes() == samples[: image[..., 2].size].tobytes()
-
-
-def put(*fields):
-    value, at = 0, 0
-    for v, n in fields:
-        value |= v << at
-        at += n
-    return value.to_bytes((at + 7) // 8, "little")
-
-
-def wrap(width, height, *fields):
-    stream = b"\x2f" + put((width - 1, 14), (height - 1, 14), (1, 1), (0, 3), *fields)
-    body = b"VP8L" + len(stream).to_bytes(4, "little") + stream + b"\0" * (len(stream) % 2)
-    return b"RIFF" + (len(body) + 4).to_bytes(4, "little") + b"WEBP" + body
-
-
-def one(symbol):
-    return [(1, 1), (0, 1), (1, 1), (symbol, 8)]
-
-
-def two(a, b):
-    return [(1, 1), (1, 1), (1, 1), (a, 8), (b, 8)]
-
-
-def test_webp_transforms():
-    # palette of two colours, eight indexes in a sample
-    palette = [(1, 1), (3, 2), (1, 8), (0, 1), *two(0, 200), *one(0), *two(0, 7), *one(255), *one(0)]
-    # pixels 0xff000000 then, by difference, green 200, blue 7 and alpha wrapped
-    data = [(0, 1), (0, 1), (1, 1), (1, 1)]
-    image = [(0, 1), (0, 1), (0, 1), *one(0b10), *one(0), *one(0), *one(255), *one(0)]
-    got = webp.decode(wrap(2, 1, *palette, *data, *image))
-    assert got[0, 0].tolist() == [255, 0, 0, 0] and got[0, 1].tolist()[2:] == [200, 7]
-    # predictor: left of each pixel, residual green 1
-    head = [(1, 1), (0, 2), (0, 3), (0, 1), *one(1), *one(0), *one(0), *one(255), *one(0), (0, 1)]
-    image = [(0, 1), (0, 1), *one(1), *one(0), *one(0), *one(0), *one(0)]
-    assert webp.decode(wrap(3, 2, *head, *image))[..., 2].tolist() == [[1, 2, 3], [2, 3, 4]]
-    # cross-colour: the factor's blue channel is what red takes of green, in parts of 32
-    head = [(1, 1), (1, 2), (0, 3), (0, 1), *one(0), *one(0), *one(32), *one(255), *one(0), (0, 1)]
-    image = [(0, 1), (0, 1), *one(5), *one(1), *one(0), *one(255), *one(0)]
-    assert webp.decode(wrap(2, 2, *head, *image))[0, 0].tolist() == [255, 1 + 5, 5, 0]
-
-
 def test_language(spark, docs):
     rows = [(i, ("the house is warm and the dog sleeps " if i % 2 else "talo on lämmin ja koira nukkuu nyt ") * 5, "en" if i % 2 else "fi") for i in range(200)]
     train = spark.createDataFrame(rows, "doc_id long, text string, lang string")
