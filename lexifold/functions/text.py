@@ -73,6 +73,14 @@ def casefold(x: str) -> str:
     return f"replace(replace(replace(replace(lower({x}), 'ß', 'ss'), 'ŉ', 'ʼn'), 'ſ', 's'), 'ǰ', 'ǰ')"
 
 
+def folded(x: Column) -> Column:
+    """The same of a column."""
+    out = F.lower(x)
+    for a, b in (("ß", "ss"), ("ŉ", "ʼn"), ("ſ", "s"), ("\u01f0", "j\u030c")):
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return out
+
+
 def near(a: str, b: str, engine: str = "spark") -> str:
     """One edit at most: a letter put in, left out or changed, or two neighbours swapped."""
     if engine == "duckdb":
@@ -98,16 +106,31 @@ def identifier(chunk: str, engine: str = "spark") -> str:
     return f"(translate({cut}, {quoted(IDENTIFIER_MARKS + '.', engine)}, '') <> {cut})"
 
 
+#: What tells a text apart: whose it is, its id, and a hash of it, so that rows with one id (or none) stay apart.
+DOC = ("user_id", "doc_id", "version")
+
+
+def owned(docs: DataFrame) -> DataFrame:
+    """Adds version, and an empty user_id where there is none."""
+    user = F.col("user_id").cast("string") if "user_id" in docs.columns else F.lit("")
+    return docs.select(user.alias("user_id"), "doc_id", F.xxhash64("text").alias("version"), "text")
+
+
 def tokens(docs: DataFrame) -> DataFrame:
-    """One row per token: doc_id, pos, start and end (code points), word, and the gaps before and after it."""
+    """One row per token: user_id, doc_id, version, pos, start and end (code points), word, and the gaps before and after.
+
+    Repeated rows (of one user, id and text) are one text. Texts are dealt before they are cut, so that the windows over
+    tokens need no exchange of tokens. A null text has no tokens.
+    """
     words = F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))
-    # dealt by document before the cut, so that the windows over tokens need no exchange of tokens
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    split = docs.select("doc_id", "text").repartition(parts, "doc_id").select("doc_id", F.split("text", TOKEN, -1).alias("gaps"), words.alias("words"))
+    dealt = owned(docs).where("text IS NOT NULL").repartition(parts, *DOC)
+    dealt = dealt.withColumn("copy", F.row_number().over(Window.partitionBy(*DOC).orderBy("version"))).where("copy = 1")
+    split = dealt.select(*DOC, F.split("text", TOKEN, -1).alias("gaps"), words.alias("words"))
     zipped = F.arrays_zip(F.col("gaps").alias("gap"), F.col("words").alias("word"), F.slice("gaps", 2, F.size("words")).alias("after"))
-    cut = split.select("doc_id", F.posexplode(zipped).alias("pos", "t")).where("t.word IS NOT NULL")
-    cut = cut.select("doc_id", "pos", "t.gap", "t.word", "t.after")
-    before = F.sum(F.length("gap") + F.length("word")).over(Window.partitionBy("doc_id").orderBy("pos"))
+    cut = split.select(*DOC, F.posexplode(zipped).alias("pos", "t")).where("t.word IS NOT NULL")
+    cut = cut.select(*DOC, "pos", "t.gap", "t.word", "t.after")
+    before = F.sum(F.length("gap") + F.length("word")).over(Window.partitionBy(*DOC).orderBy("pos"))
     return cut.withColumn("end", before.cast("int")).withColumn("start", (F.col("end") - F.length("word")).cast("int"))
 
 
@@ -119,7 +142,7 @@ def sentence_initial() -> Column:
 
 def identifiers(tokens_: DataFrame) -> DataFrame:
     """Adds `ident`: whether the run without white space that a token is in has a mark of an identifier, edges cut."""
-    order = Window.partitionBy("doc_id").orderBy("pos")
+    order = Window.partitionBy(*DOC).orderBy("pos")
     marks = lambda x: F.translate(x, IDENTIFIER_MARKS + ".", "") != x
     opens, shuts = (F.col("pos") == 0) | F.col("gap").rlike(r"\s"), F.col("after").rlike(r"\s")
     before = F.expr(f"trim(LEADING {quoted(EDGES)} FROM regexp_extract(gap, '[^ \\t\\r\\n\\f]*$', 0))")
@@ -127,7 +150,7 @@ def identifiers(tokens_: DataFrame) -> DataFrame:
     last = F.lead("pos").over(order).isNull()
     own = F.when(opens, marks(before)).otherwise(marks(F.col("gap"))) | F.when(shuts | last, marks(behind)).otherwise(F.lit(False))
     run = tokens_.withColumn("own", own).withColumn("run", F.sum(opens.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return run.withColumn("ident", F.max("own").over(Window.partitionBy("doc_id", "run"))).drop("own", "run", "after")
+    return run.withColumn("ident", F.max("own").over(Window.partitionBy(*DOC, "run"))).drop("own", "run", "after")
 
 
 def register(spark: SparkSession) -> None:

@@ -1,10 +1,15 @@
-"""Correcting documents against a memory, as DataFrame operations.
+"""Correcting documents against memories, as DataFrame operations.
 
-docs(doc_id, text); terms(term, preferred, kind, note, trust); misspellings(term, misspelling, seen, vetoes, guard).
+docs([user_id,] doc_id, text); terms([user_id,] term, preferred, kind, note, trust); misspellings([user_id,] term,
+misspelling, seen, vetoes, guard). A document meets the memory of its user; without a user_id column all share one.
 Windows of tokens meet the memory's keys in an equi-join; single tokens without such a match meet them one edit away, by
-an equi-join on all ways of leaving out one letter and a check; pairs of tokens meet them as one word. Spans are settled
-longest first within each document, then each one gets a decision. A verdicts table (doc_id, start, apply, preferred,
-reason) stands in for a judge. The dictionary's side of a join is broadcast by the planner only if it is small.
+an equi-join of distinct words on all ways of leaving out one letter and a check; pairs of tokens meet them as one word.
+Spans are settled longest first within each document, then each one gets a decision. A verdicts table ([user_id,] doc_id,
+start, apply, preferred, reason) stands in for a judge. The memory's side of a join is broadcast by the planner only if it
+is small.
+
+Rows with one doc_id (or a null one) and different texts are documents of their own, repeated rows each give their row in
+the output; verdicts hold for every text of their doc_id. A null text has no candidates and stays null.
 """
 
 from __future__ import annotations
@@ -14,23 +19,45 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.lexicon import COMMON, GLUE, listed
-from .kernel import ACTIVE, FUZZY_LENGTH
+from ..functions.text import DOC
+from .rules import ACTIVE, FUZZY_LENGTH
+
+
+def of_user(table: DataFrame) -> DataFrame:
+    """The table with a user_id, the empty one where it has none."""
+    return table.withColumn("user_id", F.col("user_id").cast("string")) if "user_id" in table.columns else table.withColumn("user_id", F.lit(""))
 
 
 def term_keys(terms: DataFrame, misspellings: DataFrame) -> DataFrame:
-    """(key, term): keys of the preferred spelling and of every spelling seen, vetoed ones too."""
-    spelled = terms.select("term", F.col("preferred").alias("s")).union(misspellings.select("term", F.col("misspelling").alias("s")))
-    return spelled.select(F.expr(T.phrase_key("s")).alias("key"), "term").where("key <> ''").distinct()
+    """(user_id, key, term): keys of the preferred spelling and of every spelling seen, vetoed ones too."""
+    spelled = of_user(terms).select("user_id", "term", F.col("preferred").alias("s")).union(of_user(misspellings).select("user_id", "term", F.col("misspelling").alias("s")))
+    return spelled.select("user_id", F.expr(T.phrase_key("s")).alias("key"), "term").where("key <> ''").distinct()
+
+
+def shortened(k: str) -> str:
+    """The key and every way of leaving out one letter of it."""
+    return f"array_distinct(array_append(transform(sequence(1, length({k})), i -> concat(substring({k}, 1, i - 1), substring({k}, i + 1))), {k}))"
+
+
+def word_matches(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """(user_id, key, match, names): what memory has for a key; "key" for its own keys, "fuzzy" for the keys of words that
+    are one edit from one of them. Each distinct word is looked at once."""
+    words = T.owned(docs).select("user_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(T.TOKEN), F.lit(0)))).alias("word")).distinct()
+    lone = words.select("user_id", F.expr(T.key("word")).alias("key")).where(f"length(key) >= {FUZZY_LENGTH}").distinct().join(keys.select("user_id", "key").distinct(), ["user_id", "key"], "left_anti")
+    near = keys.where("key NOT LIKE '% %'").select("user_id", F.col("key").alias("k"), "term", F.explode(F.expr(shortened("key"))).alias("cut"))
+    fuzzy = lone.withColumn("cut", F.explode(F.expr(shortened("key")))).join(near, ["user_id", "cut"]).where(T.near("key", "k"))
+    every = keys.select("user_id", "key", F.lit("key").alias("match"), "term").union(fuzzy.select("user_id", "key", F.lit("fuzzy"), "term"))
+    return every.groupBy("user_id", "key", "match").agg(F.array_sort(F.collect_set("term")).alias("names"))
 
 
 def marked_tokens(docs: DataFrame, words: frozenset[str] = COMMON) -> DataFrame:
     """Tokens with their key and what their neighbourhood says: capitalised phrases and identifiers."""
-    order = Window.partitionBy("doc_id").orderBy("pos")
+    order = Window.partitionBy(*DOC).orderBy("pos")
     t = T.identifiers(T.tokens(docs)).withColumn("key", F.expr(T.key("word"))).withColumn("common", F.expr(T.common("word", listed(words)))).withColumn("opens", T.sentence_initial())
     upper = (F.left("word", F.lit(1)) != F.lower(F.left("word", F.lit(1)))) & F.col("word").rlike("^[^0-9]")
     seen = F.when(~F.col("word").rlike("^[0-9]+$") & (F.lower("word") != "s"), F.struct(upper.alias("upper"), "opens"))
     # read backwards: a frame that ends at the last row is computed anew for each row, in the square of a document
-    back = Window.partitionBy("doc_id").orderBy(F.desc("pos"))
+    back = Window.partitionBy(*DOC).orderBy(F.desc("pos"))
     after = F.last(seen, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1))
     before = F.last(seen, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
     phrase = F.coalesce(F.lead("word").over(order).rlike("^[0-9]+$"), F.lit(False)) | F.coalesce(after["upper"], F.lit(False)) | F.coalesce(before["upper"] & ~before["opens"], F.lit(False))
@@ -40,7 +67,7 @@ def marked_tokens(docs: DataFrame, words: frozenset[str] = COMMON) -> DataFrame:
 def windows(tokens: DataFrame, longest: int) -> DataFrame:
     """Runs of 1 to `longest` tokens with one space between neighbours: start, end, n, key, text, all_common, and as
     match "key"; two such neighbours read as one word have the match "join"."""
-    order = Window.partitionBy("doc_id").orderBy("pos")
+    order = Window.partitionBy(*DOC).orderBy("pos")
     step = tokens
     for i in range(1, max(longest, 2)):
         step = step.withColumn(f"_{i}", F.lead(F.struct("gap", "word", "key", "end", "common", "ident"), i).over(order))
@@ -50,67 +77,68 @@ def windows(tokens: DataFrame, longest: int) -> DataFrame:
         whole: Column = F.lit(True)
         for r in rest:
             whole = whole & F.coalesce(r["gap"] == " ", F.lit(False))
-        keys = F.array_join(F.filter(F.array(F.col("key"), *(r["key"] for r in rest)), lambda k: k != ""), " ")
+        keys = F.array_join(F.filter(F.array(F.col("key"), *(r["key"] for r in rest)), lambda k: k != ""), " ") if rest else F.col("key")
         common, clean = F.col("common"), ~F.col("ident")
         for r in rest:
             common, clean = common & r["common"], clean & ~r["ident"]
-        kinds.append(F.when(whole & clean, F.struct(F.lit("key").alias("match"), F.lit(n).alias("n"), (rest[-1]["end"] if rest else F.col("end")).alias("end"), keys.alias("key"), F.concat_ws(" ", "word", *(r["word"] for r in rest)).alias("text"), common.alias("all_common"))))
+        kinds.append(F.when(whole & clean & (keys != ""), F.struct(F.lit("key").alias("match"), F.lit(n).alias("n"), (rest[-1]["end"] if rest else F.col("end")).alias("end"), keys.alias("key"), F.concat_ws(" ", "word", *(r["word"] for r in rest)).alias("text"), common.alias("all_common"))))
     after = F.col("_1")
     two = F.coalesce(after["gap"] == " ", F.lit(False)) & ~F.col("ident") & ~after["ident"] & ~(F.lower("word").isin("a", "an", "the") & after["common"])
     kinds.append(F.when(two, F.struct(F.lit("join").alias("match"), F.lit(2).alias("n"), after["end"].alias("end"), F.expr(T.key("concat(word, _1.word)")).alias("key"), F.concat("word", F.lit(" "), after["word"]).alias("text"), (F.col("common") & after["common"]).alias("all_common"))))
-    return step.select("doc_id", "start", "in_phrase", F.explode(F.filter(F.array(*kinds), lambda k: k.isNotNull())).alias("w")).select("doc_id", "start", "in_phrase", "w.*")
-
-
-def shortened(k: str) -> str:
-    """The key and every way of leaving out one letter of it."""
-    return f"array_distinct(array_append(transform(sequence(1, length({k})), i -> concat(substring({k}, 1, i - 1), substring({k}, i + 1))), {k}))"
+    return step.select(*DOC, "start", "in_phrase", F.explode(F.filter(F.array(*kinds), lambda k: k.isNotNull())).alias("w")).select(*DOC, "start", "in_phrase", "w.*")
 
 
 def candidates(docs: DataFrame, terms: DataFrame, misspellings: DataFrame, words: frozenset[str] = COMMON) -> DataFrame:
-    """Settled spans: doc_id, start, end, text, match, all_common, in_phrase, terms (array of term names)."""
+    """Settled spans: user_id, doc_id, version, start, end, text, match, all_common, in_phrase, terms (array of names)."""
     longest = terms.agg(F.max(F.size(F.split("preferred", " ")))).first()[0] or 1
-    keys = term_keys(terms, misspellings).join(terms.select("term", "preferred"), "term")
-    w = windows(marked_tokens(docs, words), longest).where("key <> ''")
-    exact = w.join(keys, "key")
-    lone = w.where(f"match = 'key' AND n = 1 AND length(key) >= {FUZZY_LENGTH}").join(keys.select("key").distinct(), "key", "left_anti")
-    near = keys.where("key NOT LIKE '% %'").select(F.col("key").alias("k"), "term", "preferred", F.explode(F.expr(shortened("key"))).alias("cut"))
-    fuzzy = lone.withColumn("cut", F.explode(F.expr(shortened("key")))).join(near, "cut").where(T.near("key", "k")).drop("cut", "k").withColumn("match", F.lit("fuzzy"))
-    found = exact.unionByName(fuzzy).groupBy("doc_id", "start", "end", "match").agg(F.first("text").alias("text"), F.first("all_common").alias("all_common"), F.first("in_phrase").alias("in_phrase"), F.array_sort(F.collect_set("term")).alias("terms"), F.bool_or(F.col("text") == F.col("preferred")).alias("said"))
+    known = word_matches(docs, term_keys(terms, misspellings)).withColumnRenamed("match", "how")
+    w = windows(marked_tokens(docs, words), longest)
+    found = w.join(known, ["user_id", "key"]).where("how = 'key' OR (match = 'key' AND n = 1)")
+    found = found.withColumn("match", F.when(F.col("how") == "fuzzy", "fuzzy").otherwise(F.col("match")))
+    spelled = of_user(terms).groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "preferred"))).alias("spelled"))
+    said = F.exists("names", lambda n: F.element_at("spelled", n) == F.col("text"))
+    found = found.join(spelled, "user_id").select(*DOC, "start", "end", "text", "match", "all_common", "in_phrase", F.col("names").alias("terms"), said.alias("said"))
     return settled(found)
 
 
 def settled(found: DataFrame) -> DataFrame:
     """Longest first, then leftmost: a span that overlaps one already taken goes. One that reads as its term does holds
     its place but is no candidate. Work is by cluster of overlapping spans, so a long document is no long list."""
-    order = Window.partitionBy("doc_id").orderBy("start", F.desc("end"))
+    order = Window.partitionBy(*DOC).orderBy("start", F.desc("end"))
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     spans = found.withColumn("new", F.when(F.coalesce(F.col("start") >= reach, F.lit(True)), 1).otherwise(0))
     spans = spans.withColumn("cluster", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     rank = F.when(F.col("match") == "join", 1).otherwise(0)
     item = F.struct((F.col("start") - F.col("end")).alias("o"), "start", rank.alias("rank"), "end", "text", "match", "all_common", "in_phrase", "terms", "said")
-    lists = spans.groupBy("doc_id", "cluster").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    lists = spans.groupBy(*DOC, "cluster").agg(F.array_sort(F.collect_list(item)).alias("items"))
     free = lambda taken, s: ~F.exists(taken, lambda t: (t["start"] < s["end"]) & (s["start"] < t["end"]))
     taken = F.aggregate("items", F.slice("items", 1, 0), lambda a, s: F.when(free(a, s), F.array_append(a, s)).otherwise(a))
-    kept = lists.select("doc_id", F.explode(taken).alias("s")).where("NOT s.said")
-    return kept.select("doc_id", "s.start", "s.end", "s.text", "s.match", "s.all_common", "s.in_phrase", "s.terms")
+    kept = lists.select(*DOC, F.explode(taken).alias("s")).where("NOT s.said")
+    return kept.select(*DOC, "s.start", "s.end", "s.text", "s.match", "s.all_common", "s.in_phrase", "s.terms")
 
 
 def context_words(docs: DataFrame) -> DataFrame:
-    """(doc_id, context): lower-case words of three letters or more that are no glue."""
-    lower = F.filter(F.regexp_extract_all(F.expr(T.casefold("text")), F.lit(T.TOKEN), F.lit(0)), lambda w: (F.length(w) >= 3) & ~w.isin(*sorted(GLUE)))
-    return docs.select("doc_id", F.array_distinct(lower).alias("context"))
+    """(user_id, doc_id, version, context): folded tokens of three letters or more that are no glue."""
+    folded = F.transform(F.regexp_extract_all("text", F.lit(T.TOKEN), F.lit(0)), lambda w: T.folded(w))
+    lower = F.filter(folded, lambda w: (F.length(w) >= 3) & ~w.isin(*sorted(GLUE)))
+    return T.owned(docs).select(*DOC, F.array_distinct(lower).alias("context"))
 
 
 def decisions(docs: DataFrame, terms: DataFrame, misspellings: DataFrame, verdicts: DataFrame | None = None, words: frozenset[str] = COMMON) -> DataFrame:
     """Each candidate span with its decision and, where applied, the new text."""
     spans = candidates(docs, terms, misspellings, words)
-    name = F.expr(T.casefold("text"))
-    each = spans.withColumn("name", name).withColumn("term", F.explode("terms")).join(terms.select("term", "preferred", "trust"), "term")
-    each = each.join(misspellings.select("term", F.col("misspelling").alias("name"), "seen", "vetoes", "guard"), ["term", "name"], "left").join(context_words(docs), "doc_id")
+    terms, misspellings = of_user(terms), of_user(misspellings)
+    each = spans.withColumn("name", F.expr(T.casefold("text"))).withColumn("term", F.explode("terms")).join(terms.select("user_id", "term", "preferred", "trust"), ["user_id", "term"])
+    spelled = misspellings.select("user_id", "term", F.col("misspelling").alias("name"), "seen", "vetoes", "guard")
+    each = each.join(spelled, ["user_id", "term", "name"], "left")
+    # only texts with a guarded span need their words
+    wary = each.where("vetoes > 0 AND size(guard) > 0").select(*DOC).distinct()
+    context = context_words(docs.distinct()).join(wary, list(DOC), "left_semi").dropDuplicates(list(DOC))
+    each = each.join(context, list(DOC), "left").withColumn("context", F.coalesce("context", F.expr("CAST(array() AS array<string>)")))
     trusted = F.col("trust") >= ACTIVE
     held = F.when(trusted & (F.coalesce("vetoes", F.lit(0)) > 0), F.when(F.size("guard") == 0, "skipped:vetoed").when(F.arrays_overlap("guard", "context"), "skipped:guarded"))
     each = each.withColumn("held", held)
-    back = each.groupBy("doc_id", "start", "end", "text", "match", "all_common", "in_phrase", "terms").agg(
+    back = each.groupBy(*DOC, "start", "end", "text", "match", "all_common", "in_phrase", "terms").agg(
         F.count_if(trusted).alias("n_trusted"), F.min(F.when(trusted, F.struct("term", "preferred"))).alias("first"), F.max("trust").alias("trust"),
         F.min(F.when(F.col("held").isNotNull(), F.struct("term", "held")))["held"].alias("held"), F.coalesce(F.max(F.when(trusted, F.col("seen"))), F.lit(0)).alias("seen"),
         F.collect_set(F.when(trusted, F.col("preferred"))).alias("options"))
@@ -120,8 +148,9 @@ def decisions(docs: DataFrame, terms: DataFrame, misspellings: DataFrame, verdic
     if verdicts is None:
         answer, chosen, reason = F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("string")
     else:
-        v = verdicts.select("doc_id", "start", F.col("apply").alias("v_apply"), F.col("preferred").alias("v_preferred"), F.col("reason").alias("v_reason"), F.lit(True).alias("judged"))
-        back = back.join(v, ["doc_id", "start"], "left")
+        v = of_user(verdicts).select("user_id", F.col("doc_id").alias("v_doc"), F.col("start").alias("v_start"), F.col("apply").alias("v_apply"), F.col("preferred").alias("v_preferred"), F.col("reason").alias("v_reason"), F.lit(True).alias("judged"))
+        same = (back["user_id"] == v["user_id"]) & back["doc_id"].eqNullSafe(v["v_doc"]) & (back["start"] == v["v_start"])
+        back = back.join(v, same, "left").drop(v["user_id"])
         fine = F.col("v_apply") & F.array_contains("options", F.col("v_preferred"))
         answer = F.when(F.coalesce(fine, F.lit(False)), "applied").when(~F.coalesce(F.col("v_apply"), F.lit(True)), "skipped:context").when(F.col("judged"), "llm-error")
         chosen, reason = F.col("v_preferred"), F.col("v_reason")
@@ -133,23 +162,80 @@ def decisions(docs: DataFrame, terms: DataFrame, misspellings: DataFrame, verdic
     return out.withColumn("applied", F.when(F.col("decision") == "applied", F.when(shout, F.upper(word)).otherwise(word))).withColumn("reason", reason).drop("first", "held", "seen")
 
 
-def spliced(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """doc_id, text, output, n_candidates, reason: every applied span replaced; a document without candidates as it was."""
-    spans = decided.groupBy("doc_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("decision") == "applied", F.struct("start", "end", "applied")))).alias("cuts"))
-    all_docs = docs.select("doc_id", "text").join(spans, "doc_id", "left")
-    cuts = F.coalesce("cuts", F.expr("CAST(array() AS array<struct<start:int,end:int,applied:string>>)"))
-    parts = F.transform("c", lambda s, i: F.concat(F.substring(F.col("text"), F.when(i == 0, 0).otherwise(F.element_at("c", F.greatest(i, F.lit(1)))["end"]) + 1, s["start"] - F.when(i == 0, 0).otherwise(F.element_at("c", F.greatest(i, F.lit(1)))["end"])), s["applied"]))
-    tail = F.substring(F.col("text"), F.coalesce(F.array_max(F.transform("c", lambda s: s["end"])), F.lit(0)) + 1, F.length("text"))
-    out = F.concat(F.array_join(parts, ""), tail)
-    return all_docs.withColumn("c", cuts).select("doc_id", "text", out.alias("output"), F.coalesce("n", F.lit(0)).alias("n_candidates"), F.when(F.col("n").isNull(), "no-candidates").otherwise("").alias("reason"))
-
+def rebuilt(text: Column, cuts: Column) -> Column:
+    """The text with spans (start, end, applied), ordered and apart from each other, replaced."""
+    end = lambda i: F.when(i == 0, 0).otherwise(F.element_at(cuts, F.greatest(i, F.lit(1)))["end"])
+    parts = F.transform(cuts, lambda s, i: F.concat(F.substr(text, end(i) + 1, s["start"] - end(i)), s["applied"]))
+    return F.concat(F.array_join(parts, ""), F.substr(text, F.coalesce(F.array_max(F.transform(cuts, lambda s: s["end"])), F.lit(0)) + 1))
 
-def correct(docs: DataFrame, terms: DataFrame, misspellings: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
-    return spliced(docs, decisions(docs, terms, misspellings, verdicts))
 
-
-def judge_requests(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """One request for each document with pending spans: its text and the spans with their options and hints."""
-    hint = F.when(F.col("match") == "join", F.lit("two words that sound like one term together"))
-    item = F.struct("start", "text", F.array_sort("options").alias("options"), hint.alias("hint"))
-    return decided.where("pending").groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("items")).join(docs.select("doc_id", F.col("text").alias("sentence")), "doc_id")
+def spliced(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """One row for each row of docs: user_id, doc_id, text, output, n_candidates, reason and candidates.
+
+    Every applied span is replaced; a document without candidates stays as it was.
+    """
+    entry = F.struct("start", "end", "text", "match", "decision", "applied", "reason")
+    spans = decided.groupBy(*DOC).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("decision") == "applied", F.struct("start", "end", "applied")))).alias("cuts"), F.array_sort(F.collect_list(entry)).alias("candidates"))
+    o = T.owned(docs).alias("o")
+    same = (F.col("o.user_id") == F.col("s.user_id")) & F.col("o.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("o.version") == F.col("s.version"))
+    both = o.join(spans.alias("s"), same, "left").select("o.user_id", "o.doc_id", "o.text", "cuts", "n", "candidates")
+    out = F.when(F.col("n").isNull(), F.col("text")).otherwise(rebuilt(F.col("text"), F.col("cuts")))
+    return both.select("user_id", "doc_id", "text", out.alias("output"), F.coalesce("n", F.lit(0)).alias("n_candidates"), F.when(F.col("n").isNull(), "no-candidates").otherwise("").alias("reason"), "candidates")
+
+
+def checked(result: DataFrame) -> DataFrame:
+    """The result of a correction, as it is if nothing outside its applied spans has changed; else the job fails."""
+    applied = F.filter("candidates", lambda c: c["decision"] == "applied")
+    kept = F.aggregate(applied, F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(True).alias("ok")), lambda s, c: F.struct(
+        c["end"].alias("a"), (s["b"] + c["start"] - s["a"] + F.length(c["applied"])).alias("b"),
+        (s["ok"] & (F.substr("text", s["a"] + 1, c["start"] - s["a"]) == F.substr("output", s["b"] + 1, c["start"] - s["a"])) & (F.substr("output", s["b"] + c["start"] - s["a"] + 1, F.length(c["applied"])) == c["applied"])).alias("ok")))
+    fine = F.col("n_candidates") == 0
+    fine = F.when(fine, F.col("text").eqNullSafe(F.col("output"))).otherwise(kept["ok"] & (F.substr("text", kept["a"] + 1) == F.substr("output", kept["b"] + 1)))
+    return result.where(F.assert_true(fine, F.lit("a correction changed text outside its spans")).isNull())
+
+
+def toggled(text: Column, candidates: Column, undone: Column) -> Column:
+    """The text with all applied spans but those whose starts are undone."""
+    return rebuilt(text, F.filter(candidates, lambda c: (c["decision"] == "applied") & ~F.array_contains(undone, c["start"])))
+
+
+def correct(docs: DataFrame, terms: DataFrame, misspellings: DataFrame, verdicts: DataFrame | None = None, words: frozenset[str] = COMMON) -> DataFrame:
+    return spliced(docs, decisions(docs, terms, misspellings, verdicts, words))
+
+
+def traces(result: DataFrame) -> DataFrame:
+    """(user_id, doc_id, input, output, data): a row to keep of each correction, those without candidates too."""
+    data = F.to_json(F.struct("reason", F.coalesce("candidates", F.array()).alias("candidates")))
+    return result.select("user_id", "doc_id", F.col("text").alias("input"), "output", data.alias("data"))
+
+
+def elsewhere(spans: DataFrame, docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """Spans with `elsewhere`: the first term of each that the text has as it is preferred, outside the span."""
+    order = Window.partitionBy(*DOC).orderBy("pos")
+    wanted = of_user(terms).select("user_id", "term", "preferred", F.regexp_extract_all("preferred", F.lit(T.TOKEN), F.lit(0)).alias("seq")).where("size(seq) > 0")
+    longest = wanted.agg(F.max(F.size("seq"))).first()[0] or 1
+    run = T.tokens(docs)
+    step = [F.lead(F.struct("word", "end"), i).over(order) for i in range(1, longest)]
+    run = run.select(*DOC, "start", F.array(F.struct("word", "end"), *step).alias("run"))
+    place = run.select(*DOC, F.col("start").alias("at"), F.explode(F.transform("run", lambda r, i: F.struct(F.transform(F.slice("run", 1, i + 1), lambda x: x["word"]).alias("seq"), r["end"].alias("until")))).alias("r")).select(*DOC, "at", "r.seq", "r.until").where("until IS NOT NULL")
+    said = place.join(wanted, ["user_id", "seq"]).select(*DOC, "at", "until", "term", "preferred")
+    each = spans.select(*DOC, "start", "end", F.explode("terms").alias("term"))
+    hits = each.join(said, [*DOC, "term"]).where("until <= start OR at >= end").groupBy(*DOC, "start").agg(F.min(F.struct("term", "preferred"))["preferred"].alias("elsewhere"))
+    return spans.join(hits, [*DOC, "start"], "left")
+
+
+JOIN_HINT = "two words that sound like one term together"
+
+
+def judge_requests(docs: DataFrame, decided: DataFrame, terms: DataFrame) -> DataFrame:
+    """One request for each document with pending spans: user_id, doc_id, version, sentence, and items (start, text,
+    options with their kind and note, hint) in the order of the text."""
+    pending = elsewhere(decided.where("pending"), docs, terms.where(F.col("trust") >= ACTIVE))
+    hint = F.array_join(F.filter(F.array(F.when(F.col("elsewhere").isNotNull(), F.concat(F.lit("the text also has "), F.col("elsewhere"), F.lit(" as it is spelled"))), F.when(F.col("match") == "join", F.lit(JOIN_HINT))), lambda h: h.isNotNull()), "; ")
+    about = of_user(terms).where(F.col("trust") >= ACTIVE).select("user_id", "term", "preferred", F.coalesce("kind", F.lit("term")).alias("kind"), F.coalesce("note", F.lit("")).alias("note"))
+    options = pending.select(*DOC, "start", F.explode("terms").alias("term")).join(about, ["user_id", "term"]).groupBy(*DOC, "start").agg(F.array_sort(F.collect_list(F.struct("preferred", "kind", "note"))).alias("options"))
+    item = F.struct("start", "text", "options", hint.alias("hint"))
+    asked = pending.drop("options").join(options, [*DOC, "start"]).groupBy(*DOC).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    o = T.owned(docs).dropDuplicates(list(DOC)).alias("o")
+    same = (F.col("o.user_id") == F.col("a.user_id")) & F.col("o.doc_id").eqNullSafe(F.col("a.doc_id")) & (F.col("o.version") == F.col("a.version"))
+    return asked.alias("a").join(o, same).select("a.user_id", "a.doc_id", "a.version", F.col("o.text").alias("sentence"), "items")

@@ -1,54 +1,133 @@
 """Folding an event log into a memory: events(user_id, seq, ts, type, payload JSON) to terms, misspellings, retired, reports.
 
-The fold is one grouped pass over the log by user, in the order of seq; what can be told without order is DataFrame
-operations. A payload that isn't valid or an unknown type fails the job, and so nothing is written.
+The fold is one grouped pass over the log by user, in the order of seq, as each observation is scored against what the
+earlier ones left; what can be told without order, or composes, is DataFrame operations. A payload that isn't valid or an
+unknown type fails the job, and so nothing is written.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import ACTIVE, Memory, check_term, fold_name, phrase_key
+from ..functions.lexicon import COMMON
+from .kernel import Memory, Spelling, Term
+from .rules import ACTIVE, GUARD_WORDS, check_term, fold_name, phrase_key
 
 STATE = """user_id string, part string, term string, preferred string, kind string, note string, trust int, source string, created string,
 updated string, misspelling string, seen int, vetoes int, guard array<string>, key string, seq long, report string"""
+COLUMNS = [c.split()[0] for c in STATE.replace("\n", " ").split(", ")]
 
 
-def rows(user: str, memory: Memory, reports: Iterable[tuple[int, dict]] = ()) -> pd.DataFrame:
+def rows(user: str, memory: Memory, reports: Iterable[tuple[int, dict]] = (), mark: int | None = None) -> pd.DataFrame:
+    """The parts of a memory as rows of STATE; seq is `mark` for all but reports."""
     out: list[dict] = []
     for cf, t in sorted(memory.terms.items()):
-        base = {"user_id": user, "term": cf, "preferred": t.preferred}
+        base = {"user_id": user, "term": cf, "preferred": t.preferred, "seq": mark}
         out.append(base | {"part": "term", "kind": t.kind, "note": t.note, "trust": t.trust, "source": t.source, "created": t.created, "updated": t.updated, "key": phrase_key(t.preferred)})
         out += [base | {"part": "misspelling", "misspelling": m, "seen": s.seen, "vetoes": s.vetoes, "guard": s.guard, "updated": s.last, "key": phrase_key(m)} for m, s in sorted(t.spellings.items())]
-    out += [{"user_id": user, "part": "retired", "term": cf, "preferred": p, "key": k, "updated": ts} for cf, (p, k, ts) in sorted(memory.retired.items())]
+    out += [{"user_id": user, "part": "retired", "term": cf, "preferred": p, "key": k, "updated": ts, "seq": mark} for cf, (p, k, ts) in sorted(memory.retired.items())]
     out += [{"user_id": user, "part": "report", "seq": n, "report": json.dumps(r, ensure_ascii=False)} for n, r in reports]
-    frame = pd.DataFrame(out, columns=[c.split()[0] for c in STATE.replace("\n", " ").split(", ")])
+    frame = pd.DataFrame(out, columns=COLUMNS)
     for c in ("trust", "seen", "vetoes", "seq"):
         frame[c] = frame[c].astype("Int64")
     return frame.astype(object).where(frame.notna(), None)
 
 
-def replay(events: DataFrame) -> DataFrame:
+def remembered(state: Iterable[dict], common: frozenset[str] = COMMON) -> Memory:
+    """A memory from its rows."""
+    memory, children = Memory(common), []
+    for r in state:
+        if r["part"] == "term":
+            memory.terms[r["term"]] = Term(r["preferred"], int(r["trust"]), r["source"], r["created"], r["updated"], r["kind"], r["note"])
+        elif r["part"] == "misspelling":
+            children.append(r)
+        elif r["part"] == "retired":
+            memory.retired[r["term"]] = (r["preferred"], r["key"], r["updated"])
+    for r in children:
+        memory.terms[r["term"]].spellings[r["misspelling"]] = Spelling(int(r["seen"]), int(r["vetoes"]), [*r["guard"]], r["updated"])
+    return memory
+
+
+def played(memory: Memory, log: pd.DataFrame) -> Iterator[tuple[int, dict]]:
+    for e in log.sort_values("seq").itertuples():
+        yield e.seq, memory.apply(e.type, json.loads(e.payload), str(e.ts))
+
+
+def keyed(events: DataFrame) -> DataFrame:
+    return events.select(F.col("user_id").cast("string"), "seq", F.col("ts").cast("string"), "type", "payload")
+
+
+def replay(events: DataFrame, words: frozenset[str] = COMMON) -> DataFrame:
     """Every part of the state after the last event, by user; and a report for each event."""
 
     def fold(log: pd.DataFrame) -> pd.DataFrame:
-        memory, reports = Memory(), []
-        for e in log.sort_values("seq").itertuples():
-            reports.append((e.seq, memory.apply(e.type, json.loads(e.payload), str(e.ts))))
+        memory = Memory(words)
+        reports = list(played(memory, log))
         return rows(str(log["user_id"].iloc[0]), memory, reports)
 
-    return events.select(F.col("user_id").cast("string"), "seq", F.col("ts").cast("string"), "type", "payload").groupBy("user_id").applyInPandas(fold, STATE)
+    return keyed(events).groupBy("user_id").applyInPandas(fold, STATE)
+
+
+def snapshots(events: DataFrame, words: frozenset[str] = COMMON) -> DataFrame:
+    """The state before each event of type "look", its seq in all rows of it; and reports of all other events."""
+
+    def fold(log: pd.DataFrame) -> pd.DataFrame:
+        memory, out, reports, user = Memory(words), [], [], str(log["user_id"].iloc[0])
+        for e in log.sort_values("seq").itertuples():
+            if e.type == "look":
+                out.append(rows(user, memory, mark=e.seq))
+                continue
+            payload, refused = memory.admit(e.type, json.loads(e.payload))
+            reports.append((e.seq, refused if refused is not None else memory.apply(e.type, payload, str(e.ts))))
+        return pd.concat([*out, rows(user, Memory(words), reports)])
+
+    return keyed(events).groupBy("user_id").applyInPandas(fold, STATE)
+
+
+def fold_onto(state: DataFrame, events: DataFrame, words: frozenset[str] = COMMON) -> DataFrame:
+    """The state of the users that have new events, with a report for each event; events that aren't to be logged have a
+    report of part "refused", all others their payload as it is logged, of part "logged"."""
+
+    def fold(before: pd.DataFrame, log: pd.DataFrame) -> pd.DataFrame:
+        if not len(log):
+            return pd.DataFrame(columns=COLUMNS)
+        memory, said = remembered(before.to_dict("records"), words), {"report": [], "refused": [], "logged": []}
+        for e in log.sort_values("seq").itertuples():
+            payload, refusal = memory.admit(e.type, json.loads(e.payload))
+            if refusal is None:
+                said["report"].append((e.seq, memory.apply(e.type, payload, str(e.ts))))
+                said["logged"].append((e.seq, payload))
+            else:
+                said["refused"].append((e.seq, refusal))
+        user = str(log["user_id"].iloc[0])
+        return pd.concat([rows(user, memory), *(rows(user, Memory(words), found).assign(part=part) for part, found in said.items())])
+
+    return state.groupBy("user_id").cogroup(keyed(events).groupBy("user_id")).applyInPandas(fold, STATE)
 
 
 def terms(state: DataFrame) -> DataFrame:
     return state.where("part = 'term'").select("user_id", "term", "preferred", "kind", "note", "trust", status(F.col("trust")).alias("status"), "source", "created", "updated", "key")
 
 
+def public(terms_: DataFrame) -> DataFrame:
+    """What users see of their terms, in order."""
+    return terms_.select("user_id", "preferred", "kind", "note", "trust", "status", "source", "updated", "term").orderBy("user_id", "term").drop("term")
+
+
+def lookup(terms_: DataFrame, user: str, preferred: str) -> DataFrame:
+    return terms_.where((F.col("user_id") == user) & (F.col("term") == fold_name(preferred)))
+
+
+def same_key(terms_: DataFrame, key: Column) -> DataFrame:
+    """For each user the first term, by its folded name, whose preferred spelling has the key."""
+    return terms_.where(F.col("key") == key).groupBy("user_id").agg(F.min_by(F.struct(*terms_.columns[1:]), "term").alias("t")).select("user_id", "t.*")
+
+
 def misspellings(state: DataFrame) -> DataFrame:
     return state.where("part = 'misspelling'").select("user_id", "term", "misspelling", "seen", "vetoes", "guard", F.col("updated").alias("last_ts"), "key")
 
@@ -83,14 +162,73 @@ def accepted(names: DataFrame) -> DataFrame:
     return names.select("preferred").mapInPandas(check, kind)
 
 
-def trust_fold(ops: DataFrame) -> DataFrame:
-    """Final trust of (user_id, seq, op, value), op being add, set, bump or delete; no row for what ends deleted.
+def said_something(observations: DataFrame) -> DataFrame:
+    """Observations (formatted, final) that aren't blank on both sides; only these are logged."""
+    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
+    return observations.where(~(blank("formatted") & blank("final")))
+
+
+#: Ops that are folded together before blocks are put in order.
+BLOCK = 256
+
+
+def _steps() -> Callable[[Column, Column], Column]:
+    """A run of ops as one function of the trust before: `none` is its value where there was no term, else it is
+    greatest(x + shift, floor), parts that are null being left out, and no term if both are. Runs compose."""
+    def then(f: Column, g: Column) -> Column:
+        at = lambda x: F.greatest(x + g["shift"], g["floor"])
+        gone = f["shift"].isNull() & f["floor"].isNull()
+        return F.struct(
+            F.when(f["none"].isNull(), g["none"]).otherwise(at(f["none"])).alias("none"),
+            F.when(~gone, f["shift"] + g["shift"]).alias("shift"),
+            F.when(gone, g["none"]).otherwise(F.greatest(f["floor"] + g["shift"], g["floor"])).alias("floor"))
+
+    return then
+
 
-    Each op is x -> max(x + value, floor): an associative form, folded here over the ordered log of a key.
+def _step(op: Column, value: Column) -> Column:
+    number = value.cast("long")
+    return F.struct(
+        F.when(op == "add", F.lit(ACTIVE)).cast("long").alias("none"),
+        F.when(op == "add", F.lit(0).cast("long")).when(op == "bump", number).alias("shift"),
+        F.when(op == "add", F.lit(ACTIVE).cast("long")).when(op == "set", number).alias("floor"))
+
+
+def _nothing(of: str) -> Column:
+    """No ops, before those of an array; its fields may be null, as a literal's may not."""
+    return F.struct(F.lit(None).cast("long").alias("none"), F.when(F.size(of) >= 0, F.lit(0).cast("long")).alias("shift"), F.lit(None).cast("long").alias("floor"))
+
+
+def _blocks(ops: DataFrame, keys: list[str], span: int) -> DataFrame:
+    """Ops by blocks of seq: the function of each block and its ordered items."""
+    item = F.struct("seq", "op", "value", _step(F.col("op"), F.col("value")).alias("f"))
+    blocks = ops.withColumn("block", F.floor(F.col("seq") / span)).groupBy(*keys, "block").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    return blocks.withColumn("f", F.aggregate("items", _nothing("items"), lambda a, x: _steps()(a, x["f"])))
+
+
+def trust_fold(ops: DataFrame, keys: tuple[str, ...] = ("user_id",), span: int = BLOCK) -> DataFrame:
+    """Final trust of (keys, seq, op, value), op being add, set, bump or delete; no row for what ends deleted.
+
+    Ops compose, so a key's log is folded by blocks of `span` numbers of seq, and then block by block; ties in seq go by
+    op and value.
     """
-    log = F.array_sort(F.collect_list(F.struct("seq", "op", "value")))
-    step = lambda a, e: F.when(e["op"] == "add", F.greatest(F.coalesce(a, F.lit(0)), F.lit(ACTIVE))).when(e["op"] == "delete", F.lit(None).cast("int")).when(e["op"] == "set", F.when(a.isNotNull(), e["value"])).otherwise(a + e["value"])
-    return ops.groupBy("user_id").agg(F.aggregate(log, F.lit(None).cast("int"), step).alias("trust")).where("trust IS NOT NULL")
+    names = list(keys)
+    parts = _blocks(ops, names, span).groupBy(*names).agg(F.array_sort(F.collect_list(F.struct("block", "f"))).alias("parts"))
+    return parts.select(*names, F.aggregate("parts", _nothing("parts"), lambda a, x: _steps()(a, x["f"]))["none"].alias("trust")).where("trust IS NOT NULL")
+
+
+def history(ops: DataFrame, keys: tuple[str, ...] = ("user_id",), span: int = BLOCK) -> DataFrame:
+    """Trust after each op, null where there is no term; blocks begin with what those before them left."""
+    names = list(keys)
+    blocks = _blocks(ops, names, span)
+    parts = blocks.groupBy(*names).agg(F.array_sort(F.collect_list(F.struct("block", "f"))).alias("parts"))
+    first = F.struct(_nothing("parts").alias("f"), F.expr("CAST(array() AS array<struct<block:bigint,start:bigint>>)").alias("starts"))
+    walked = F.aggregate("parts", first, lambda a, x: F.struct(_steps()(a["f"], x["f"]).alias("f"), F.array_append(a["starts"], F.struct(x["block"].alias("block"), a["f"]["none"].alias("start"))).alias("starts")))
+    starts = parts.select(*names, F.explode(walked["starts"]).alias("s")).select(*names, "s.block", "s.start")
+    then = lambda x, f: F.when(x.isNull(), f["none"]).otherwise(F.greatest(x + f["shift"], f["floor"]))
+    init = F.struct(F.col("start").alias("x"), F.expr("CAST(array() AS array<struct<seq:bigint,trust:bigint>>)").alias("seen"))
+    steps = F.aggregate("items", init, lambda a, e: F.struct(then(a["x"], e["f"]).alias("x"), F.array_append(a["seen"], F.struct(e["seq"].cast("long").alias("seq"), then(a["x"], e["f"]).alias("trust"))).alias("seen")))
+    return blocks.join(starts, [*names, "block"]).select(*names, F.explode(steps["seen"]).alias("s")).select(*names, "s.seq", "s.trust")
 
 
 def counters(effects: DataFrame) -> DataFrame:
@@ -98,7 +236,7 @@ def counters(effects: DataFrame) -> DataFrame:
     return effects.groupBy("user_id", "term", "misspelling").agg(F.sum("d_seen").alias("seen"), F.sum("d_veto").alias("vetoes"), F.max_by("ts", "seq").alias("last_ts"))
 
 
-def guard_merge(fresh: Column, old: Column, most: int = 24) -> Column:
+def guard_merge(fresh: Column, old: Column, most: int = GUARD_WORDS) -> Column:
     return F.slice(F.concat(F.array_sort(fresh), F.array_except(old, fresh)), 1, most)
 
 
@@ -116,9 +254,9 @@ def top_traces(traces: DataFrame, n: int = 20) -> DataFrame:
     return traces.orderBy(F.desc("trace_id")).limit(max(1, min(200, n)))
 
 
-def history(ops: DataFrame) -> DataFrame:
-    """Running sum of bumps for each user, in order."""
-    return ops.withColumn("trust", F.sum("value").over(Window.partitionBy("user_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)))
+def growth(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Counts (name, n) after less before."""
+    return after.join(before.withColumnRenamed("n", "was"), "name", "left").select("name", (F.col("n") - F.coalesce("was", F.lit(0))).alias("grown"))
 
 
-__all__ = ["accepted", "cascade", "counters", "fold_name", "guard_merge", "history", "hydrate", "misspellings", "replay", "reports", "retired", "status", "terms", "top_traces", "trust_fold", "unretire"]
+__all__ = ["accepted", "cascade", "counters", "fold_name", "fold_onto", "growth", "guard_merge", "history", "hydrate", "lookup", "misspellings", "played", "public", "remembered", "replay", "reports", "retired", "rows", "said_something", "same_key", "snapshots", "status", "terms", "top_traces", "trust_fold", "unretire"]

@@ -10,6 +10,7 @@ from ..functions import text as T
 from ..functions.lexicon import COMMON, GLUE, listed
 from ..operators import correct, evaluate, memory
 from ..sources.log import row_counts
+from . import oracle
 
 TERMS = [("Tion", 3), ("Inti", 2), ("Ernt", 2), ("Erst", 4), ("Ersst", 2), ("Ontion", 2), ("Ting", 2), ("Erat", 1), ("Eres", 0), ("Cold Widget", 2), ("Hot Plate", 2)]
 SPELLINGS = [("tion", "thtion", 2, 0, []), ("erst", "erstth", 1, 0, []), ("ernt", "erntth", 0, 1, ["with", "that", "and"]), ("inti", "inntti", 0, 1, [])]
@@ -41,16 +42,18 @@ def decision_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def judge_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = docs(spark, sf_dir)
-    asked = correct.judge_requests(d, correct.decisions(d, *dictionary(spark)))
-    return asked.select("doc_id", F.size("items").cast("long").alias("n_items"), F.to_json("items").alias("items"))
+    d, (terms, spellings) = docs(spark, sf_dir), dictionary(spark)
+    asked = correct.judge_requests(d, correct.decisions(d, terms, spellings), terms)
+    line = lambda x: F.concat_ws("|", x["start"].cast("string"), x["text"], F.array_join(F.transform(x["options"], lambda o: o["preferred"]), ","), x["hint"])
+    return asked.select("doc_id", F.size("items").cast("long").alias("n_items"), F.array_join(F.transform("items", line), ";").alias("items"))
 
 
 def verdict_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Half of the pending spans get a verdict that applies the first option."""
+    """Of four pending spans one is applied, one refused, one answered with another word, and one not at all."""
     d, (terms, spellings) = docs(spark, sf_dir), dictionary(spark)
-    pending = correct.decisions(d, terms, spellings).where("pending AND start % 2 = 0")
-    verdicts = pending.select("doc_id", "start", F.lit(True).alias("apply"), F.element_at(F.array_sort("options"), 1).alias("preferred"), F.lit("said so").alias("reason"))
+    pending = correct.decisions(d, terms, spellings).where("pending AND start % 4 < 3")
+    said = F.when(F.col("start") % 4 == 2, "another word").otherwise(F.element_at(F.array_sort("options"), 1))
+    verdicts = pending.select("doc_id", "start", (F.col("start") % 4 != 1).alias("apply"), said.alias("preferred"), F.lit("said so").alias("reason"))
     return correct.decisions(d, terms, spellings, verdicts).groupBy("decision").agg(F.count("*").alias("n"))
 
 
@@ -82,11 +85,11 @@ def content_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sounds_alike_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Equal keys or one edit apart, by an equi-join on shortened keys."""
-    v = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(T.TOKEN), F.lit(0))).alias("w")).distinct().withColumn("k", F.expr(T.key("w"))).where("length(k) >= 4")
-    cut = v.withColumn("c", F.explode(F.expr(correct.shortened("k"))))
+    """Equal keys, or one edit apart if both have four letters, by an equi-join on shortened keys."""
+    v = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(T.TOKEN), F.lit(0))).alias("w")).distinct().withColumn("k", F.expr(T.key("w"))).where("k <> ''")
+    cut = v.withColumn("c", F.explode(F.expr(f"IF(length(k) >= 4, {correct.shortened('k')}, array(k))")))
     a, b = cut.select("c", F.col("w").alias("a"), F.col("k").alias("ka")), cut.select("c", F.col("w").alias("b"), F.col("k").alias("kb"))
-    return a.join(b, "c").where("a < b").where(f"ka = kb OR {T.near('ka', 'kb')}").select("a", "b").distinct()
+    return a.join(b, "c").where("a < b").where(f"ka = kb OR (length(ka) >= 4 AND length(kb) >= 4 AND {T.near('ka', 'kb')})").select("a", "b").distinct()
 
 
 def identifier_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,14 +98,16 @@ def identifier_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as changes of trust: signup adds, view sets to its number modulo 4, some errors delete, the rest bump."""
     e = table(spark, sf_dir, "events")
-    op = F.when(F.col("event_type") == "signup", "add").when(F.col("event_type") == "view", "set").otherwise("bump")
-    value = F.when(F.col("event_type") == "purchase", 1).when(F.col("event_type") == "error", -2).otherwise(0)
-    return e.select("user_id", F.col("event_id").alias("seq"), op.alias("op"), value.alias("value")).where("op <> 'set'")
+    error, gone = F.col("event_type") == "error", F.col("event_id") % 4 == 0
+    op = F.when(F.col("event_type") == "signup", "add").when(F.col("event_type") == "view", "set").when(error & gone, "delete").otherwise("bump")
+    value = F.when(F.col("event_type") == "purchase", 1).when(error, -2).when(F.col("event_type") == "view", F.col("event_id") % 4).otherwise(0)
+    return e.select("user_id", F.col("event_id").alias("seq"), op.alias("op"), value.cast("int").alias("value"))
 
 
 def trust_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return memory.trust_fold(ops(spark, sf_dir)).select("user_id", F.col("trust").cast("long").alias("trust"))
+    return memory.trust_fold(ops(spark, sf_dir)).select("user_id", "trust")
 
 
 def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,7 +115,7 @@ def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trust_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return memory.history(ops(spark, sf_dir).where("op = 'bump'")).select("user_id", "seq", F.col("trust").cast("long").alias("trust"))
+    return memory.history(ops(spark, sf_dir)).select("user_id", "seq", "trust")
 
 
 def misspelling_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,22 +136,39 @@ def value_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def learning(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each conversation is a user; each text with a known spelling put right is an observation; then the fold."""
-    c = table(spark, sf_dir, "conversations").where("text IS NOT NULL")
-    final = F.regexp_replace("text", r"\b(thtion|ththtion)\b", "Tion")
-    seen = c.select(F.col("conv_id").cast("string").alias("user_id"), (F.col("turn") + 1).alias("seq"), F.lit("2026-01-01").alias("ts"), F.lit("observation").alias("type"), F.to_json(F.struct(F.col("text").alias("asr"), F.col("text").alias("formatted"), final.alias("final"))).alias("payload"))
-    return memory.replay(seen)
+    """Events as the life of one term: signup adds it, every third error deletes it, every fifth view sets its trust,
+    purchases are edits towards it, other errors and views leave its misspelling, all else is an edit that isn't heard."""
+    e = table(spark, sf_dir, "events")
+    kind, n = F.col("event_type"), F.col("event_id")
+    type_ = F.when(kind == "signup", "add_term").when((kind == "error") & (n % 3 == 0), "delete_term").when((kind == "view") & (n % 5 == 0), "set_trust").otherwise("observation")
+    heard = F.when(kind.isin("error", "view", "purchase"), "Ask Joonas now.").otherwise("The note is here.")
+    final = F.when(kind == "purchase", "Ask Jonas now.").when(kind.isin("error", "view"), heard).otherwise("The joy is here.")
+    payload = F.when(type_ == "observation", F.to_json(F.struct(F.lit("").alias("asr"), heard.alias("formatted"), final.alias("final")))).otherwise(F.to_json(F.struct(F.lit("Jonas").alias("preferred"), F.lit(1).alias("trust"))))
+    return memory.replay(e.select("user_id", n.alias("seq"), "ts", type_.alias("type"), payload.alias("payload")))
 
 
 def learned_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return memory.terms(learning(spark, sf_dir)).select("user_id", "term", "preferred", F.col("trust").cast("long").alias("trust"), "status", "key")
+    state = learning(spark, sf_dir)
+    spelled = memory.misspellings(state).select("user_id", "term", "seen", "vetoes")
+    kept = memory.terms(state).join(spelled, ["user_id", "term"], "left")
+    return kept.select("user_id", "term", F.col("trust").cast("long").alias("trust"), "status", F.coalesce("seen", F.lit(0)).cast("long").alias("seen"), F.coalesce("vetoes", F.lit(0)).cast("long").alias("vetoes"))
+
+
+def learning_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = ("learned", "confirmed", "reverted", "ignored")
+    said = F.from_json("report", "learned array<string>, confirmed array<string>, reverted array<string>, ignored array<string>")
+    each = memory.reports(learning(spark, sf_dir)).withColumn("r", said)
+    return each.groupBy("user_id").agg(*(F.coalesce(F.sum(F.when(F.size(f"r.{p}") > 0, F.size(f"r.{p}"))), F.lit(0)).cast("long").alias(p) for p in parts))
 
 
-QUERIES = {f.__name__: f for f in (corrected_text, decision_counts, judge_requests, verdict_merge, token_offsets, phonetic_keys, key_collisions, phrase_keys, common_share, content_words, sounds_alike_pairs, identifier_chunks, trust_fold, status_counts, trust_history, misspelling_counters, table_counts, trace_top, value_percentiles, learned_terms)}
+QUERIES = {f.__name__: f for f in (corrected_text, decision_counts, judge_requests, verdict_merge, token_offsets, phonetic_keys, key_collisions, phrase_keys, common_share, content_words, sounds_alike_pairs, identifier_chunks, trust_fold, status_counts, trust_history, misspelling_counters, table_counts, trace_top, value_percentiles, learned_terms, learning_reports)}
 
 _WORDS = f"unnest(regexp_extract_all(text, '{T.TOKEN}'))"
-_TRUST = """SELECT user_id, CAST(list_reduce(list_prepend(CAST(NULL AS BIGINT), list(v ORDER BY seq)), lambda a, e: CASE WHEN e >= 100 THEN greatest(coalesce(a, 0), 2) ELSE a + e END) AS BIGINT) AS trust
-FROM (SELECT user_id, event_id AS seq, CAST(CASE event_type WHEN 'signup' THEN 100 WHEN 'purchase' THEN 1 WHEN 'error' THEN -2 ELSE 0 END AS BIGINT) AS v FROM events WHERE event_type <> 'view') GROUP BY user_id"""
+_STEPS = """SELECT user_id, event_id AS seq, list({'op': event_type, 'id': event_id}) OVER (PARTITION BY user_id ORDER BY event_id) AS log FROM events"""
+_TRUST = """SELECT user_id, seq, CAST(list_reduce(list_prepend(CAST(NULL AS BIGINT), list_transform(log, lambda e: CAST(CASE
+    WHEN e.op = 'signup' THEN 1000000 WHEN e.op = 'view' THEN 2000000 + e.id % 4 WHEN e.op = 'error' AND e.id % 4 = 0 THEN 3000000 WHEN e.op = 'purchase' THEN 1 WHEN e.op = 'error' THEN -2 ELSE 0 END AS BIGINT))),
+  lambda a, e: CASE WHEN e = 1000000 THEN greatest(coalesce(a, 0), 2) WHEN e = 3000000 THEN NULL WHEN e >= 2000000 THEN CASE WHEN a IS NOT NULL THEN e - 2000000 END ELSE a + e END) AS BIGINT) AS trust FROM """
+_LAST = f"({_TRUST} (SELECT user_id, 0 AS seq, list({{'op': event_type, 'id': event_id}} ORDER BY event_id) AS log FROM events GROUP BY user_id))"
 _KEYS = f"SELECT word, {T.key('word', 'duckdb')} AS key, n FROM (SELECT word, count(*) AS n FROM (SELECT {_WORDS} AS word FROM documents) GROUP BY word)"
 
 
@@ -165,14 +187,20 @@ ORACLES = {
     "key_collisions": f"SELECT key, count(*) AS spellings, CAST(sum(n) AS BIGINT) AS n FROM ({_KEYS}) GROUP BY key HAVING count(*) > 1",
     "phrase_keys": f"SELECT p_partkey, {T.phrase_key('p_name', 'duckdb')} AS key FROM part",
     "common_share": f"SELECT doc_id, count(*) FILTER (WHERE {T.common('word', listed(COMMON))}) AS n_common, count(*) AS n FROM (SELECT doc_id, {_WORDS} AS word FROM documents) GROUP BY doc_id",
-    "content_words": f"SELECT doc_id, CAST(len(list_distinct(list_filter(regexp_extract_all({T.casefold('text')}, '{T.TOKEN}'), lambda w: length(w) >= 3 AND w NOT IN ({listed(GLUE)})))) AS BIGINT) AS n_content FROM documents",
-    "sounds_alike_pairs": f"WITH v AS (SELECT w, {T.key('w', 'duckdb')} AS k FROM (SELECT DISTINCT {_WORDS} AS w FROM benchmark)) SELECT x.w AS a, y.w AS b FROM v x JOIN v y ON x.w < y.w AND length(x.k) >= 4 AND length(y.k) >= 4 AND {T.near('x.k', 'y.k', 'duckdb')}",
+    "content_words": f"SELECT doc_id, CAST(len(list_distinct(list_filter(list_transform(regexp_extract_all(text, '{T.TOKEN}'), lambda x: {T.casefold('x')}), lambda w: length(w) >= 3 AND w NOT IN ({listed(GLUE)})))) AS BIGINT) AS n_content FROM documents",
+    "sounds_alike_pairs": f"WITH v AS (SELECT w, {T.key('w', 'duckdb')} AS k FROM (SELECT DISTINCT {_WORDS} AS w FROM benchmark)) SELECT x.w AS a, y.w AS b FROM v x JOIN v y ON x.w < y.w AND x.k <> '' AND (x.k = y.k OR (length(x.k) >= 4 AND length(y.k) >= 4 AND {T.near('x.k', 'y.k', 'duckdb')}))",
     "identifier_chunks": f"SELECT page_id, count(*) AS n FROM (SELECT page_id, unnest(regexp_split_to_array(url, '[ \\t\\n]+')) AS c FROM pages) WHERE {T.identifier('c', 'duckdb')} GROUP BY page_id",
-    "trust_fold": f"SELECT * FROM ({_TRUST}) WHERE trust IS NOT NULL",
-    "status_counts": f"SELECT CASE WHEN trust >= 2 THEN 'trusted' WHEN trust > 0 THEN 'watching' ELSE 'muted' END AS status, count(*) AS n FROM ({_TRUST}) WHERE trust IS NOT NULL GROUP BY 1",
-    "trust_history": "SELECT user_id, event_id AS seq, CAST(sum(CASE event_type WHEN 'purchase' THEN 1 WHEN 'error' THEN -2 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS trust FROM events WHERE event_type NOT IN ('signup', 'view')",
+    "trust_fold": f"SELECT user_id, trust FROM {_LAST} WHERE trust IS NOT NULL",
+    "status_counts": f"SELECT CASE WHEN trust >= 2 THEN 'trusted' WHEN trust > 0 THEN 'watching' ELSE 'muted' END AS status, count(*) AS n FROM {_LAST} WHERE trust IS NOT NULL GROUP BY 1",
+    "trust_history": f"{_TRUST} ({_STEPS})",
     "misspelling_counters": "SELECT user_id, event_type AS term, event_id % 7 AS misspelling, count(*) AS seen, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS vetoes, max(event_id) AS last_ts FROM events GROUP BY ALL",
     "table_counts": " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n FROM {n}" for n in ("documents", "events", "part", "conversations")),
     "trace_top": "SELECT conv_id * 1000 + turn AS trace_id, text FROM conversations ORDER BY 1 DESC LIMIT 20",
     "value_percentiles": f"SELECT event_type, {_percentile(50)} AS p50, {_percentile(95)} AS p95 FROM (SELECT event_type, list(value ORDER BY value) AS v FROM events WHERE value IS NOT NULL GROUP BY event_type)",
+    "corrected_text": oracle.decided(TERMS, SPELLINGS) + oracle.CORRECTED,
+    "decision_counts": oracle.decided(TERMS, SPELLINGS) + oracle.DECISIONS,
+    "judge_requests": oracle.decided(TERMS, SPELLINGS) + oracle.REQUESTS,
+    "verdict_merge": oracle.decided(TERMS, SPELLINGS) + oracle.VERDICTS,
+    "learned_terms": oracle.LEARNED + oracle.TERMS_LEFT,
+    "learning_reports": oracle.LEARNED + oracle.REPORTED,
 }

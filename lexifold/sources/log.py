@@ -1,4 +1,4 @@
-"""Event logs, seeds and cases: reading and writing."""
+"""Event logs, seeds, cases, takes, traces and results: reading and writing."""
 
 from __future__ import annotations
 
@@ -8,28 +8,40 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 EVENTS = "user_id string, seq long, ts timestamp, type string, payload string"
+TRACES = "trace_id long, user_id string, ts timestamp, input string, output string, data string"
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(EVENTS).parquet(path).orderBy("user_id", "seq")
 
 
-def append_events(new: DataFrame, path: str, last: DataFrame | None = None) -> None:
-    """Gives each user's new events (user_id, ts, type, payload) the numbers after the last one, and appends them."""
-    seq = F.row_number().over(Window.partitionBy("user_id").orderBy("ts"))
-    numbered = new.withColumn("seq", seq.cast("long"))
+def numbered(new: DataFrame, last: DataFrame | None = None) -> DataFrame:
+    """Each user's new events (user_id, ts, type, payload and, if there, ord) with the numbers after the last one.
+
+    Order is by ts, then ord, then type and payload, so that a rerun numbers them alike.
+    """
+    by = [F.col("ts"), *([F.col("ord")] if "ord" in new.columns else []), F.col("type"), F.col("payload")]
+    rows = new.withColumn("seq", F.row_number().over(Window.partitionBy("user_id").orderBy(*by)).cast("long"))
     if last is not None:
         top = last.groupBy("user_id").agg(F.max("seq").alias("top"))
-        numbered = numbered.join(top, "user_id", "left").withColumn("seq", F.col("seq") + F.coalesce("top", F.lit(0))).drop("top")
-    numbered.select("user_id", "seq", "ts", "type", "payload").write.mode("append").parquet(path)
+        rows = rows.join(top, "user_id", "left").withColumn("seq", F.col("seq") + F.coalesce("top", F.lit(0))).drop("top")
+    return rows.select("user_id", "seq", "ts", "type", "payload")
+
+
+def append_events(new: DataFrame, path: str, last: DataFrame | None = None) -> None:
+    """Appends new events to a log with one writer; operators/engine.py is for more."""
+    numbered(new, last).write.mode("append").parquet(path)
 
 
 def read_seed(spark: SparkSession, path: str, user: str = "seed") -> DataFrame:
     """Events of a JSON-lines file; blank lines and those with # are left out, a bad line fails before anything is done."""
     lines = [x.value.strip() for x in spark.read.text(path).collect()]
-    found = [json.loads(x) for x in lines if x and not x.startswith("#")]
+    return seed_events(spark, [json.loads(x) for x in lines if x and not x.startswith("#")], user)
+
+
+def seed_events(spark: SparkSession, found: list[dict], user: str = "seed") -> DataFrame:
     rows = [(user, i + 1, e["type"], json.dumps(e["payload"], ensure_ascii=False)) for i, e in enumerate(found)]
-    return spark.createDataFrame(rows, "user_id string, seq long, type string, payload string").withColumn("ts", F.current_timestamp())
+    return spark.createDataFrame(rows, "user_id string, seq long, type string, payload string").withColumn("ts", F.date_trunc("second", F.current_timestamp()))
 
 
 def parse_cases(text: str) -> list[dict]:
@@ -46,9 +58,30 @@ def parse_cases(text: str) -> list[dict]:
     return out
 
 
+def read_takes(spark: SparkSession, path: str) -> DataFrame:
+    """(pos, asr, formatted) of a JSON document with a list `takes`."""
+    whole = spark.read.schema("takes array<struct<asr:string,formatted:string>>").json(path, multiLine=True)
+    return whole.select(F.posexplode("takes").alias("pos", "t")).select("pos", "t.asr", "t.formatted")
+
+
 def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     whole = None
     for name, df in tables.items():
         one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
         whole = one if whole is None else whole.union(one)
     return whole
+
+
+def write_traces(traces: DataFrame, path: str, first: int = 1) -> None:
+    """Appends traces (user_id, doc_id, input, output, data), numbered from `first` on in the order of user and document."""
+    order = traces.orderBy("user_id", "doc_id", "input").rdd.zipWithIndex().map(lambda x: (x[1] + first, x[0].user_id, x[0].input, x[0].output, x[0].data))
+    rows = traces.sparkSession.createDataFrame(order, "trace_id long, user_id string, input string, output string, data string")
+    rows.withColumn("ts", F.date_trunc("second", F.current_timestamp())).select(*(c.split()[0] for c in TRACES.split(", "))).write.mode("append").parquet(path)
+
+
+def write_results(spark: SparkSession, records: list[dict], counts: dict, folder: str, suffix: str = "") -> None:
+    """The records as JSON lines in results<suffix>, the counts as a table in text in summary<suffix>."""
+    lines = spark.createDataFrame([(json.dumps(r, ensure_ascii=False),) for r in records], "value string")
+    lines.coalesce(1).write.mode("overwrite").text(f"{folder}/results{suffix}")
+    table = ["| what | n |", "|---|---|", *(f"| {k} | {v} |" for k, v in counts.items())]
+    spark.createDataFrame([("\n".join(table),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/summary{suffix}")

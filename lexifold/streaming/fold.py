@@ -1,29 +1,27 @@
 """The fold as a stream: each user's memory is kept as state, and each event changes it once.
 
-An event whose seq isn't above the last one folded is skipped, so a redelivered batch changes nothing.
+An event whose seq isn't above the last one folded is skipped, so a redelivered batch changes nothing. State is the rows
+of memory.STATE as JSON, so that it outlives a change of code.
 """
 
 from __future__ import annotations
 
 import json
-import pickle
 from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.kernel import Memory
-from ..operators.memory import STATE, rows
+from ..operators.memory import STATE, keyed, remembered, rows
 
 
 def fold_stream(events: DataFrame) -> DataFrame:
     """A stream of events to each touched user's whole state after a batch (update mode)."""
 
     def fold(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterable[pd.DataFrame]:
-        raw, last = state.get if state.exists else (None, 0)
-        memory = pickle.loads(raw) if raw else Memory()
+        kept, last = state.get if state.exists else ("[]", 0)
+        memory = remembered(json.loads(kept))
         got = list(batches)
         new = pd.concat(got).sort_values("seq") if got else pd.DataFrame(columns=["seq"])
         done = []
@@ -31,8 +29,7 @@ def fold_stream(events: DataFrame) -> DataFrame:
             if e.seq > last:
                 done.append((e.seq, memory.apply(e.type, json.loads(e.payload), str(e.ts))))
                 last = e.seq
-        state.update((pickle.dumps(memory), int(last)))
+        state.update((json.dumps(rows(key[0], memory).to_dict("records"), ensure_ascii=False), int(last)))
         yield rows(key[0], memory, done)
 
-    keyed = events.select(F.col("user_id").cast("string"), "seq", F.col("ts").cast("string"), "type", "payload")
-    return keyed.groupBy("user_id").applyInPandasWithState(fold, STATE, "memory binary, last long", "update", GroupStateTimeout.NoTimeout)
+    return keyed(events).groupBy("user_id").applyInPandasWithState(fold, STATE, "memory string, last long", "update", GroupStateTimeout.NoTimeout)

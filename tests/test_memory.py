@@ -4,16 +4,39 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexifold.functions import text as T
-from lexifold.operators import correct, evaluate, memory
-from lexifold.operators.kernel import Memory, alike, key, one_edit
-from lexifold.sources.log import EVENTS, parse_cases
+from lexifold.operators import evaluate, memory
+from lexifold.operators.kernel import GATES, Memory
+from lexifold.operators.rules import REFUSALS, alike, check_term, heading, key, one_edit, phrase_key
+from lexifold.sources.log import EVENTS
 from lexifold.streaming.fold import fold_stream
 
 
 def test_keys_and_edits():
-    assert key("Aadithya") == key("Aditya") and key("room22") == "rum22"
-    assert one_edit("abcd", "abdc") and one_edit("abc", "abcd") and not one_edit("abcd", "badc")
-    assert alike("Zeroda", "Zerodha") and not alike("there", "their")
+    # worked by hand: aadithya -> th to t, doubled letters one; zerodha -> z to s, dh to d; quick -> q, ck to k, w to v
+    assert [key(w) for w in ("Aadithya", "Aditya", "Zerodha", "quick", "room22", "Phool", "Straße", "×")] == ["aditya", "aditya", "seroda", "kuik", "rum22", "ful", "strase", ""]
+    assert phrase_key("Cold  Widget ×") == "kold vidget"
+    assert one_edit("abcd", "abdc") and one_edit("abc", "abcd") and one_edit("abc", "axc") and not one_edit("abcd", "badc") and not one_edit("ab", "abcd")
+    assert alike("Zeroda", "Zerodha") and not alike("there", "their") and not alike("cat", "cut") and not alike("×", "÷")
+
+
+def test_functions_agree_with_sql(spark):
+    words = ["Aadithya", "Straße", "ŉoﬀ", "Æther", "naïve", "QUICK", "room22", "×", "ksh", "sshh", "Ǆ", "ɏ", "coffee"]
+    got = spark.createDataFrame([(w,) for w in words], "w string").select("w", F.expr(T.key("w")).alias("k")).collect()
+    token = [r for r in got if "ﬀ" not in r.w]
+    assert {r.w: r.k for r in token} == {r.w: key(r.w) for r in token}
+
+
+def test_names_that_are_no_terms():
+    assert check_term("  Cold \t Widget ") == ("Cold Widget", None) and check_term("éa") == ("éa", None)
+    assert [check_term(x)[1] for x in ("", None, "12", "x" * 65, "a-b", "O'Neil")] == [REFUSALS[0][0]] * 3 + [REFUSALS[1][0]] + [REFUSALS[2][0]] * 2
+
+
+def test_heading():
+    assert heading("Ask Marit Now") and heading("The Big Plan of Us") and not heading("Ask marit now") and not heading("Marit") and not heading("")
+
+
+def see(m, formatted, final, **more):
+    return m.apply("observation", {"formatted": formatted, "final": final} | more, "9")
 
 
 def test_restraint_and_learning():
@@ -22,42 +45,100 @@ def test_restraint_and_learning():
     assert m.correct("Ask Marit to come.")[0] == "Ask Maarit to come."
     assert m.correct("Mail marit.k@host.org now.")[0] == "Mail marit.k@host.org now."
     assert m.correct("Marit Holm left.")[1][0].decision == "skipped:context-unavailable"
-    m.apply("observation", {"formatted": "Ask Marit to come.", "final": "Ask Marit to come."}, "2")
+    see(m, "Ask Marit to come.", "Ask Marit to come.")
     assert m.terms["maarit"].trust == 0
-    m.apply("observation", {"formatted": "Call Joonas today.", "final": "Call Jonas today."}, "3")
-    m.apply("observation", {"formatted": "Then Joonas left us.", "final": "Then Jonas left us."}, "4")
+    see(m, "Call Joonas today.", "Call Jonas today.")
+    see(m, "Then Joonas left us.", "Then Jonas left us.")
     assert m.terms["jonas"].status == "trusted"
     m.apply("delete_term", {"preferred": "Jonas"}, "5")
-    report = m.apply("observation", {"formatted": "Call Joonas today.", "final": "Call Jonas today."}, "6")
-    assert report["ignored"][0]["reason"] == "retired"
+    assert see(m, "Call Joonas today.", "Call Jonas today.")["ignored"][0]["reason"] == "retired"
     with pytest.raises(ValueError):
         m.apply("what", {}, "7")
+    with pytest.raises(KeyError):
+        m.apply("observation", {"formatted": "x"}, "7")
 
 
-def test_frames_agree_with_kernel(spark):
+def test_gates_in_order():
     m = Memory()
-    for name, trust in (("Maarit", 3), ("Cold Widget", 2), ("Kivimaa", 2), ("Erat", 1)):
-        m.apply("add_term", {"preferred": name}, "1")
-        m.apply("set_trust", {"preferred": name, "trust": trust}, "1")
-    texts = ["Ask Marit to come.", "a ma rit here", "the kold widget", "see marit@x.org", "", "Erath and Marit Holm", "MARIT SAID SO", "Kivima fell; kivimaa too", "no", "Marit 22, marit's (Marit)"]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    state = memory.rows("u", m)
-    terms = spark.createDataFrame([(t["term"], t["preferred"], None, None, int(t["trust"])) for t in state.to_dict("records") if t["part"] == "term"], "term string, preferred string, kind string, note string, trust int")
-    none = spark.createDataFrame([], "term string, misspelling string, seen int, vetoes int, guard array<string>")
-    got = {r.doc_id: r.output for r in correct.correct(docs, terms, none).collect()}
-    assert got == {i: m.correct(t)[0] for i, t in enumerate(texts)}
-
-
-def test_replay(spark):
+    assert [g for g, _ in GATES] == ["case-only", "not-phonetic", "retired", "common-word"]
+    assert see(m, "ask marit now", "Ask Marit Now")["ignored"][0]["reason"] == "case-only"
+    assert see(m, "Send there note.", "Send their note.")["ignored"][0]["reason"] == "not-phonetic"
+    assert see(m, "Send thier note.", "Send their note.")["ignored"][0]["reason"] == "common-word"
+    assert see(m, "Ask joy to come.", "Ask Joy to come.")["learned"][0]["preferred"] == "Joy" and m.terms["joy"].trust == 1
+
+
+def test_guards_and_one_vote_for_an_observation():
+    m = Memory()
+    m.apply("add_term", {"preferred": "Kiwi"}, "1")
+    m.terms["kiwi"].spellings["kivi"] = type(m.terms["kiwi"].spellings.setdefault("x", __import__("lexifold.operators.kernel", fromlist=["Spelling"]).Spelling()))(seen=1)
+    del m.terms["kiwi"].spellings["x"]
+    report = see(m, "Ask Kivi and Kivi again.", "Ask Kivi and Kiwi again.")
+    assert report["reverted"] and report["confirmed"] and m.terms["kiwi"].trust == 0  # a revert wins
+    assert m.terms["kiwi"].spellings["kivi"].vetoes == 1
+    n = Memory()
+    n.apply("add_term", {"preferred": "Notes"}, "1")
+    n.terms["notes"].spellings["note"] = type(m.terms["kiwi"].spellings["kivi"])(seen=3)
+    n.terms["notes"].trust = 9
+    assert n.correct("The note about Lisbon.")[1] == [] or n.correct("The note about Lisbon.")[1][0].decision.startswith("skipped")
+
+
+def test_presented_text_speaks_for_the_judge():
+    m = Memory()
+    m.apply("add_term", {"preferred": "Kiwi"}, "1")
+    kept = see(m, "Tell them kivi is live.", "Tell them Kiwi is live.", presented="Tell them Kiwi is live.")
+    assert kept["confirmed"] and m.terms["kiwi"].trust == 3
+    back = see(m, "Tell them kivi is live.", "Tell them kivi is live.", presented="Tell them Kiwi is live.")
+    assert back["reverted"] and m.terms["kiwi"].trust == 1
+
+
+def test_replay_and_rebuilt_memory(spark):
     log = [("u", i + 1, "2026-01-01", "observation", json.dumps({"formatted": "Ask Joonas now.", "final": "Ask Jonas now."})) for i in range(2)]
     state = memory.replay(spark.createDataFrame(log, "user_id string, seq long, ts string, type string, payload string"))
     assert [(r.preferred, r.status) for r in memory.terms(state).collect()] == [("Jonas", "trusted")]
-
-
-def test_percentile_and_cases(spark):
-    df = spark.createDataFrame([([float(x) for x in range(1, 11)],)], "v array<double>")
-    assert df.select(evaluate.exclusive_percentile(F.col("v"), 95)).first()[0] == 10.45
-    assert parse_cases('# note\n{"a":\n 1}\n# more\n{"b": 2}') == [{"a": 1}, {"b": 2}]
+    m = Memory()
+    for i, (kind, payload) in enumerate([("add_term", {"preferred": "Maarit", "kind": "person"}), ("add_term", {"preferred": "Old"}), ("delete_term", {"preferred": "Old"}), ("observation", {"formatted": "Ask Joonas.", "final": "Ask Jonas."})]):
+        m.apply(kind, payload, str(i))
+    again = memory.remembered(memory.rows("u", m).to_dict("records"))
+    assert again.terms == m.terms and again.retired == m.retired
+
+
+def test_trust_by_blocks(spark):
+    import numpy as np
+
+    r = np.random.default_rng(0)
+    ops, want, seen = [], {}, {}
+    for u in range(40):
+        x = None
+        for i in range(int(r.integers(1, 60))):
+            op, v = str(r.choice(["add", "set", "bump", "bump", "delete"], p=[0.2, 0.15, 0.3, 0.25, 0.1])), int(r.integers(-3, 4))
+            x = max(x or 0, 2) if op == "add" and x is not None else 2 if op == "add" else None if op == "delete" or x is None else v if op == "set" else x + v
+            ops.append((u, i, op, v))
+            seen[u, i] = x
+        want[u] = x
+    df = spark.createDataFrame(ops, "user_id long, seq long, op string, value int")
+    for span in (4, 256):
+        assert {r.user_id: r.trust for r in memory.trust_fold(df, span=span).collect()} == {u: x for u, x in want.items() if x is not None}
+        assert {(r.user_id, r.seq): r.trust for r in memory.history(df, span=span).collect()} == seen
+
+
+def test_percentiles(spark):
+    import statistics
+
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    groups = {"one": [4.5], "two": [1.0, 9.0], "many": r.normal(0, 5, 700).round(1).tolist(), "ties": [1.0] * 50 + [2.0] * 3, None: [3.0, 1.0, 2.0]}
+    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs] + [("one", None), ("none", None)], "g string, v double")
+    got = {r.g: (r.p50, r.p95) for r in evaluate.percentiles(df, "g", "v").collect()}
+    for g, vs in groups.items():
+        want = (vs[0], vs[0]) if len(vs) == 1 else tuple(round(statistics.quantiles(vs, n=100)[q - 1], 2) for q in (50, 95))
+        assert got[g] == pytest.approx(want)
+    assert set(got) == set(groups)
+    array = spark.createDataFrame([([float(x) for x in range(1, 11)],)], "v array<double>")
+    assert array.select(evaluate.exclusive_percentile(F.col("v"), 95)).first()[0] == 10.45
+
+
+def test_sql_functions(spark):
     T.register(spark)
     assert spark.sql("SELECT sounds_alike('Zeroda', 'Zerodha')").first()[0]
 
