@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,17 +86,14 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE = mix64(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
-_BASE = U64(0xD1342543DE82EF95)
-
-
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(max(n, 1), base, U64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+_PLACE = U64(0xD1342543DE82EF95)
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each word (a run of bytes outside SPACE, A-Z lowered): a 64-bit hash, its row, its length in bytes."""
+    """Of each word (a run of bytes outside SPACE, A-Z lowered): a 64-bit hash, its row, its length in bytes.
+
+    A hash is a sum of terms, each of a byte and its place mixed, so it has no algebra by which words could cancel.
+    """
     n = data.size
     inside = ~SPACE[data]
     edge = np.zeros(n + 1, bool)
@@ -108,7 +106,36 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     length = np.flatnonzero(inside & (~after | edge[1:])) + 1 - start
     if not start.size:
         return np.zeros(0, U64), np.zeros(0, np.int64), length
-    at = np.flatnonzero(inside)
-    value = _BYTE[LOWER[data[at]]] * powers(_BASE, int(length.max()))[at - np.repeat(start, length)]
+    at = np.flatnonzero(inside).astype(np.int32)  # rows of a batch are far shorter than 2 GB
+    value = _BYTE[LOWER[data[at]]]
+    at -= np.repeat(start.astype(np.int32), length)
+    value += at.astype(U64) * _PLACE
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):  # mix64 in place
+        value ^= value >> U64(shift)
+        value *= U64(factor)
     first = np.cumsum(length) - length
     return mix64(np.add.reduceat(value, first)), np.searchsorted(offsets, start, "right") - 1, length
+
+
+def pack(x: np.ndarray, level: int = 1) -> bytes:
+    return zstandard.compress(np.ascontiguousarray(x).tobytes(), level)
+
+
+def unpack(b: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(b), kind)
+
+
+def pack_sorted(h: np.ndarray, bits: int = 64) -> bytes:
+    """The first bits of sorted 64-bit numbers: steps between them, byte by byte."""
+    step = np.diff(h >> U64(64 - bits), prepend=U64(0))
+    return pack(step.view(np.uint8).reshape(-1, 8).T, 3)
+
+
+def unpack_sorted(b: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(unpack(b, np.uint8).reshape(8, -1).T).view(U64).ravel(), dtype=U64)
+
+
+def cuts(h: np.ndarray, ranges: int) -> np.ndarray:
+    """Where each range of 64-bit numbers begins among sorted ones."""
+    edges = np.arange(1, ranges, dtype=U64) * U64((1 << 64) // ranges if ranges > 1 else 0)
+    return np.concatenate([[0], np.searchsorted(h, edges), [h.size]])

@@ -36,7 +36,7 @@ from .common import U64, checkpointed, mix64, slices, table, utf8, word_hashes
 WORDS, BANDS, ROWS = 5, 30, 5
 #: Cells of a bitmap for each shingle, and the smallest and largest bitmap.
 CELLS, LEAST, MOST = 4, 1 << 10, 1 << 18
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 BLOCK = 4096
 
 

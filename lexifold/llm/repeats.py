@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, mix64, shares, slices, table
+from .common import U64, cuts, mix64, pack, pack_sorted, shares, slices, table, unpack, unpack_sorted
 
 DEPTH, KMER, SIDE = 50, 12, 19
 #: Places of a trigger in a window, and the longest text beside it.
@@ -49,24 +49,6 @@ HOT = 4096
 LAST = np.iinfo(np.int64).max
 
 
-def _pack(x: np.ndarray, level: int = 1) -> bytes:
-    return zstandard.compress(np.ascontiguousarray(x).tobytes(), level)
-
-
-def _pack_sorted(h: np.ndarray) -> bytes:
-    """The first SENT bits of sorted fingerprints: steps between them, byte by byte."""
-    step = np.diff(h >> U64(64 - SENT), prepend=U64(0))
-    return _pack(step.view(np.uint8).reshape(-1, 8).T, 3)
-
-
-def _open_sorted(b: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(_open(b, np.uint8).reshape(8, -1).T).view(U64).ravel())
-
-
-def _open(b: bytes, kind: type) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(b), kind)
-
-
 def words(data: np.ndarray) -> np.ndarray:
     """The 8 bytes from each position on as one number."""
     padded = np.concatenate([data, np.zeros(8 + -data.size % 8, np.uint8)])
@@ -214,12 +196,6 @@ def part_strings(part: Part) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h[first], last - first + 1, doc[first] != doc[last] if h.size else np.zeros(0, bool)
 
 
-def cuts(h: np.ndarray, ranges: int) -> np.ndarray:
-    """Where each range of fingerprints begins among sorted ones."""
-    edges = np.arange(1, ranges, dtype=U64) * U64((1 << 64) // ranges if ranges > 1 else 0)
-    return np.concatenate([[0], np.searchsorted(h, edges), [h.size]])
-
-
 def known(packed: DataFrame, ranges: int, most: int = HOT) -> DataFrame:
     """(part, range, body): of each fingerprint of a part, 0 if one document has it, 1 if more, 2 if it is hot."""
 
@@ -230,21 +206,21 @@ def known(packed: DataFrame, ranges: int, most: int = HOT) -> DataFrame:
         body = []
         for r in some:
             i = slice(at[r], at[r + 1])
-            body.append([_pack_sorted(h[i]), _pack(np.minimum(n[i], 255).astype(np.uint8)), _pack(np.packbits(several[i]))])
+            body.append([pack_sorted(h[i], SENT), pack(np.minimum(n[i], 255).astype(np.uint8)), pack(np.packbits(several[i]))])
         part = got.column("part")[0].as_py()
         return pa.table({"part": pa.array([part] * len(some), pa.int64()), "range": pa.array(some, pa.int32()), "body": pa.array(body, pa.list_(pa.binary()))})
 
     def answer(got: pa.Table) -> pa.Table:
         bodies = got.column("body").to_pylist()
-        prints = [_open_sorted(b[0]) for b in bodies]
+        prints = [unpack_sorted(b[0]) for b in bodies]
         _, number = np.unique(np.concatenate(prints), return_inverse=True)
         kinds = int(number.max()) + 1
-        count = np.bincount(number, np.concatenate([_open(b[1], np.uint8) for b in bodies]), kinds)
-        several = np.concatenate([np.unpackbits(_open(b[2], np.uint8), count=h.size) for b, h in zip(bodies, prints, strict=True)])
+        count = np.bincount(number, np.concatenate([unpack(b[1], np.uint8) for b in bodies]), kinds)
+        several = np.concatenate([np.unpackbits(unpack(b[2], np.uint8), count=h.size) for b, h in zip(bodies, prints, strict=True)])
         code = ((np.bincount(number, minlength=kinds) > 1) | (np.bincount(number, several, kinds) > 0)).astype(np.uint8)
         code[(code > 0) & (count > most)] = 2
         ends = np.cumsum([0, *(h.size for h in prints)])
-        back = [_pack(code[number[a:b]], 3) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        back = [pack(code[number[a:b]], 3) for a, b in zip(ends[:-1], ends[1:], strict=True)]
         return pa.table({"part": got.column("part"), "range": got.column("range"), "body": pa.array(back, pa.binary())})
 
     sent = packed.groupBy("part").applyInArrow(send, "part long, range int, body array<binary>")
@@ -266,7 +242,7 @@ def by(bucket: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
 
 def spans_rows(part: np.ndarray, doc: np.ndarray, key: np.ndarray, lo: np.ndarray, end: np.ndarray) -> list[tuple[int, list[bytes]]]:
     """Spans by the part of their document."""
-    return [(int(part[i[0]]), [_pack(doc[i]), _pack(key[i]), _pack(lo[i]), _pack(end[i] - lo[i])]) for i in by(part, np.arange(part.size))]
+    return [(int(part[i[0]]), [pack(doc[i]), pack(key[i]), pack(lo[i]), pack(end[i] - lo[i])]) for i in by(part, np.arange(part.size))]
 
 
 #: What a body holds: spans already found, phrases, or windows.
@@ -282,7 +258,7 @@ def candidates(packed: DataFrame, codes: DataFrame, buckets: int) -> DataFrame:
         name = left.column("part")[0].as_py() if left.num_rows else 0
         right = right.sort_by("range")
         bodies = right.column("body").to_pylist()
-        code = np.concatenate([_open(b, np.uint8) for b in bodies]) if bodies else np.zeros(0, np.uint8)
+        code = np.concatenate([unpack(b, np.uint8) for b in bodies]) if bodies else np.zeros(0, np.uint8)
         prints = part_strings(part)[0] if (code > 0).any() else np.zeros(0, U64)
 
         def cover(i: np.ndarray, doc: np.ndarray, key: np.ndarray, lo: np.ndarray, size: np.ndarray) -> None:
@@ -325,7 +301,7 @@ def candidates(packed: DataFrame, codes: DataFrame, buckets: int) -> DataFrame:
             cover(np.flatnonzero(gone), doc, key, lo, np.full(lo.size, DEPTH))
             bucket = (mix64(print_[:, 0]) % U64(buckets)).astype(np.int64)
             for i in by(bucket, np.flatnonzero(~gone)):
-                out.append((int(bucket[i[0]]), WINDOWS, [_pack(print_[i]), *map(_pack, (doc[i], key[i], np.full(1, name), lo[i]))]))
+                out.append((int(bucket[i[0]]), WINDOWS, [pack(print_[i]), *map(pack, (doc[i], key[i], np.full(1, name), lo[i]))]))
         if found:
             texts, size, before, own, lo, bucket = (np.concatenate(x) for x in zip(*found, strict=True))
             doc, key = part.doc[own], part.key[own]
@@ -344,7 +320,7 @@ def candidates(packed: DataFrame, codes: DataFrame, buckets: int) -> DataFrame:
             cover(np.flatnonzero(gone), doc, key, lo, size)
             for i in by(bucket, np.flatnonzero(~gone)):
                 numbers = [doc[i], key[i], np.full(1, name), lo[i]]
-                out.append((int(bucket[i[0]]), PHRASES, [_pack(gather(texts, first[i], size[i]), 3), _pack((size[i] - DEPTH).astype(np.uint8)), _pack(before[i].astype(np.uint8)), *map(_pack, numbers)]))
+                out.append((int(bucket[i[0]]), PHRASES, [pack(gather(texts, first[i], size[i]), 3), pack((size[i] - DEPTH).astype(np.uint8)), pack(before[i].astype(np.uint8)), *map(pack, numbers)]))
         return pa.table({"bucket": pa.array([b for b, _, _ in out], pa.int32()), "kind": pa.array([k for _, k, _ in out], pa.int32()), "body": pa.array([x for _, _, x in out], pa.list_(pa.binary()))})
 
     return packed.groupBy("part").cogroup(codes.groupBy("part")).applyInArrow(run, "bucket int, kind int, body array<binary>")
@@ -411,12 +387,12 @@ def find(sent: DataFrame) -> DataFrame:
             if kind == SPANS:
                 out.append((int.from_bytes(body[0], "little"), body[1:]))
                 continue
-            doc, key, part, lo = (_open(b, np.int64) for b in body[-4:])
+            doc, key, part, lo = (unpack(b, np.int64) for b in body[-4:])
             part = np.repeat(part, doc.size)
             if kind == PHRASES:
-                phrases.append((_open(body[0], np.uint8), _open(body[1], np.uint8).astype(np.int64) + DEPTH, _open(body[2], np.uint8).astype(np.int64), doc, key, part, lo))
+                phrases.append((unpack(body[0], np.uint8), unpack(body[1], np.uint8).astype(np.int64) + DEPTH, unpack(body[2], np.uint8).astype(np.int64), doc, key, part, lo))
             else:
-                windows.append((_open(body[0], U64).reshape(-1, 2), doc, key, part, lo))
+                windows.append((unpack(body[0], U64).reshape(-1, 2), doc, key, part, lo))
         if phrases:
             texts, size, before, doc, key, part, lo = (np.concatenate(x) for x in zip(*phrases, strict=True))
             i, begin, end = covered(texts, size, before, doc)
@@ -452,7 +428,7 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False, part: int = PART, h
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         part = Part(left)
         blobs = right.column("body").to_pylist()
-        doc, key, lo, size = (np.concatenate([_open(b[i], np.int64) for b in blobs]) if blobs else np.zeros(0, np.int64) for i in range(4))
+        doc, key, lo, size = (np.concatenate([unpack(b[i], np.int64) for b in blobs]) if blobs else np.zeros(0, np.int64) for i in range(4))
         order = np.lexsort((key, doc))
         doc, key, lo, end = doc[order], key[order], lo[order], (lo + size)[order]
         out = []
