@@ -36,7 +36,7 @@ TRAINED, FEW = 0.8, 5
 KEPT, LEFT_OUT = 0.999, 0.05
 SHARPNESS = 8.0
 UND = "und"
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 
 def held_out(column: str = "doc_id") -> Column:
@@ -247,10 +247,10 @@ def keep_known(docs: DataFrame) -> DataFrame:
     """The documents that language ID does not reject, with their columns."""
     model = train(docs.select("doc_id", "text", "lang"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "text", CHUNK):
-                rejected = model.answer(batch.column(batch.schema.get_field_index("text")))[2]
-                yield batch.filter(pa.array(~rejected))
+    @F.arrow_udf("boolean")
+    def rejected(text: pa.Array) -> pa.Array:
+        # only texts go to the workers, and only this comes back
+        batch = pa.RecordBatch.from_arrays([text], ["text"])
+        return pa.array(np.concatenate([np.zeros(0, bool), *(model.answer(part.column("text"))[2] for part in slices(batch, "text", CHUNK))]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(~rejected("text"))

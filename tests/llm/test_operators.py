@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from lexifold.llm import brown, language
+from lexifold.llm import language
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau".split()
 
@@ -28,33 +28,6 @@ def test_language(spark, docs):
     assert language.classify(train, language.train(train.limit(0))).first().lang_pred == "und"
 
 
-def test_brown(docs):
-    got = brown.score(docs).toPandas().set_index("doc_id")
-    assert len(got) == len(texts()) and got.loc[42].n_tokens == 1 and (got.score < 0).all()
-    assert np.isclose(got.base_score[3], got.base_score[3]) and got.train_tokens.nunique() == 1
-
-
-def test_brown_tail(spark):
-    r = np.random.default_rng(5)
-    lines = []
-    for _ in range(4000):  # two kinds of rare words of one length, which only their neighbours tell apart
-        a, b = (f"{c}{r.integers(0, 500):04d}" for c in "xy")
-        lines.append(f"alpha {a} beta gamma {b} delta " + f"h{r.integers(0, 600)} " * 4)
-    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
-    cut = brown.cut_words(docs, 2).cache()
-    summed = brown.sum_counts(cut).cache()
-    model = brown.train(cut, summed)
-    found = brown.assign(brown.contexts(cut, model, 2), model).cache()
-    got = [np.frombuffer(brown.zstandard.decompress(bytes(x.classes)), np.uint8) for x in found.where("batch IS NOT NULL").collect()]
-    joined = np.concatenate(got)
-    assert (joined != brown.STAYS).sum() > 600 and np.unique(joined[joined != brown.STAYS]).size >= 2
-    scored = brown.score(docs).toPandas().set_index("doc_id").sort_index()
-    swapped = [t.replace("x", "?").replace("y", "x").replace("?", "y") for t in lines[:300]]
-    both = brown.score(docs.union(spark.createDataFrame([(i, t) for i, t in enumerate(swapped, 100000)], docs.schema).where(brown.held_out()))).toPandas().set_index("doc_id")
-    other = both[both.index >= 100000]
-    assert np.isfinite(scored.score).all() and (scored.score.loc[other.index - 100000].to_numpy() - other.score.to_numpy()).mean() > 0.5
-
-
 def invented(seed, letters, n):
     """Texts of words of a vocabulary of their own."""
     r = np.random.default_rng(seed)
