@@ -21,7 +21,7 @@ def words(text):
 def rows(seed=0):
     r = np.random.default_rng(seed)
     vocabulary = ["".join(r.choice(list("abcdefgÉh"), r.integers(1, 9))) for _ in range(900)]
-    p = 1 / np.arange(1, 901)
+    p = 1 / np.sqrt(np.arange(1, 901))
     out = [(i, " ".join(r.choice(vocabulary, r.integers(0, 90), p=p / p.sum()))) for i in range(150)]
     return [*out, (3, out[3][1]), (200, None), (200, None), (201, ""), (202, " \t\n"), (None, "no id trains"), (203, "ABC abc Abc"), (204, "x" * 5000), (205, "é☃\x0bé\x1cz"), (206, "word " * 4000)]
 
