@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..functions.lexicon import COMMON
 from .kernel import Memory, Spelling, Term
 from .rules import ACTIVE, GUARD_WORDS, check_term, fold_name, phrase_key
@@ -123,9 +124,14 @@ def lookup(terms_: DataFrame, user: str, preferred: str) -> DataFrame:
     return terms_.where((F.col("user_id") == user) & (F.col("term") == fold_name(preferred)))
 
 
-def same_key(terms_: DataFrame, key: Column) -> DataFrame:
-    """For each user the first term, by its folded name, whose preferred spelling has the key."""
-    return terms_.where(F.col("key") == key).groupBy("user_id").agg(F.min_by(F.struct(*terms_.columns[1:]), "term").alias("t")).select("user_id", "t.*")
+def found(names: DataFrame, terms_: DataFrame) -> DataFrame:
+    """Names (user_id, name, ...) with the terms of their users that have the same folded name; null where there's none."""
+    return names.withColumn("term", F.expr(T.casefold("name"))).join(terms_.select("user_id", "term", "preferred"), ["user_id", "term"], "left")
+
+
+def first_by_key(terms_: DataFrame) -> DataFrame:
+    """For each user and key the first term, by its folded name, whose preferred spelling has the key."""
+    return terms_.groupBy("user_id", "key").agg(F.min_by("preferred", "term").alias("preferred"))
 
 
 def misspellings(state: DataFrame) -> DataFrame:
@@ -259,4 +265,4 @@ def growth(before: DataFrame, after: DataFrame) -> DataFrame:
     return after.join(before.withColumnRenamed("n", "was"), "name", "left").select("name", (F.col("n") - F.coalesce("was", F.lit(0))).alias("grown"))
 
 
-__all__ = ["accepted", "cascade", "counters", "fold_name", "fold_onto", "growth", "guard_merge", "history", "hydrate", "lookup", "misspellings", "played", "public", "remembered", "replay", "reports", "retired", "rows", "said_something", "same_key", "snapshots", "status", "terms", "top_traces", "trust_fold", "unretire"]
+__all__ = ["accepted", "cascade", "counters", "fold_name", "first_by_key", "fold_onto", "found", "growth", "guard_merge", "history", "hydrate", "lookup", "misspellings", "played", "public", "remembered", "replay", "reports", "retired", "rows", "said_something", "snapshots", "status", "terms", "top_traces", "trust_fold", "unretire"]
