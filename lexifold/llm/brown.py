@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, checkpointed, cuts, pack, pack_sorted, shares, slices, table, unpack, unpack_sorted, utf8, word_hashes
+from .common import U64, checkpointed, cuts, lean, pack, pack_sorted, shares, slices, table, unpack, unpack_sorted, utf8, word_hashes
 
 HEAD_WORDS, CLASSES = 512, 24
 MIN_COUNT = 3
@@ -106,7 +106,7 @@ def sum_counts(parts: DataFrame) -> DataFrame:
         for w, name in zip(words, parts["batch"], strict=True):
             rows.append((parts["range"].iloc[0], name, pack(total[number[at: at + w.size]]), None, None))
             at += w.size
-        top = np.lexsort((every, -total))[:HEAD_WORDS]
+        top = np.lexsort((every.view(np.int64), -total))[:HEAD_WORDS]
         top = top[total[top] > 0]
         bands = [np.bincount(band[total > 0], minlength=BANDS), np.bincount(band, total, BANDS).astype(np.int64)]
         head = np.stack([every[top].view(np.int64), total[top], band[top].astype(np.int64)], 1)
@@ -379,7 +379,7 @@ def _classes(body: list[bytes], k: int) -> tuple[np.ndarray, ...]:
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity."""
     (ranges,) = shares(docs, "text", RANGE)
-    cut = checkpointed(cut_words(docs))
+    cut = checkpointed(cut_words(lean(docs)))
     summed = checkpointed(sum_counts(ranged(cut, ranges)))
     model = train(cut, summed)
     k, heads = len(model.matrix), len(model.counts)
