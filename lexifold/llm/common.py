@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,6 +23,35 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A"): ord("Z") + 1] += 32
 
 
+#: Bytes of rows that go to a Python worker at once, and what Spark sends unless told otherwise.
+BATCH, SPARKS_BATCH = 8 << 20, 64 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def lean(df: DataFrame) -> DataFrame:
+    """The same table, read by Python workers in batches of BATCH bytes; a session that has set another size keeps it.
+
+    The JVM and the worker each hold a batch and its answer, of whole texts, beside the heap of an executor.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_SETTING, None) == f"{SPARKS_BATCH}b":
+        conf.set(_BATCH_SETTING, str(BATCH))
+    return df
+
+
+def trim() -> None:
+    """Gives free memory of this process back."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+try:
+    _LIBC = ctypes.CDLL("libc.so.6") if sys.platform == "linux" else None
+except OSError:  # another C library
+    _LIBC = None
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -76,6 +107,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.Record
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1)
         yield batch.slice(lo, hi - lo)
         lo = hi
+    trim()
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

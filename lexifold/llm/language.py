@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from .common import U64, mix64, slices, table, utf8
+from .common import U64, lean, mix64, slices, table, utf8
 
 ORDER = 4
 SAMPLE_DOCS = 300
@@ -200,7 +200,7 @@ def limit(labelled: DataFrame, model: Model) -> float:
 
 
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out())
+    labelled = lean(docs).where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out())
     sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     if not sizes:
         return Model([], np.zeros(0, np.int64), [])
@@ -224,7 +224,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
 
 def classify(docs: DataFrame, model: Model) -> DataFrame:
     """Adds lang_pred, score (0 to 1), rejected and bits (per character); the columns of docs stay, save those names."""
-    docs = docs.drop("lang_pred", "score", "rejected", "bits")
+    docs = lean(docs).drop("lang_pred", "score", "rejected", "bits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import U64, checkpointed, mix64, slices, table, utf8, word_hashes
+from .common import U64, checkpointed, lean, mix64, slices, table, utf8, word_hashes
 
 WORDS, BANDS, ROWS = 5, 30, 5
 #: Cells of a bitmap for each shingle, and the smallest and largest bitmap.
@@ -260,6 +260,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id, copy_of): the class of each document by its smallest id; copy_of is the first of its copies."""
+    docs = lean(docs)
     own = F.concat(F.unhex(F.md5(F.col("doc_id").cast("string"))), F.lit(b"null"))
     texts = docs.where("doc_id IS NOT NULL").select("doc_id", F.coalesce(F.unhex(F.md5("text")), own).alias("digest"), "text")
     every = checkpointed(texts.select("doc_id", "digest").distinct())

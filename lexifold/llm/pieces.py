@@ -29,7 +29,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import lean, table
 
 MARK, STAND_IN = "▁", "\U0010ffff"
 #: A run of spaces with the word after it, or the spaces that end a text.
@@ -143,7 +143,7 @@ def encode(docs: DataFrame, path: str | None = None, ids: bool = True) -> DataFr
 
     names = ["doc_id", "n_pieces", "ids_sha256", "text_sha256", "exact", *["ids"] * ids]
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_pieces long, ids_sha256 string, text_sha256 string, exact boolean" + ", ids array<int>" * ids)
+    return lean(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_pieces long, ids_sha256 string, text_sha256 string, exact boolean" + ", ids array<int>" * ids)
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import LongType, StringType
 
-from .common import SPACE, slices, table, utf8
+from .common import SPACE, lean, slices, table, utf8
 
 KINDS = ("email", "ip", "card", "phone")
 #: Runs of the characters before an at-sign, with the sign if it follows; what has to follow the sign.
@@ -323,7 +323,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *counts, digest, pa.array(map(joined, spans), pa.string())], names)
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string")
+    return lean(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string")
 
 
 def masked_documents(docs: DataFrame) -> DataFrame:
@@ -345,7 +345,7 @@ def masked_documents(docs: DataFrame) -> DataFrame:
 
     fields = {f.name: f.dataType for f in docs.schema}
     assert isinstance(fields["text"], StringType)
-    return docs.mapInArrow(run, docs.schema)
+    return lean(docs).mapInArrow(run, docs.schema)
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

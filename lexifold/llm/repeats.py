@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, cuts, mix64, pack, pack_sorted, shares, slices, table, unpack, unpack_sorted
+from .common import U64, cuts, lean, mix64, pack, pack_sorted, shares, slices, table, unpack, unpack_sorted
 
 DEPTH, KMER, SIDE = 50, 12, 19
 #: Places of a trigger in a window, and the longest text beside it.
@@ -422,7 +422,7 @@ def merge(lo: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def remove_repeats(docs: DataFrame, keep_text: bool = False, part: int = PART, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if wanted, kept (the remaining bytes)."""
     parts, ranges, buckets = shares(docs, "text", part, part * RANGE // PART, part * BUCKET // PART)
-    packed = dealt(docs, parts)  # one exchange, read three times
+    packed = dealt(lean(docs), parts)  # one exchange, read three times
     spans = find(candidates(packed, known(packed, ranges, hot), buckets))
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:

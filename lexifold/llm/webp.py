@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import slices, table, utf8
+from .common import lean, slices, table, utf8
 
 WIDTH, PAGE_ROWS, FILL = 576, 16, 255
 PAGE = WIDTH * PAGE_ROWS
@@ -819,7 +819,7 @@ def media_features(docs: DataFrame, keep_media: bool = False) -> DataFrame:
                 columns = [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array(digest), pa.array(tail, pa.int64()), pa.array([len(m) for m in media], pa.int64()), pa.array([hashlib.sha256(m).hexdigest() for m in media]), pa.array(made)]
                 yield pa.RecordBatch.from_arrays([*columns, *[pa.array(media, pa.binary())] * keep_media], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, {kinds}")
+    return lean(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, {kinds}")
 
 
 def op1_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
