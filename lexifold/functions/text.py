@@ -106,18 +106,28 @@ def identifier(chunk: str, engine: str = "spark") -> str:
     return f"(translate({cut}, {quoted(IDENTIFIER_MARKS + '.', engine)}, '') <> {cut})"
 
 
-#: What tells a text apart: whose it is, its id, and a hash of it, so that rows with one id (or none) stay apart.
-DOC = ("user_id", "doc_id", "version")
+#: What tells a text apart: whose it is, its id as a string (empty for none, so that joins find it), and a hash of it, so
+#: that rows with one id (or none) stay apart.
+DOC = ("user_id", "doc", "version")
 
 
 def owned(docs: DataFrame) -> DataFrame:
-    """Adds version, and an empty user_id where there is none."""
+    """Adds doc and version, and an empty user_id where there is none."""
     user = F.col("user_id").cast("string") if "user_id" in docs.columns else F.lit("")
-    return docs.select(user.alias("user_id"), "doc_id", F.xxhash64("text").alias("version"), "text")
+    return docs.select(user.alias("user_id"), "doc_id", doc_key(F.col("doc_id")).alias("doc"), F.xxhash64("text").alias("version"), "text")
+
+
+def doc_key(doc_id: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("="), doc_id.cast("string")), F.lit(""))
+
+
+def with_id(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """Adds doc_id, as docs has it, to rows that have doc."""
+    return rows.withColumn("doc_id", F.when(F.col("doc") != "", F.substring("doc", 2, 1 << 30)).cast(docs.schema["doc_id"].dataType))
 
 
 def tokens(docs: DataFrame) -> DataFrame:
-    """One row per token: user_id, doc_id, version, pos, start and end (code points), word, and the gaps before and after.
+    """One row per token: doc_id, user_id, doc, version, pos, start and end (code points), word, and the gaps before and after.
 
     Repeated rows (of one user, id and text) are one text. Texts are dealt before they are cut, so that the windows over
     tokens need no exchange of tokens. A null text has no tokens.
@@ -126,10 +136,10 @@ def tokens(docs: DataFrame) -> DataFrame:
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = owned(docs).where("text IS NOT NULL").repartition(parts, *DOC)
     dealt = dealt.withColumn("copy", F.row_number().over(Window.partitionBy(*DOC).orderBy("version"))).where("copy = 1")
-    split = dealt.select(*DOC, F.split("text", TOKEN, -1).alias("gaps"), words.alias("words"))
+    split = dealt.select("doc_id", *DOC, F.split("text", TOKEN, -1).alias("gaps"), words.alias("words"))
     zipped = F.arrays_zip(F.col("gaps").alias("gap"), F.col("words").alias("word"), F.slice("gaps", 2, F.size("words")).alias("after"))
-    cut = split.select(*DOC, F.posexplode(zipped).alias("pos", "t")).where("t.word IS NOT NULL")
-    cut = cut.select(*DOC, "pos", "t.gap", "t.word", "t.after")
+    cut = split.select("doc_id", *DOC, F.posexplode(zipped).alias("pos", "t")).where("t.word IS NOT NULL")
+    cut = cut.select("doc_id", *DOC, "pos", "t.gap", "t.word", "t.after")
     before = F.sum(F.length("gap") + F.length("word")).over(Window.partitionBy(*DOC).orderBy("pos"))
     return cut.withColumn("end", before.cast("int")).withColumn("start", (F.col("end") - F.length("word")).cast("int"))
 

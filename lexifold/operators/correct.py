@@ -89,7 +89,7 @@ def windows(tokens: DataFrame, longest: int) -> DataFrame:
 
 
 def candidates(docs: DataFrame, terms: DataFrame, misspellings: DataFrame, words: frozenset[str] = COMMON) -> DataFrame:
-    """Settled spans: user_id, doc_id, version, start, end, text, match, all_common, in_phrase, terms (array of names)."""
+    """Settled spans: user_id, doc, version, start, end, text, match, all_common, in_phrase, terms (array of names)."""
     longest = terms.agg(F.max(F.size(F.split("preferred", " ")))).first()[0] or 1
     known = word_matches(docs, term_keys(terms, misspellings)).withColumnRenamed("match", "how")
     w = windows(marked_tokens(docs, words), longest)
@@ -117,11 +117,11 @@ def settled(found: DataFrame) -> DataFrame:
     return kept.select(*DOC, "s.start", "s.end", "s.text", "s.match", "s.all_common", "s.in_phrase", "s.terms")
 
 
-def context_words(docs: DataFrame) -> DataFrame:
-    """(user_id, doc_id, version, context): folded tokens of three letters or more that are no glue."""
+def context_words(owned: DataFrame) -> DataFrame:
+    """Texts (as T.owned gives them) with `context`: folded tokens of three letters or more that are no glue."""
     folded = F.transform(F.regexp_extract_all("text", F.lit(T.TOKEN), F.lit(0)), lambda w: T.folded(w))
     lower = F.filter(folded, lambda w: (F.length(w) >= 3) & ~w.isin(*sorted(GLUE)))
-    return T.owned(docs).select(*DOC, F.array_distinct(lower).alias("context"))
+    return owned.select("doc_id", *DOC, F.array_distinct(lower).alias("context"))
 
 
 def decisions(docs: DataFrame, terms: DataFrame, misspellings: DataFrame, verdicts: DataFrame | None = None, words: frozenset[str] = COMMON) -> DataFrame:
@@ -133,7 +133,7 @@ def decisions(docs: DataFrame, terms: DataFrame, misspellings: DataFrame, verdic
     each = each.join(spelled, ["user_id", "term", "name"], "left")
     # only texts with a guarded span need their words
     wary = each.where("vetoes > 0 AND size(guard) > 0").select(*DOC).distinct()
-    context = context_words(docs.distinct()).join(wary, list(DOC), "left_semi").dropDuplicates(list(DOC))
+    context = context_words(T.owned(docs).join(wary, list(DOC), "left_semi")).drop("doc_id").dropDuplicates(list(DOC))
     each = each.join(context, list(DOC), "left").withColumn("context", F.coalesce("context", F.expr("CAST(array() AS array<string>)")))
     trusted = F.col("trust") >= ACTIVE
     held = F.when(trusted & (F.coalesce("vetoes", F.lit(0)) > 0), F.when(F.size("guard") == 0, "skipped:vetoed").when(F.arrays_overlap("guard", "context"), "skipped:guarded"))
@@ -148,9 +148,8 @@ def decisions(docs: DataFrame, terms: DataFrame, misspellings: DataFrame, verdic
     if verdicts is None:
         answer, chosen, reason = F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("string")
     else:
-        v = of_user(verdicts).select("user_id", F.col("doc_id").alias("v_doc"), F.col("start").alias("v_start"), F.col("apply").alias("v_apply"), F.col("preferred").alias("v_preferred"), F.col("reason").alias("v_reason"), F.lit(True).alias("judged"))
-        same = (back["user_id"] == v["user_id"]) & back["doc_id"].eqNullSafe(v["v_doc"]) & (back["start"] == v["v_start"])
-        back = back.join(v, same, "left").drop(v["user_id"])
+        v = of_user(verdicts).select("user_id", T.doc_key(F.col("doc_id")).alias("doc"), "start", F.col("apply").alias("v_apply"), F.col("preferred").alias("v_preferred"), F.col("reason").alias("v_reason"), F.lit(True).alias("judged"))
+        back = back.join(v, ["user_id", "doc", "start"], "left")
         fine = F.col("v_apply") & F.array_contains("options", F.col("v_preferred"))
         answer = F.when(F.coalesce(fine, F.lit(False)), "applied").when(~F.coalesce(F.col("v_apply"), F.lit(True)), "skipped:context").when(F.col("judged"), "llm-error")
         chosen, reason = F.col("v_preferred"), F.col("v_reason")
@@ -159,7 +158,8 @@ def decisions(docs: DataFrame, terms: DataFrame, misspellings: DataFrame, verdic
     word = F.when(pending, chosen).otherwise(F.col("first.preferred"))
     shout = (F.length("text") > 1) & (F.upper("text") == F.col("text")) & (F.lower("text") != F.col("text")) & (F.upper(word) != word) & (F.length(F.upper(word)) == F.length(word))
     out = back.withColumn("decision", decision).withColumn("pending", pending & (F.col("n_trusted") > 0) & F.col("held").isNull())
-    return out.withColumn("applied", F.when(F.col("decision") == "applied", F.when(shout, F.upper(word)).otherwise(word))).withColumn("reason", reason).drop("first", "held", "seen")
+    out = out.withColumn("applied", F.when(F.col("decision") == "applied", F.when(shout, F.upper(word)).otherwise(word))).withColumn("reason", reason)
+    return T.with_id(out.drop("first", "held", "seen"), docs)
 
 
 def rebuilt(text: Column, cuts: Column) -> Column:
@@ -176,9 +176,7 @@ def spliced(docs: DataFrame, decided: DataFrame) -> DataFrame:
     """
     entry = F.struct("start", "end", "text", "match", "decision", "applied", "reason")
     spans = decided.groupBy(*DOC).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("decision") == "applied", F.struct("start", "end", "applied")))).alias("cuts"), F.array_sort(F.collect_list(entry)).alias("candidates"))
-    o = T.owned(docs).alias("o")
-    same = (F.col("o.user_id") == F.col("s.user_id")) & F.col("o.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("o.version") == F.col("s.version"))
-    both = o.join(spans.alias("s"), same, "left").select("o.user_id", "o.doc_id", "o.text", "cuts", "n", "candidates")
+    both = T.owned(docs).join(spans, list(DOC), "left")
     out = F.when(F.col("n").isNull(), F.col("text")).otherwise(rebuilt(F.col("text"), F.col("cuts")))
     return both.select("user_id", "doc_id", "text", out.alias("output"), F.coalesce("n", F.lit(0)).alias("n_candidates"), F.when(F.col("n").isNull(), "no-candidates").otherwise("").alias("reason"), "candidates")
 
@@ -236,6 +234,5 @@ def judge_requests(docs: DataFrame, decided: DataFrame, terms: DataFrame) -> Dat
     options = pending.select(*DOC, "start", F.explode("terms").alias("term")).join(about, ["user_id", "term"]).groupBy(*DOC, "start").agg(F.array_sort(F.collect_list(F.struct("preferred", "kind", "note"))).alias("options"))
     item = F.struct("start", "text", "options", hint.alias("hint"))
     asked = pending.drop("options").join(options, [*DOC, "start"]).groupBy(*DOC).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    o = T.owned(docs).dropDuplicates(list(DOC)).alias("o")
-    same = (F.col("o.user_id") == F.col("a.user_id")) & F.col("o.doc_id").eqNullSafe(F.col("a.doc_id")) & (F.col("o.version") == F.col("a.version"))
-    return asked.alias("a").join(o, same).select("a.user_id", "a.doc_id", "a.version", F.col("o.text").alias("sentence"), "items")
+    own = T.owned(docs).join(asked.select(*DOC), list(DOC), "left_semi").dropDuplicates(list(DOC))
+    return asked.join(own, list(DOC)).select("user_id", "doc_id", "version", F.col("text").alias("sentence"), "items")

@@ -81,7 +81,7 @@ def common_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def content_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return correct.context_words(docs(spark, sf_dir)).select("doc_id", F.size("context").cast("long").alias("n_content"))
+    return correct.context_words(T.owned(docs(spark, sf_dir))).select("doc_id", F.size("context").cast("long").alias("n_content"))
 
 
 def sounds_alike_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

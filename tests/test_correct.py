@@ -76,6 +76,12 @@ def test_rows_of_one_id_and_none(spark):
     rows = [(1, "Ask Marit."), (1, "Ask Marit."), (1, "Tell Marit so."), (None, "Ask Marit."), (None, "Call Marit."), (2, None), (3, "")]
     out = correct.checked(correct.correct(spark.createDataFrame(rows, "doc_id long, text string"), terms, spelled)).collect()
     assert sorted((r.doc_id or 0, r.output or "") for r in out) == sorted((d or 0, (t or "").replace("Marit", "Maarit")) for d, t in rows)
+    m = taught(("Notes", 5))
+    m.terms["notes"].spellings["nots"] = __import__("lexifold.operators.kernel", fromlist=["Spelling"]).Spelling(2, 1, ["lisbon"])
+    guarded = [(None, "Read nots of Lisbon."), (None, "Read nots of Rome."), (4, "Read nots of Lisbon.")]
+    out = correct.correct(spark.createDataFrame(guarded, "doc_id long, text string"), *frames(spark, {"": m})).collect()
+    assert {r.text: r.candidates[0].decision for r in out} == {"Read nots of Lisbon.": "skipped:guarded", "Read nots of Rome.": "skipped:context-unavailable"}
+    assert m.correct("Read nots of Lisbon.")[1][0].decision == "skipped:guarded"
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert correct.correct(empty, terms, spelled).collect() == []
 
