@@ -1,0 +1,79 @@
+import numpy as np
+import pytest
+
+from lexifold.llm import language
+
+SCHEMA = "doc_id long, text string, lang string, score double, rejected string"
+
+
+def test_language(spark):
+    rows = [(i, ("the house is warm and the dog sleeps " if i % 2 else "talo on lämmin ja koira nukkuu nyt ") * 5, "en" if i % 2 else "fi") for i in range(200)]
+    train = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(train)
+    got = {r.doc_id: r for r in language.classify(train.union(spark.createDataFrame([(900, None, None), (901, "12 !", None)], train.schema)), model).collect()}
+    assert all(got[i].lang_pred == ("en" if i % 2 else "fi") for i in range(200))
+    assert got[900].lang_pred == got[901].lang_pred == "und" and got[901].rejected and not got[3].rejected
+    assert language.classify(train, language.train(train.limit(0))).first().lang_pred == "und"
+
+
+def invented(seed, letters, n):
+    """Texts of words of a vocabulary of their own."""
+    r = np.random.default_rng(seed)
+    words = ["".join(r.choice(list(letters), r.integers(2, 9))) for _ in range(300)]
+    return [" ".join(r.choice(words, r.integers(20, 60))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("n", [60, 900])
+def test_language_not_learned(spark, n):
+    made = {"a": invented(1, "abcdefghijklmno", n), "b": invented(2, "efghijklmnopqrst", n), "c": invented(3, "aeioulmnrstdh", n)}
+    rows = [(i, t, lang) for i, (lang, t) in enumerate((lang, t) for lang, ts in made.items() for t in ts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(docs)
+    kept = language.classify(docs, model).where("NOT rejected").count()
+    new = spark.createDataFrame([(i, t) for i, t in enumerate(invented(4, "abcdefghilmnoprstu", 200))], "doc_id long, text string")
+    gone = language.classify(new, model).where("rejected").count()
+    assert np.isfinite(model.limit) and kept >= 0.999 * len(rows) and gone >= 180
+
+
+def test_odd_rows(spark):
+    words = {"en": "the house is warm and the dog sleeps in it".split(), "fi": "talo on lämmin ja koira nukkuu siinä nyt".split()}
+    r = np.random.default_rng(0)
+    rows = [(i, " ".join(r.choice(words[lang], 40)), lang, 0.5, "own") for i in range(300) for lang in [("en", "fi")[i % 2]]]
+    rows += [(900, None, "en", 0.5, "own"), (901, "", None, 0.5, "own"), (902, "12 !", "fi", 0.5, "own"), (None, rows[0][1], "fi", 0.5, "own"), (5, rows[5][1], None, 0.5, "own"), (5, rows[5][1], None, 0.5, "own")]
+    rows += [(903, " ".join(words["en"]) + " x" * 3 + " " + " ".join(r.choice(words["en"], 60_000)), None, 0.5, "own"), (904, "THE HOUSE IS WARM AND THE DOG SLEEPS IN IT", None, 0.5, "own")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    model = language.train(docs)
+    got = language.classify(docs, model)
+    assert got.count() == len(rows)
+    by = {}
+    for x in got.collect():
+        by.setdefault(x.doc_id, []).append(x)
+    assert [(by[i][0].lang_pred, by[i][0].score, by[i][0].rejected) for i in (900, 901, 902)] == [("und", 0.0, True)] * 3
+    assert by[None][0].lang_pred == "en" and by[903][0].lang_pred == by[904][0].lang_pred == "en" and len({(x.lang_pred, x.score) for x in by[5]}) == 1
+    assert all(0 <= x.score <= 1 for xs in by.values() for x in xs)
+    kept = language.keep_known(docs)
+    assert kept.columns == docs.columns and {(x.score, x.rejected) for x in kept.select("score", "rejected").distinct().collect()} == {(0.5, "own")}
+    assert {x.doc_id for x in kept.collect()} >= set(range(300)) - {x.doc_id for x in got.where("rejected").collect()}
+
+
+def test_lang_and_id_say_nothing(spark):
+    rows = [(i, ("the house is warm and the dog sleeps " if i % 2 else "talo on lämmin ja koira nukkuu nyt ") * 5, "en" if i % 2 else "fi") for i in range(200)]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    wrong = spark.createDataFrame([(i + 10_000, t, "fi" if lang == "en" else "en") for i, t, lang in rows], "doc_id long, text string, lang string")
+    assert all(x.lang_pred == ("en" if x.doc_id % 2 else "fi") for x in language.classify(wrong, model).collect())
+
+
+def test_probabilities_sum_to_one():
+    r = np.random.default_rng(1)
+    text = r.integers(0, 4, 3000)
+    grams, n = np.unique(np.stack([text[j: len(text) - 2 + j] for j in range(3)], 1), axis=0, return_counts=True)
+    model = language.KneserNey(grams, n, 2)  # 0 and 1 stand for boundary and unknown beside an alphabet of two
+    for context in ([0, 0], [1, 3], [3, 2]):
+        after = np.array([[*context, c] for c in range(4)])
+        assert np.exp2(model.log2(after)).sum() == pytest.approx(1)
+
+
+def test_empty_table(spark):
+    docs = spark.createDataFrame([], SCHEMA)
+    model = language.train(docs)
+    assert language.classify(docs, model).collect() == [] and language.keep_known(docs).collect() == []
