@@ -12,7 +12,7 @@ from ..functions.lexicon import COMMON
 from . import correct, memory
 from .judge import Judge, judged
 
-#: What a step of a case may hold.
+# The format of cases, what each kind of step may hold.
 STEP_KEYS = {
     "run": {"formatted", "expect_output", "expect_output_any", "expect_decisions", "expect_no_llm"},
     "observe": {"asr", "formatted", "final", "presented", "expect_learned", "expect_confirmed", "expect_reverted", "expect_ignored"},

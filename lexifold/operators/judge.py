@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import time
 import urllib.error
 import urllib.request
@@ -62,10 +63,13 @@ def prompt(sentence: Column, items: Column) -> Column:
 
 def parse(text: str) -> dict[int, dict]:
     """Decisions by number, from the outermost braces of a text; a number may be written as a string."""
-    lo, hi = text.find("{"), text.rfind("}")
-    if lo < 0 or hi < lo:
+    whole = re.search(r"\{.*\}", text, re.DOTALL)
+    if whole is None:
         raise ValueError("no object in the answer")
-    return {int(d["index"]): d for d in json.loads(text[lo: hi + 1])["decisions"]}
+    found: dict[int, dict] = {}
+    for said in json.loads(whole.group())["decisions"]:
+        found[int(said["index"])] = said
+    return found
 
 
 def parsed(answer: Column) -> Column:
