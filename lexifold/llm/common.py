@@ -75,9 +75,15 @@ def written(df: DataFrame) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder."""
+    """Cut the lineage in the shared folder.
+
+    What led here isn't needed any more: Spark removes the shuffle files of plans that the driver's JVM has collected, so
+    it is asked to collect them now, not when its heap is full.
+    """
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    kept = df.checkpoint(eager=True)
+    df.sparkSession._jvm.System.gc()
+    return kept
 
 
 def shares(df: DataFrame, column: str, *share: int) -> list[int]:
