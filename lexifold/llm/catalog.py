@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import brown, chat, language, mixing, neardup, pieces, private, rabitq, repeats, webp
+from . import alignment, branches, brown, chat, exact, language, mixing, neardup, pieces, private, rabitq, repeats, webp
 
 QUERIES = {
     "op1_webp": webp.op1_webp,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_chat_formatting": chat.op8_chat_formatting,
     "op9_probminhash": neardup.op9_probminhash,
     "op10_sentencepiece": pieces.op10_sentencepiece,
+    "op11_streaming_dedup": exact.op11_streaming_dedup,
+    "op12_branch_merge": branches.op12_branch_merge,
+    "op13_alignment": alignment.op13_alignment,
 }
-ORACLES = {"op8_chat_formatting": chat.ORACLE_SQL}
+ORACLES = {"op8_chat_formatting": chat.ORACLE_SQL, "op11_streaming_dedup": exact.ORACLE_SQL}

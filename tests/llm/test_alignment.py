@@ -1,0 +1,95 @@
+import hashlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers as P
+import pytest
+import sentencepiece
+from tokenizers import Tokenizer
+
+from lexifold.llm import alignment
+
+COLUMNS = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+ODD = [
+    (0, None), (1, ""), (2, "<|endoftext|> <s> </s> <unk> [INST] <0x41>"), (3, "a literal ▁ mark"), (4, " "), (5, "  lead and trail  "), (6, "é☃ naïve 東京 \U0001f600 text\ttab\r\nline"),
+    (7, "the same words here"), (8, "the same words here"), (None, "the same words here"), (7, "the same words here"), (10, "x" * 3000), (11, "123456789 3.14"), (12, "\x00\x01​﻿"), (13, "word " * 20_000),
+]
+
+
+def plainly(docs):
+    """The contract with lists and dictionaries, and the libraries' own encoders."""
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    tok.encode_special_tokens = True
+    sp = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    byte = {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in own)}
+    found = []
+    for i, text in docs:
+        a = [] if not text else [(t, bytes(byte[c] for c in tok.id_to_token(t))) for t in tok.encode(" " + text, add_special_tokens=False).ids]
+        b = [] if not text else [(t, bytes([int(sp.id_to_piece(t)[3:5], 16)]) if sp.is_byte(t) else sp.id_to_piece(t).replace("▁", " ").encode()) for t in sp.encode(text)]
+        if not text or not b"".join(x for _, x in a) == b"".join(x for _, x in b) == b" " + text.encode():
+            a, b = [], []
+        ends = []
+        for side in (a, b):
+            at, where = 0, {}
+            for n, (_, x) in enumerate(side):
+                at += len(x)
+                where[at] = n
+            ends.append(where)
+        cuts = sorted(set(ends[0]) & set(ends[1]))
+        links = [(a[ends[0][c]][0], b[ends[1][c]][0]) for c in cuts]
+        parts, x, y = [], 0, 0
+        for c in cuts:
+            parts.append(",".join(str(t) for t, _ in a[x: ends[0][c] + 1]) + "|" + ",".join(str(t) for t, _ in b[y: ends[1][c] + 1]))
+            x, y = ends[0][c] + 1, ends[1][c] + 1
+        found.append((i, len(a), len(b), links, hashlib.sha256(";".join(parts).encode()).hexdigest() if a else ""))
+    count = Counter(link for f in found for link in f[3])
+    highest = defaultdict(int)
+    for (_, b), n in count.items():
+        highest[b] = max(highest[b], n)
+    return sorted(((i, n_a, n_b, len(links), len(links), sum(count[x] == highest[x[1]] for x in links), sum(count[x] for x in links), digest) for i, n_a, n_b, links, digest in found), key=str)
+
+
+def got(rows):
+    return sorted((tuple(r[c] for c in COLUMNS) for r in rows.collect()), key=str)
+
+
+def test_by_the_contract(spark, monkeypatch):
+    want = plainly(ODD)
+    assert [w for w in want if w[0] == 3][0][1:] == (0, 0, 0, 0, 0, 0, "") and [w for w in want if w[0] == 6][0][1] > 0
+    frame = spark.createDataFrame(ODD, "doc_id long, text string")
+    assert got(alignment.aligned(frame.repartition(3))) == want
+    assert got(alignment.aligned(frame.coalesce(1))) == want
+
+
+def test_the_query(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    assert got(alignment.op13_alignment(spark, "/root/testdata/sf0.001")) == plainly(map(tuple, docs))
+
+
+def test_groups_rejoin(spark):
+    rows = alignment.groups(spark.createDataFrame(ODD, "doc_id long, text string")).collect()
+    tool = alignment.aligner(*alignment._paths(None, None))
+    for (i, text), r in zip(ODD, sorted(rows, key=lambda r: [x for x, _ in ODD].index(r["doc_id"])), strict=False):
+        assert sum(r["a_sizes"]) == len(r["a_ids"]) and sum(r["b_sizes"]) == len(r["b_ids"]) and len(r["a_sizes"]) == len(r["b_sizes"])
+        x, y = np.cumsum([0, *r["a_sizes"]]), np.cumsum([0, *r["b_sizes"]])
+        for n in range(len(r["a_sizes"])):
+            assert b"".join(tool.a.bytes_of[t] for t in r["a_ids"][x[n]: x[n + 1]]) == b"".join(tool.b.bytes_of[t] for t in r["b_ids"][y[n]: y[n + 1]])
+
+
+def test_ids_are_the_files_own():
+    """Over every character, alone and between others, as the two libraries class characters by tables of their own."""
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    tok.encode_special_tokens = True
+    a = alignment.ByteBpe(P.path("byte_bpe_50k.json"))
+    chars = [chr(i) for i in [*range(0xD800), *range(0xE000, 0x30000, 1)]]
+    texts = ["".join(f"{c}a {c}1{c} {c}" for c in chars[i: i + 256]) for i in range(0, len(chars), 256)]
+    want = [e.ids for e in tok.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+    differ = [i for i, (x, y) in enumerate(zip(a.encode(texts), want, strict=True)) if x.tolist() != y]
+    assert not differ
+
+
+@pytest.mark.parametrize("docs", [[], [(1, None)], [(1, "")]])
+def test_tables_without_tokens(spark, docs):
+    frame = spark.createDataFrame([(*d, 1, 2, 3) for d in docs], "doc_id int, text string, a int, block string, n int")
+    assert got(alignment.aligned(frame)) == [(d[0], 0, 0, 0, 0, 0, 0, "") for d in docs]
