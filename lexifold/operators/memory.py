@@ -44,13 +44,13 @@ def remembered(state: Iterable[dict], common: frozenset[str] = COMMON) -> Memory
     memory, children = Memory(common), []
     for r in state:
         if r["part"] == "term":
-            memory.terms[r["term"]] = Term(r["preferred"], int(r["trust"]), r["source"], r["created"], r["updated"], r["kind"], r["note"])
+            memory.put(r["term"], Term(r["preferred"], int(r["trust"]), r["source"], r["created"], r["updated"], r["kind"], r["note"]))
         elif r["part"] == "misspelling":
             children.append(r)
         elif r["part"] == "retired":
-            memory.retired[r["term"]] = (r["preferred"], r["key"], r["updated"])
+            memory.retire(r["term"], r["preferred"], r["key"], r["updated"])
     for r in children:
-        memory.terms[r["term"]].spellings[r["misspelling"]] = Spelling(int(r["seen"]), int(r["vetoes"]), [*r["guard"]], r["updated"])
+        memory.spell(memory.terms[r["term"]], r["misspelling"], Spelling(int(r["seen"]), int(r["vetoes"]), [*r["guard"]], r["updated"]))
     return memory
 
 

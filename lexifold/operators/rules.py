@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
+from functools import lru_cache
 
 from ..functions import text as T
 from ..functions.lexicon import GLUE
@@ -13,9 +15,10 @@ ACTIVE, PENALTY, FUZZY_LENGTH = 2, 2, 4
 #: Words that a guard keeps, and characters that a name may have.
 GUARD_WORDS, LONGEST = 24, 64
 ARTICLES = frozenset({"a", "an", "the"})
-TOKEN = re.compile(T.TOKEN)
+TOKEN, MARKED = re.compile(T.TOKEN), re.compile(f"[{re.escape(T.IDENTIFIER_MARKS)}.]")
 
 
+@lru_cache(1 << 16)
 def key(word: str) -> str:
     k = T.plain(word)
     for a, b in T.EQUIVALENCES:
@@ -59,13 +62,11 @@ def content(text: str, without: frozenset[str] | set[str] = frozenset()) -> set[
     return {w for w in map(str.casefold, TOKEN.findall(text)) if len(w) > 2} - GLUE - set(without)
 
 
-def in_identifier(text: str, start: int, end: int) -> bool:
+def identifiers(text: str) -> Iterator[tuple[int, int]]:
+    """The runs without white space that are identifiers: their edges cut, they have a mark or a dot."""
     for m in re.finditer(r"\S+", text):
-        if m.start() < end and start < m.end():
-            core = m.group().strip(T.EDGES)
-            if "." in core or any(c in core for c in T.IDENTIFIER_MARKS):
-                return True
-    return False
+        if MARKED.search(m.group().strip(T.EDGES)):
+            yield m.span()
 
 
 def heading(text: str) -> bool:
