@@ -60,7 +60,7 @@ def played(memory: Memory, log: pd.DataFrame) -> Iterator[tuple[int, dict]]:
 
 
 def keyed(events: DataFrame) -> DataFrame:
-    return events.select(F.col("user_id").cast("string"), "seq", F.col("ts").cast("string"), "type", "payload")
+    return events.select(F.coalesce(F.col("user_id").cast("string"), F.lit("")).alias("user_id"), "seq", F.col("ts").cast("string"), "type", "payload")
 
 
 def replay(events: DataFrame, words: frozenset[str] = COMMON) -> DataFrame:
@@ -179,7 +179,7 @@ BLOCK = 256
 
 
 def _steps() -> Callable[[Column, Column], Column]:
-    """A run of ops as one function of the trust before: `none` is its value where there was no term, else it is
+    """A run of ops (new is a term of trust 0 where there is none) as one function of the trust before: `none` is its value where there was no term, else it is
     greatest(x + shift, floor), parts that are null being left out, and no term if both are. Runs compose."""
     def then(f: Column, g: Column) -> Column:
         at = lambda x: F.greatest(x + g["shift"], g["floor"])
@@ -195,8 +195,8 @@ def _steps() -> Callable[[Column, Column], Column]:
 def _step(op: Column, value: Column) -> Column:
     number = value.cast("long")
     return F.struct(
-        F.when(op == "add", F.lit(ACTIVE)).cast("long").alias("none"),
-        F.when(op == "add", F.lit(0).cast("long")).when(op == "bump", number).alias("shift"),
+        F.when(op == "add", F.lit(ACTIVE)).when(op == "new", 0).cast("long").alias("none"),
+        F.when(op.isin("add", "new"), F.lit(0).cast("long")).when(op == "bump", number).alias("shift"),
         F.when(op == "add", F.lit(ACTIVE).cast("long")).when(op == "set", number).alias("floor"))
 
 
@@ -206,8 +206,8 @@ def _nothing(of: str) -> Column:
 
 
 def _blocks(ops: DataFrame, keys: list[str], span: int) -> DataFrame:
-    """Ops by blocks of seq: the function of each block and its ordered items."""
-    item = F.struct("seq", "op", "value", _step(F.col("op"), F.col("value")).alias("f"))
+    """Ops by blocks of seq: the function of each block and its ordered items; n orders ops of one seq, if there."""
+    item = F.struct("seq", *["n"] * ("n" in ops.columns), "op", "value", _step(F.col("op"), F.col("value")).alias("f"))
     blocks = ops.withColumn("block", F.floor(F.col("seq") / span)).groupBy(*keys, "block").agg(F.array_sort(F.collect_list(item)).alias("items"))
     return blocks.withColumn("f", F.aggregate("items", _nothing("items"), lambda a, x: _steps()(a, x["f"])))
 
@@ -216,7 +216,7 @@ def trust_fold(ops: DataFrame, keys: tuple[str, ...] = ("user_id",), span: int =
     """Final trust of (keys, seq, op, value), op being add, set, bump or delete; no row for what ends deleted.
 
     Ops compose, so a key's log is folded by blocks of `span` numbers of seq, and then block by block; ties in seq go by
-    op and value.
+    n, if there is such a column, then by op and value.
     """
     names = list(keys)
     parts = _blocks(ops, names, span).groupBy(*names).agg(F.array_sort(F.collect_list(F.struct("block", "f"))).alias("parts"))
