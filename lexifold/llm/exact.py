@@ -31,8 +31,11 @@ from .common import removed, shared_folder, written
 
 #: Bits of the map of hits (1 MB), and batches that the files of a table make at most.
 BITS, BATCHES = 1 << 23, 4
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk; its many small stores take the space that they fill, not 4 MB ahead each.
+_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def sha256(text: Column) -> Column:
@@ -41,13 +44,15 @@ def sha256(text: Column) -> Column:
 
 @contextmanager
 def _on_disk(spark: SparkSession):
-    """Queries started here keep their state in RocksDB; the session's own setting comes back."""
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, _ROCKSDB)
+    """Queries started here keep their state in RocksDB; the session's own settings come back."""
+    before = {k: spark.conf.get(k, None) for k in _SETTINGS}
+    for k, v in _SETTINGS.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 class ExactDedup:
