@@ -30,14 +30,16 @@ _KINDS = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "array<s
 _ARROW = pa.schema([(c.split()[0], _KINDS[c.split()[1]]) for c in EFFECTS.replace("\n", " ").split(", ")])
 
 
+def effect_rows(user: str, seq: int, ts: str, found: list[Effect], report: dict) -> list[tuple]:
+    """Rows of EFFECTS of one event."""
+    out = [(user, seq, n, ts, *e, None) for n, e in enumerate(found)]
+    return [*out, (user, seq, len(out), ts, *Effect("report", None), json.dumps(report, ensure_ascii=False))]
+
+
 def effects(events: DataFrame, words: frozenset[str] = COMMON) -> DataFrame:
     """EFFECTS of a log (user_id, seq, ts, type, payload): n numbers those of an event, the last of which, of op "report",
     has its report."""
 
-    def rows(user: str, seq: int, ts: str, memory: Memory, report: dict) -> list[tuple]:
-        out = [(user, seq, n, ts, *e, None) for n, e in enumerate(memory.effects)]
-        return [*out, (user, seq, len(out), ts, *Effect("report", None), json.dumps(report, ensure_ascii=False))]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         user, memory = None, Memory(words)
         for batch in batches:
@@ -46,7 +48,7 @@ def effects(events: DataFrame, words: frozenset[str] = COMMON) -> DataFrame:
                 if of != user:
                     user, memory = of, Memory(words)
                 report = memory.apply(kind, json.loads(payload), str(ts))
-                out += rows(user, seq, ts, memory, report)
+                out += effect_rows(user, seq, ts, memory.effects, report)
             columns = zip(*out, strict=True) if out else [[]] * len(_ARROW)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _ARROW.types, strict=True)], schema=_ARROW)
 
