@@ -13,8 +13,12 @@ EQUIVALENCES = (
     ("ksh", "x"), ("ph", "f"), ("th", "t"), ("dh", "d"), ("bh", "b"), ("gh", "g"), ("kh", "k"), ("jh", "j"), ("zh", "j"), ("sh", "s"),
     ("ch", "c"), ("ck", "k"), ("ee", "i"), ("oo", "u"), ("ou", "au"), ("w", "v"), ("z", "s"), ("q", "k"), ("c", "k"))
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
-#: Characters stepped over on the way back to what ends a sentence, and what does.
+# Characters stepped over on the way back to what ends a sentence, and what does; marks of an identifier,
+# and what is cut from its ends.
 OPENERS, ENDERS = " \t\"'‘’“”(", ".!?:;-–—\n"
+#: All white space, and a class of it for regular expressions of either engine.
+SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+SPACE, NO_SPACE = f"[{SPACES}]", f"[^{SPACES}]"
 IDENTIFIER_MARKS, EDGES = "@/\\_:#$%=&~+", ".,;!?\"'“”‘’"
 
 
@@ -64,8 +68,8 @@ def key(x: str, engine: str = "spark") -> str:
 def phrase_key(x: str, engine: str = "spark") -> str:
     """Keys of the words between white space, the empty ones dropped, joined by a space."""
     if engine == "duckdb":
-        return f"array_to_string(list_filter(list_transform(regexp_split_to_array(trim({x}), '\\s+'), lambda w: {key('w', engine)}), lambda w: w <> ''), ' ')"
-    return f"array_join(filter(transform(split(trim({x}), '\\\\s+'), w -> {key('w')}), w -> w <> ''), ' ')"
+        return f"array_to_string(list_filter(list_transform(regexp_split_to_array({x}, '{SPACE}+'), lambda w: {key('w', engine)}), lambda w: w <> ''), ' ')"
+    return f"array_join(filter(transform(split({x}, '{SPACE}+'), w -> {key('w')}), w -> w <> ''), ' ')"
 
 
 def casefold(x: str) -> str:
@@ -154,9 +158,9 @@ def identifiers(tokens_: DataFrame) -> DataFrame:
     """Adds `ident`: whether the run without white space that a token is in has a mark of an identifier, edges cut."""
     order = Window.partitionBy(*DOC).orderBy("pos")
     marks = lambda x: F.translate(x, IDENTIFIER_MARKS + ".", "") != x
-    opens, shuts = (F.col("pos") == 0) | F.col("gap").rlike(r"\s"), F.col("after").rlike(r"\s")
-    before = F.expr(f"trim(LEADING {quoted(EDGES)} FROM regexp_extract(gap, '[^ \\t\\r\\n\\f]*$', 0))")
-    behind = F.expr(f"trim(TRAILING {quoted(EDGES)} FROM regexp_extract(after, '^[^ \\t\\r\\n\\f]*', 0))")
+    opens, shuts = (F.col("pos") == 0) | F.col("gap").rlike(SPACE), F.col("after").rlike(SPACE)
+    before = F.expr(f"trim(LEADING {quoted(EDGES)} FROM regexp_extract(gap, '{NO_SPACE}*\\\\z', 0))")
+    behind = F.expr(f"trim(TRAILING {quoted(EDGES)} FROM regexp_extract(after, '^{NO_SPACE}*', 0))")
     last = F.lead("pos").over(order).isNull()
     own = F.when(opens, marks(before)).otherwise(marks(F.col("gap"))) | F.when(shuts | last, marks(behind)).otherwise(F.lit(False))
     run = tokens_.withColumn("own", own).withColumn("run", F.sum(opens.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))

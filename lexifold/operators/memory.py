@@ -170,8 +170,8 @@ def accepted(names: DataFrame) -> DataFrame:
 
 def said_something(observations: DataFrame) -> DataFrame:
     """Observations (formatted, final) that aren't blank on both sides; only these are logged."""
-    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
-    return observations.where(~(blank("formatted") & blank("final")))
+    said = lambda c: F.coalesce(F.col(c), F.lit("")).rlike(T.NO_SPACE)
+    return observations.where(said("formatted") | said("final"))
 
 
 #: Ops that are folded together before blocks are put in order.

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.lexicon import COMMON, GLUE, listed
-from ..operators import correct, evaluate, memory
+from ..operators import correct, effects, evaluate, memory
 from ..sources.log import row_counts
 from . import oracle
 
@@ -135,33 +135,52 @@ def value_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.percentiles(table(spark, sf_dir, "events"), "event_type", "value")
 
 
+#: Of each word (event_id modulo 7): what is heard and what is meant; the last three are edits that aren't vocabulary.
+SENTENCES = (
+    ("Ask Joonas now.", "Ask Jonas now."), ("Call ma arit today.", "Call Maarit today."), ("Tell them kiwi is live in wk# today.", "Tell them Kiwi is live in wk# today."),
+    ("the kiwi notes", "The Kiwi Notes"), ("The note is here.", "The joy is here."), ("Send thier note.", "Send their note."), ("Ask Joonas and Joonas.", "Ask Jonas and Joonas."))
+
+
 def learning(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as the life of one term: signup adds it, every third error deletes it, every fifth view sets its trust,
-    purchases are edits towards it, other errors and views leave its misspelling, all else is an edit that isn't heard."""
+    """Effects of events as the lives of three names, which signups add, some errors delete and some views set to 1. One is
+    a word misheard, one is heard as two, one as a common word that differs in case, whose correction the user is shown.
+    Purchases and odd clicks put them right; other events leave them; a sentence with two is put right once only."""
     e = table(spark, sf_dir, "events")
     kind, n = F.col("event_type"), F.col("event_id")
-    type_ = F.when(kind == "signup", "add_term").when((kind == "error") & (n % 3 == 0), "delete_term").when((kind == "view") & (n % 5 == 0), "set_trust").otherwise("observation")
-    heard = F.when(kind.isin("error", "view", "purchase"), "Ask Joonas now.").otherwise("The note is here.")
-    final = F.when(kind == "purchase", "Ask Jonas now.").when(kind.isin("error", "view"), heard).otherwise("The joy is here.")
-    payload = F.when(type_ == "observation", F.to_json(F.struct(F.lit("").alias("asr"), heard.alias("formatted"), final.alias("final")))).otherwise(F.to_json(F.struct(F.lit("Jonas").alias("preferred"), F.lit(1).alias("trust"))))
-    return memory.replay(e.select("user_id", n.alias("seq"), "ts", type_.alias("type"), payload.alias("payload")))
+    word = F.when(n % 7 == 6, 0).otherwise(n % 7)
+    one_of = lambda xs: F.element_at(F.array(*map(F.lit, xs)), (n % 7 + 1).cast("int"))
+    week = lambda x: F.replace(x, F.lit("#"), F.format_string("%02d", n % 40))
+    heard, meant = week(one_of([x for x, _ in SENTENCES])), week(one_of([y for _, y in SENTENCES]))
+    name = F.element_at(F.array(*map(F.lit, ("Jonas", "Maarit", "Kiwi"))), (word + 1).cast("int"))
+    type_ = F.when(word > 2, "observation").when(kind == "signup", "add_term").when((kind == "error") & (n % 3 == 0), "delete_term").when((kind == "view") & (n % 5 == 0), "set_trust").otherwise("observation")
+    right = (word > 2) | (kind == "purchase") | ((kind == "click") & (n % 2 == 1))
+    seen = F.struct(F.lit("").alias("asr"), heard.alias("formatted"), F.when(right, meant).otherwise(heard).alias("final"), F.when(word == 2, meant).alias("presented"))
+    payload = F.when(type_ == "observation", F.to_json(seen)).otherwise(F.to_json(F.struct(name.alias("preferred"), F.lit(1).alias("trust"))))
+    return effects.effects(e.select("user_id", n.alias("seq"), "ts", type_.alias("type"), payload.alias("payload")))
 
 
 def learned_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    state = learning(spark, sf_dir)
-    spelled = memory.misspellings(state).select("user_id", "term", "seen", "vetoes")
-    kept = memory.terms(state).join(spelled, ["user_id", "term"], "left")
-    return kept.select("user_id", "term", F.col("trust").cast("long").alias("trust"), "status", F.coalesce("seen", F.lit(0)).cast("long").alias("seen"), F.coalesce("vetoes", F.lit(0)).cast("long").alias("vetoes"))
+    of = learning(spark, sf_dir)
+    return effects.terms(of).select("user_id", "term", "preferred", "source", F.col("trust").cast("long").alias("trust"), "status")
+
+
+def learned_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    of = effects.misspellings(learning(spark, sf_dir))
+    return of.select("user_id", "term", "misspelling", F.col("seen").cast("long").alias("seen"), F.col("vetoes").cast("long").alias("vetoes"), F.array_join("guard", "+").alias("guard"))
+
+
+def retired_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return effects.retired(learning(spark, sf_dir)).select("user_id", "term", "preferred")
 
 
 def learning_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = ("learned", "confirmed", "reverted", "ignored")
     said = F.from_json("report", "learned array<string>, confirmed array<string>, reverted array<string>, ignored array<string>")
-    each = memory.reports(learning(spark, sf_dir)).withColumn("r", said)
+    each = effects.reports(learning(spark, sf_dir)).withColumn("r", said)
     return each.groupBy("user_id").agg(*(F.coalesce(F.sum(F.when(F.size(f"r.{p}") > 0, F.size(f"r.{p}"))), F.lit(0)).cast("long").alias(p) for p in parts))
 
 
-QUERIES = {f.__name__: f for f in (corrected_text, decision_counts, judge_requests, verdict_merge, token_offsets, phonetic_keys, key_collisions, phrase_keys, common_share, content_words, sounds_alike_pairs, identifier_chunks, trust_fold, status_counts, trust_history, misspelling_counters, table_counts, trace_top, value_percentiles, learned_terms, learning_reports)}
+QUERIES = {f.__name__: f for f in (corrected_text, decision_counts, judge_requests, verdict_merge, token_offsets, phonetic_keys, key_collisions, phrase_keys, common_share, content_words, sounds_alike_pairs, identifier_chunks, trust_fold, status_counts, trust_history, misspelling_counters, table_counts, trace_top, value_percentiles, learned_terms, learned_spellings, retired_terms, learning_reports)}
 
 _WORDS = f"unnest(regexp_extract_all(text, '{T.TOKEN}'))"
 _STEPS = """SELECT user_id, event_id AS seq, list({'op': event_type, 'id': event_id}) OVER (PARTITION BY user_id ORDER BY event_id) AS log FROM events"""
@@ -202,5 +221,7 @@ ORACLES = {
     "judge_requests": oracle.decided(TERMS, SPELLINGS) + oracle.REQUESTS,
     "verdict_merge": oracle.decided(TERMS, SPELLINGS) + oracle.VERDICTS,
     "learned_terms": oracle.LEARNED + oracle.TERMS_LEFT,
+    "learned_spellings": oracle.LEARNED + oracle.SPELLINGS_LEFT,
+    "retired_terms": oracle.LEARNED + oracle.RETIRED,
     "learning_reports": oracle.LEARNED + oracle.REPORTED,
 }

@@ -7,9 +7,9 @@ from __future__ import annotations
 from ..functions import text as T
 from ..functions.lexicon import COMMON, GLUE, listed
 from ..operators.correct import JOIN_HINT
-from ..operators.rules import ACTIVE, FUZZY_LENGTH
+from ..operators.rules import ACTIVE, FUZZY_LENGTH, GUARD_WORDS
 
-_CHUNK = "[^ \\t\\n\\r\\f\\v]+"
+_CHUNK = f"{T.NO_SPACE}+"
 
 
 def _quoted(x: str) -> str:
@@ -23,24 +23,25 @@ def _cut(source: str, text: str, pattern: str, part: str, keep: str) -> str:
       SELECT {keep}, regexp_extract_all({text}, '{pattern}') AS ps, regexp_split_to_array({text}, '{pattern}') AS gs FROM {source}))"""
 
 
-def decided(terms: list[tuple[str, int]], spellings: list[tuple[str, str, int, int, list[str]]]) -> str:
-    """WITH clauses that end in decided(doc_id, s, e, span, match, decision, applied, pending, options, elsewhere)."""
+def decided(terms: list[tuple[str, int]], spellings: list[tuple[str, str, int, int, list[str]]], source: str = "documents") -> str:
+    """WITH clauses over texts of a source, that end in decided(doc_id, s, e, span, match, decision, applied, pending, options, elsewhere)."""
     term_rows = ", ".join(f"({_quoted(p.lower())}, {_quoted(p)}, {t})" for p, t in terms)
     guard = lambda g: "[" + ", ".join(map(_quoted, g)) + "]::VARCHAR[]"
     spelled = ", ".join(f"({_quoted(t)}, {_quoted(m)}, {seen}, {vetoes}, {guard(g)})" for t, m, seen, vetoes, g in spellings)
     common = T.common("w", listed(COMMON))
     ends = ", ".join(_quoted(c) for c in T.ENDERS)
     return f"""
-WITH terms(term, preferred, trust) AS (VALUES {term_rows}),
+WITH texts AS (SELECT doc_id, text FROM {source}),
+terms(term, preferred, trust) AS (VALUES {term_rows}),
 spelled(term, misspelling, seen, vetoes, guard) AS (VALUES {spelled}),
 keys AS (SELECT DISTINCT term, {T.phrase_key('x', 'duckdb')} AS key FROM (SELECT term, preferred AS x FROM terms UNION ALL SELECT term, misspelling FROM spelled)),
-runs AS (SELECT doc_id, n AS c, chunk, gap AS white, until - length(chunk) AS base, {T.identifier('chunk', 'duckdb')} AS ident FROM ({_cut('documents', 'text', _CHUNK, 'chunk', 'doc_id')})),
+runs AS (SELECT doc_id, n AS c, chunk, gap AS white, until - length(chunk) AS base, {T.identifier('chunk', 'duckdb')} AS ident FROM ({_cut('texts', 'text', _CHUNK, 'chunk', 'doc_id')})),
 cut AS ({_cut('runs', 'chunk', T.TOKEN, 'w', 'doc_id, c, base, white, ident')}),
 placed AS (SELECT doc_id, c, n, white, ident, w, base + until - length(w) AS s, base + until AS e FROM cut),
 words AS (SELECT w, {T.key('w', 'duckdb')} AS key, {common} AS common FROM (SELECT DISTINCT w FROM placed)),
 said AS (
   SELECT p.*, key, common, row_number() OVER d AS p, rtrim(substring(d.text, greatest(s - 199, 1), least(s, 200)), {_quoted(T.OPENERS)}) AS head
-  FROM placed p JOIN words USING (w) JOIN documents d USING (doc_id) WINDOW d AS (PARTITION BY p.doc_id ORDER BY s)),
+  FROM placed p JOIN words USING (w) JOIN texts d USING (doc_id) WINDOW d AS (PARTITION BY p.doc_id ORDER BY s)),
 marked AS (SELECT *, head = '' OR right(head, 1) IN ({ends}) AS opens, regexp_matches(w, '^[0-9]+$') AS digits, left(w, 1) <> lower(left(w, 1)) AS upper FROM said),
 tok AS (
   SELECT *, lead(digits, 1, false) OVER d
@@ -60,7 +61,7 @@ found AS (SELECT doc_id, s, e, match, rank, span, all_common, in_phrase, list(DI
 lists AS (SELECT doc_id, list([{{'s': s, 'e': e, 'match': match, 'span': span, 'all_common': all_common, 'in_phrase': in_phrase, 'names': names, 'right_already': right_already}}] ORDER BY s - e, s, rank) AS spans FROM found GROUP BY doc_id),
 taken AS (SELECT doc_id, unnest(list_reduce(spans, lambda a, x: CASE WHEN len(list_filter(a, lambda t: t.s < x[1].e AND x[1].s < t.e)) = 0 THEN list_concat(a, x) ELSE a END)) AS t FROM lists),
 spans AS (SELECT doc_id, t.s AS s, t.e AS e, t.match AS match, t.span AS span, t.all_common AS all_common, t.in_phrase AS in_phrase, t.names AS names FROM taken WHERE NOT t.right_already),
-contexts AS (SELECT doc_id, list_distinct(list_filter(list_transform(regexp_extract_all(text, '{T.TOKEN}'), lambda x: {T.casefold('x')}), lambda x: length(x) >= 3 AND x NOT IN ({listed(GLUE)}))) AS context FROM documents),
+contexts AS (SELECT doc_id, list_distinct(list_filter(list_transform(regexp_extract_all(text, '{T.TOKEN}'), lambda x: {T.casefold('x')}), lambda x: length(x) >= 3 AND x NOT IN ({listed(GLUE)}))) AS context FROM texts),
 options AS (
   SELECT doc_id, s, e, span, match, all_common, in_phrase, term, preferred, trust >= {ACTIVE} AS trusted, coalesce(seen, 0) AS seen,
     CASE WHEN trust >= {ACTIVE} AND vetoes > 0 THEN CASE WHEN len(guard) = 0 THEN 'skipped:vetoed' WHEN list_has_any(guard, context) THEN 'skipped:guarded' END END AS held
@@ -89,30 +90,57 @@ decided AS (
 
 CORRECTED = """
 SELECT doc_id, CASE WHEN n IS NULL THEN text ELSE coalesce(pieces, '') || substring(text, coalesce(last, 0) + 1) END AS output, CAST(coalesce(n, 0) AS BIGINT) AS n_candidates, CASE WHEN n IS NULL THEN 'no-candidates' ELSE '' END AS reason
-FROM documents LEFT JOIN (SELECT doc_id, count(*) AS n FROM decided GROUP BY doc_id) USING (doc_id) LEFT JOIN (
+FROM texts LEFT JOIN (SELECT doc_id, count(*) AS n FROM decided GROUP BY doc_id) USING (doc_id) LEFT JOIN (
   SELECT doc_id, string_agg(substring(text, before + 1, s - before) || applied, '' ORDER BY s) AS pieces, max(e) AS last
-  FROM (SELECT doc_id, s, e, applied, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS before FROM decided WHERE decision = 'applied') JOIN documents USING (doc_id) GROUP BY doc_id) USING (doc_id)"""
+  FROM (SELECT doc_id, s, e, applied, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS before FROM decided WHERE decision = 'applied') JOIN texts USING (doc_id) GROUP BY doc_id) USING (doc_id)"""
 DECISIONS = "SELECT match, decision, count(*) AS n FROM decided GROUP BY ALL"
 REQUESTS = f"""
 SELECT doc_id, count(*) AS n_items, string_agg(s || '|' || span || '|' || array_to_string(options, ',') || '|' || array_to_string(list_filter([CASE WHEN elsewhere IS NOT NULL THEN 'the text also has ' || elsewhere || ' as it is spelled' END, CASE WHEN match = 'join' THEN {_quoted(JOIN_HINT)} END], lambda h: h IS NOT NULL), '; '), ';' ORDER BY s) AS items
 FROM decided WHERE pending GROUP BY doc_id"""
 VERDICTS = "SELECT CASE WHEN NOT pending THEN decision WHEN s % 4 = 0 THEN 'applied' WHEN s % 4 = 1 THEN 'skipped:context' WHEN s % 4 = 2 THEN 'llm-error' ELSE decision END AS decision, count(*) AS n FROM decided GROUP BY 1"
 
-#: The life of one term under events of one shape (see catalog.learning), as a state that each event changes.
-LEARNED = """
+_BLANK = {"op": "''", "word": "''", "week": "''", "term": "false", "retired": "false", "learnt": "false", "trust": "0", "told": "false", "seen": "0", "vetoes": "0", "guard": "[]::VARCHAR[]", "learned": "0", "confirmed": "0", "reverted": "0", "ignored": "0"}
+
+
+def _state(of: str = "a", **changes: str) -> str:
+    """A state of a life: that of `of` but for some fields; without one, a blank one."""
+    fields = {k: changes.get(k, f"{of}.{k}" if of else v) for k, v in _BLANK.items()}
+    return "{" + ", ".join(f"'{k}': {v}" for k, v in fields.items()) + "}"
+
+
+def _more(*names: str) -> dict[str, str]:
+    return {n: f"a.{n} + 1" for n in names}
+
+
+#: A correction is made by itself where the term is trusted and its spelling has no veto; one that only sounds like it
+#: has to have been seen, and a common word is never corrected without a judge, whose text the user is shown.
+_APPLIES = "(a.term AND a.trust >= 2 AND a.vetoes = 0 AND ((x.word = 'jonas' AND a.seen > 0) OR x.word = 'maarit'))"
+_SHOWN = "(a.term AND x.word = 'kiwi')"
+_GUARD = f"CASE WHEN x.word = 'kiwi' THEN list_concat(['live', 'tell', x.week], list_filter(a.guard, lambda w: w NOT IN ('live', 'tell', x.week)))[1:{GUARD_WORDS}] ELSE a.guard END"
+
+#: The lives of names under the events of catalog.learning: for each user and name a state that each event changes.
+LEARNED = f"""
 WITH log AS (
-  SELECT user_id, event_id AS seq, CASE event_type WHEN 'signup' THEN 'add' WHEN 'error' THEN CASE WHEN event_id % 3 = 0 THEN 'delete' ELSE 'kept' END WHEN 'view' THEN CASE WHEN event_id % 5 = 0 THEN 'set' ELSE 'kept' END WHEN 'purchase' THEN 'edit' ELSE 'other' END AS op FROM events),
-steps AS (SELECT user_id, list_prepend({'op': '', 'term': false, 'retired': false, 'trust': 0, 'seen': 0, 'vetoes': 0, 'learned': 0, 'confirmed': 0, 'reverted': 0, 'ignored': 0},
-  list({'op': op, 'term': false, 'retired': false, 'trust': 0, 'seen': 0, 'vetoes': 0, 'learned': 0, 'confirmed': 0, 'reverted': 0, 'ignored': 0} ORDER BY seq)) AS steps FROM log GROUP BY user_id),
-ended AS (SELECT user_id, list_reduce(steps, lambda a, x: CASE
-  WHEN x.op = 'add' THEN {'op': '', 'term': true, 'retired': false, 'trust': CASE WHEN a.term THEN greatest(a.trust, 2) ELSE 2 END, 'seen': CASE WHEN a.term THEN a.seen ELSE 0 END, 'vetoes': CASE WHEN a.term THEN a.vetoes ELSE 0 END, 'learned': a.learned, 'confirmed': a.confirmed, 'reverted': a.reverted, 'ignored': a.ignored}
-  WHEN x.op = 'delete' THEN {'op': '', 'term': false, 'retired': a.retired OR a.term, 'trust': 0, 'seen': 0, 'vetoes': 0, 'learned': a.learned, 'confirmed': a.confirmed, 'reverted': a.reverted, 'ignored': a.ignored}
-  WHEN x.op = 'set' THEN {'op': '', 'term': a.term, 'retired': a.retired, 'trust': CASE WHEN a.term THEN 1 ELSE 0 END, 'seen': a.seen, 'vetoes': a.vetoes, 'learned': a.learned, 'confirmed': a.confirmed, 'reverted': a.reverted, 'ignored': a.ignored}
-  WHEN x.op = 'kept' AND a.term AND a.trust >= 2 AND a.seen > 0 AND a.vetoes = 0 THEN {'op': '', 'term': true, 'retired': a.retired, 'trust': a.trust - 2, 'seen': a.seen, 'vetoes': a.vetoes + 1, 'learned': a.learned, 'confirmed': a.confirmed, 'reverted': a.reverted + 1, 'ignored': a.ignored}
-  WHEN x.op = 'edit' AND a.term THEN {'op': '', 'term': true, 'retired': a.retired, 'trust': a.trust + 1, 'seen': a.seen + 1, 'vetoes': a.vetoes, 'learned': a.learned + CASE WHEN a.trust >= 2 AND a.seen > 0 AND a.vetoes = 0 THEN 0 ELSE 1 END, 'confirmed': a.confirmed + CASE WHEN a.trust >= 2 AND a.seen > 0 AND a.vetoes = 0 THEN 1 ELSE 0 END, 'reverted': a.reverted, 'ignored': a.ignored}
-  WHEN x.op = 'edit' AND a.retired THEN {'op': '', 'term': false, 'retired': true, 'trust': 0, 'seen': 0, 'vetoes': 0, 'learned': a.learned, 'confirmed': a.confirmed, 'reverted': a.reverted, 'ignored': a.ignored + 1}
-  WHEN x.op = 'edit' THEN {'op': '', 'term': true, 'retired': false, 'trust': 1, 'seen': 1, 'vetoes': 0, 'learned': a.learned + 1, 'confirmed': a.confirmed, 'reverted': a.reverted, 'ignored': a.ignored}
-  WHEN x.op = 'other' THEN {'op': '', 'term': a.term, 'retired': a.retired, 'trust': a.trust, 'seen': a.seen, 'vetoes': a.vetoes, 'learned': a.learned, 'confirmed': a.confirmed, 'reverted': a.reverted, 'ignored': a.ignored + 1}
-  ELSE {'op': '', 'term': a.term, 'retired': a.retired, 'trust': a.trust, 'seen': a.seen, 'vetoes': a.vetoes, 'learned': a.learned, 'confirmed': a.confirmed, 'reverted': a.reverted, 'ignored': a.ignored} END) AS z FROM steps)"""
-TERMS_LEFT = "SELECT CAST(user_id AS VARCHAR) AS user_id, 'jonas' AS term, CAST(z.trust AS BIGINT) AS trust, CASE WHEN z.trust >= 2 THEN 'trusted' WHEN z.trust > 0 THEN 'watching' ELSE 'muted' END AS status, CAST(z.seen AS BIGINT) AS seen, CAST(z.vetoes AS BIGINT) AS vetoes FROM ended WHERE z.term"
-REPORTED = "SELECT CAST(user_id AS VARCHAR) AS user_id, CAST(z.learned AS BIGINT) AS learned, CAST(z.confirmed AS BIGINT) AS confirmed, CAST(z.reverted AS BIGINT) AS reverted, CAST(z.ignored AS BIGINT) AS ignored FROM ended"
+  SELECT user_id, event_id AS seq, CASE WHEN event_id % 7 IN (0, 6) THEN 'jonas' WHEN event_id % 7 = 1 THEN 'maarit' WHEN event_id % 7 = 2 THEN 'kiwi' ELSE '' END AS word, 'wk' || lpad(CAST(event_id % 40 AS VARCHAR), 2, '0') AS week,
+    CASE WHEN event_id % 7 = 3 THEN 'title' WHEN event_id % 7 IN (4, 5) THEN 'other' WHEN event_type = 'signup' THEN 'add' WHEN event_type = 'error' AND event_id % 3 = 0 THEN 'delete' WHEN event_type = 'view' AND event_id % 5 = 0 THEN 'set'
+      WHEN event_type = 'purchase' OR (event_type = 'click' AND event_id % 2 = 1) THEN CASE WHEN event_id % 7 = 6 THEN 'both' ELSE 'edit' END ELSE 'kept' END AS op FROM events),
+steps AS (SELECT user_id, word, list_prepend({_state('')}, list({_state('', op='op', word='word', week='week')} ORDER BY seq)) AS steps FROM log GROUP BY user_id, word),
+ended AS (SELECT user_id, word, list_reduce(steps, lambda a, x: CASE
+  WHEN x.op = 'add' THEN {_state(term='true', retired='false', learnt='a.term AND a.learnt', trust='CASE WHEN a.term THEN greatest(a.trust, 2) ELSE 2 END')}
+  WHEN x.op = 'delete' THEN {_state(term='false', retired='a.retired OR a.term', trust='0', told='false', seen='0', vetoes='0', guard='[]::VARCHAR[]')}
+  WHEN x.op = 'set' THEN {_state(trust='CASE WHEN a.term THEN 1 ELSE 0 END')}
+  WHEN x.op = 'kept' AND ({_APPLIES} OR {_SHOWN}) THEN {_state(told='true', trust='a.trust - 2', guard=_GUARD, **_more('vetoes', 'reverted'))}
+  WHEN x.op = 'both' AND {_APPLIES} THEN {_state(told='true', trust='a.trust - 2', **_more('seen', 'vetoes', 'confirmed', 'reverted'))}
+  WHEN x.op = 'edit' AND ({_APPLIES} OR {_SHOWN}) THEN {_state(told='true', **_more('trust', 'seen', 'confirmed'))}
+  WHEN x.op IN ('edit', 'both') AND a.term THEN {_state(told='true', **_more('trust', 'seen', 'learned'))}
+  WHEN x.op IN ('edit', 'both') AND a.retired THEN {_state(**_more('ignored'))}
+  WHEN x.op IN ('edit', 'both') THEN {_state(term='true', learnt='true', trust='1', told='true', seen='1', vetoes='0', **_more('learned'))}
+  WHEN x.op = 'title' THEN {_state(ignored='a.ignored + 3')}
+  WHEN x.op = 'other' THEN {_state(**_more('ignored'))}
+  ELSE {_state()} END) AS z FROM steps)"""
+_OF = "CAST(user_id AS VARCHAR) AS user_id, word AS term"
+_NAME = "CASE word WHEN 'jonas' THEN 'Jonas' WHEN 'maarit' THEN 'Maarit' ELSE 'Kiwi' END AS preferred"
+TERMS_LEFT = f"SELECT {_OF}, {_NAME}, CASE WHEN z.learnt THEN 'learned' ELSE 'added' END AS source, CAST(z.trust AS BIGINT) AS trust, CASE WHEN z.trust >= 2 THEN 'trusted' WHEN z.trust > 0 THEN 'watching' ELSE 'muted' END AS status FROM ended WHERE z.term"
+SPELLINGS_LEFT = f"SELECT {_OF}, CASE word WHEN 'jonas' THEN 'joonas' WHEN 'maarit' THEN 'ma arit' ELSE 'kiwi' END AS misspelling, CAST(z.seen AS BIGINT) AS seen, CAST(z.vetoes AS BIGINT) AS vetoes, array_to_string(z.guard, '+') AS guard FROM ended WHERE z.term AND z.told"
+RETIRED = f"SELECT {_OF}, {_NAME} FROM ended WHERE z.retired"
+REPORTED = "SELECT CAST(user_id AS VARCHAR) AS user_id, CAST(sum(z.learned) AS BIGINT) AS learned, CAST(sum(z.confirmed) AS BIGINT) AS confirmed, CAST(sum(z.reverted) AS BIGINT) AS reverted, CAST(sum(z.ignored) AS BIGINT) AS ignored FROM ended GROUP BY user_id"

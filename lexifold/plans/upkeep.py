@@ -69,7 +69,7 @@ def checked_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def logged_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations").select("conv_id", F.when(F.col("turn") % 3 == 0, "  ").when(F.col("turn") % 3 == 1, F.col("text")).alias("formatted"), F.when(F.col("turn") % 2 == 0, F.col("role")).otherwise("").alias("final"))
+    c = table(spark, sf_dir, "conversations").select("conv_id", F.when(F.col("turn") % 3 == 0, T.SPACES).when(F.col("turn") % 3 == 1, F.col("text")).alias("formatted"), F.when(F.col("turn") % 2 == 0, F.col("role")).otherwise("").alias("final"))
     return memory.said_something(c).groupBy("conv_id").agg(F.count("*").alias("n"))
 
 
@@ -82,6 +82,14 @@ def refused_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memory.fold_onto(none, log).where("part = 'refused'").select("user_id", "seq")
 
 
+def spaced_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Correction of texts where white space of every kind stands between words and identifiers."""
+    one = F.substr(F.lit(T.SPACES), F.col("doc_id") % len(T.SPACES) + 1, F.lit(1))
+    text = F.replace(F.replace("text", F.lit(" t"), F.concat(F.lit(".x"), one, F.lit("t"))), F.lit("on "), F.concat(F.lit("on"), one))
+    r = correct.correct(docs(spark, sf_dir).withColumn("text", text), *dictionary(spark))
+    return r.select("doc_id", F.md5("output").alias("output"), F.col("n_candidates").cast("long").alias("n_candidates"))
+
+
 def numbered_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers after an older log, in the order of whole seconds, then of type and payload."""
     e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("user_id"), "event_id", F.date_trunc("hour", "ts").alias("ts"), F.col("event_type").alias("type"), F.format_string("%09d", "event_id").alias("payload"))
@@ -133,7 +141,7 @@ def grown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memory.growth(count(e.where("event_id < 300")), count(e))
 
 
-QUERIES = {f.__name__: f for f in (term_lookup, key_owner, hydrated_terms, cascaded, retired_left, guards, checked_names, logged_observations, refused_deletes, numbered_events, undone_text, rendered_prompts, parsed_verdicts, judge_costs, intervention_kinds, grown)}
+QUERIES = {f.__name__: f for f in (term_lookup, key_owner, hydrated_terms, cascaded, retired_left, guards, checked_names, logged_observations, refused_deletes, spaced_text, numbered_events, undone_text, rendered_prompts, parsed_verdicts, judge_costs, intervention_kinds, grown)}
 
 _NAMES = f"(SELECT DISTINCT p_name AS preferred, {T.casefold('p_name')} AS term, {T.phrase_key('p_name', 'duckdb')} AS key FROM part)"
 _CHILDREN = "(SELECT CAST(user_id AS VARCHAR) AS user_id, event_type AS term, 'm' || event_id % 7 AS misspelling, count(*) AS seen, count(*) FILTER (WHERE event_id % 5 = 0) AS vetoes FROM events GROUP BY ALL)"
@@ -149,8 +157,9 @@ ORACLES = {
     "guards": f"SELECT doc_id, array_to_string(list_concat(fresh, list_filter(old, lambda x: NOT list_contains(fresh, x)))[1:{GUARD_WORDS}], ',') AS guard FROM (SELECT doc_id, list_sort(list_filter({_GUARD}, lambda x: length(x) = 5)) AS fresh, list_reverse_sort(list_filter({_GUARD}, lambda x: length(x) IN (5, 6) AND NOT regexp_matches(x, '^[a-m]'))) AS old FROM documents)",
     "checked_names": f"""SELECT preferred, CASE WHEN NOT regexp_matches(preferred, '[A-Za-z]') THEN {_WHY[0]} WHEN length(preferred) > {LONGEST} THEN {_WHY[1]} WHEN array_to_string(regexp_extract_all(preferred, '{T.TOKEN}'), ' ') <> preferred THEN {_WHY[2]} END AS error, count(*) AS n FROM (
         SELECT trim(regexp_replace(CASE p_partkey % 6 WHEN 0 THEN '  ' || p_name || ' ' WHEN 1 THEN replace(p_name, ' ', ' ' || chr(9) || ' ') WHEN 2 THEN p_name || '-x' WHEN 3 THEN repeat(p_name || ' ', 9) WHEN 4 THEN CAST(p_partkey AS VARCHAR) ELSE p_name END, '\\s+', ' ', 'g')) AS preferred FROM part) GROUP BY ALL""",
-    "logged_observations": "SELECT conv_id, count(*) AS n FROM conversations WHERE (turn % 3 = 1 AND trim(coalesce(text, '')) <> '') OR (turn % 2 = 0 AND trim(coalesce(role, '')) <> '') GROUP BY conv_id",
+    "logged_observations": "SELECT conv_id, count(*) AS n FROM conversations WHERE (turn % 3 = 1 AND trim(coalesce(text, ''), '" + T.SPACES + "') <> '') OR (turn % 2 = 0 AND trim(coalesce(role, ''), '" + T.SPACES + "') <> '') GROUP BY conv_id",
     "refused_deletes": "SELECT CAST(user_id AS VARCHAR) AS user_id, event_id AS seq FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events WHERE event_type IN ('signup', 'error')) WHERE event_type = 'error' AND before IS DISTINCT FROM 'signup'",
+    "spaced_text": oracle.decided(TERMS, SPELLINGS, f"(SELECT doc_id, replace(replace(text, ' t', '.x' || sp || 't'), 'on ', 'on' || sp) AS text FROM (SELECT *, substring('{T.SPACES}', doc_id % {len(T.SPACES)} + 1, 1) AS sp FROM documents))") + f"SELECT doc_id, md5(output) AS output, n_candidates FROM ({oracle.CORRECTED})",
     "numbered_events": "SELECT user_id, n + CASE WHEN EXISTS (SELECT 1 FROM events o WHERE o.event_id % 4 = 0 AND CAST(o.user_id AS VARCHAR) = x.user_id) THEN 1000 ELSE 0 END AS seq, payload FROM (SELECT CAST(user_id AS VARCHAR) AS user_id, row_number() OVER (PARTITION BY user_id ORDER BY date_trunc('hour', ts), event_type, event_id) AS n, lpad(CAST(event_id AS VARCHAR), 9, '0') AS payload FROM events WHERE event_id % 4 <> 0) x",
     "undone_text": oracle.decided(TERMS, SPELLINGS) + f"SELECT doc_id, md5(output) AS output FROM ({oracle.CORRECTED.replace(chr(39) + 'applied' + chr(39), chr(39) + 'applied' + chr(39) + ' AND s % 2 = 0')})",
     "rendered_prompts": oracle.decided(TERMS, SPELLINGS) + """
