@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import correct, evaluate, judge, memory
+from ..operators import align, correct, evaluate, judge, memory
 from ..operators.rules import GUARD_WORDS, LONGEST, REFUSALS
 from ..sources.log import numbered
 from . import oracle
@@ -90,6 +90,53 @@ def spaced_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("doc_id", F.md5("output").alias("output"), F.col("n_candidates").cast("long").alias("n_candidates"))
 
 
+def edited_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations, edited: the first word in capitals or another, or the first two made one. Texts of fewer
+    than six words, or whose third word comes again, stay as they are (what stands for what would be open)."""
+    words = F.regexp_extract_all("text", F.lit(T.TOKEN), F.lit(0))
+    c = table(spark, sf_dir, "conversations").withColumn("w", words).withColumn("low", F.transform("w", lambda x: F.lower(x)))
+    at = F.length(F.element_at(F.split("text", T.TOKEN, 2), 1))
+    gap = F.length(F.element_at(F.split("text", T.TOKEN, 3), 2))
+    c = c.withColumn("at", at).withColumn("gap", gap).withColumn("a", F.get("w", F.lit(0))).withColumn("b", F.get("w", F.lit(1)))
+    clear = (F.size("w") >= 6) & (F.size(F.filter("low", lambda x: x == F.get("low", F.lit(2)))) == 1) & ~F.array_contains("low", F.lower(F.concat("a", "b"))) & ~F.array_contains("low", F.concat(F.lower("a"), F.lit("x")))
+    kind = (F.col("conv_id") + F.col("turn")) % 3
+    new = F.when(kind == 0, F.translate("a", T.LETTERS, T.LETTERS.upper())).when(kind == 1, F.concat("a", F.lit("x"))).otherwise(F.concat("a", "b"))
+    rest = F.col("at") + F.length("a") + F.when(kind == 2, F.col("gap") + F.length("b")).otherwise(0)
+    final = F.concat(F.left("text", F.col("at")), new, F.substr("text", rest + 1))
+    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("formatted"), F.when(clear, final).otherwise(F.col("text")).alias("final"))
+
+
+def observation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.edit_pairs(edited_turns(spark, sf_dir), "id").select("id", "old", "new", F.col("start").cast("long").alias("start"))
+
+
+def applied_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where corrections lie in the output, and what stands there."""
+    r = correct.correct(docs(spark, sf_dir), *dictionary(spark)).select("doc_id", "output", "candidates")
+    spans = r.select("doc_id", "output", F.explode("candidates").alias("c")).select("doc_id", "output", "c.start", "c.end", "c.applied")
+    out = align.placed(spans, ["doc_id"])
+    return out.select("doc_id", F.col("out_start").cast("long").alias("out_start"), F.substr("output", F.col("out_start") + 1, F.col("out_end") - F.col("out_start")).alias("word"))
+
+
+def titled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations, a third with a capital for every word and a third with one for every other."""
+    n = (F.col("conv_id") + F.col("turn")) % 3
+    every = F.array_join(F.transform(F.split("text", " "), lambda w: F.concat(F.translate(F.left(w, F.lit(1)), T.LETTERS, T.LETTERS.upper()), F.lower(F.substr(w, F.lit(2))))), " ")
+    other = F.array_join(F.transform(F.split("text", " "), lambda w, i: F.when(i % 2 == 1, F.concat(F.translate(F.left(w, F.lit(1)), T.LETTERS, T.LETTERS.upper()), F.substr(w, F.lit(2)))).otherwise(w)), " ")
+    return table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.when(n == 0, every).when(n == 1, other).otherwise(F.col("text")).alias("text"))
+
+
+def headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.headings(titled(spark, sf_dir), "id")
+
+
+def proper_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that got a capital: names, but for those that open a sentence or stand in a heading."""
+    t = titled(spark, sf_dir).withColumnRenamed("text", "final")
+    t = t.withColumn("formatted", F.lower("final"))
+    return align.proper(align.edit_pairs(t, "id"), t, "id").groupBy("id").agg(F.count("*").alias("n"), F.count_if("proper").alias("n_proper"))
+
+
 def numbered_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers after an older log, in the order of whole seconds, then of type and payload."""
     e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("user_id"), "event_id", F.date_trunc("hour", "ts").alias("ts"), F.col("event_type").alias("type"), F.format_string("%09d", "event_id").alias("payload"))
@@ -141,14 +188,29 @@ def grown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memory.growth(count(e.where("event_id < 300")), count(e))
 
 
-QUERIES = {f.__name__: f for f in (term_lookup, key_owner, hydrated_terms, cascaded, retired_left, guards, checked_names, logged_observations, refused_deletes, spaced_text, numbered_events, undone_text, rendered_prompts, parsed_verdicts, judge_costs, intervention_kinds, grown)}
+QUERIES = {f.__name__: f for f in (term_lookup, key_owner, hydrated_terms, cascaded, retired_left, guards, checked_names, logged_observations, refused_deletes, spaced_text, observation_pairs, applied_places, headings, proper_edits, numbered_events, undone_text, rendered_prompts, parsed_verdicts, judge_costs, intervention_kinds, grown)}
 
 _NAMES = f"(SELECT DISTINCT p_name AS preferred, {T.casefold('p_name')} AS term, {T.phrase_key('p_name', 'duckdb')} AS key FROM part)"
 _CHILDREN = "(SELECT CAST(user_id AS VARCHAR) AS user_id, event_type AS term, 'm' || event_id % 7 AS misspelling, count(*) AS seen, count(*) FILTER (WHERE event_id % 5 = 0) AS vetoes FROM events GROUP BY ALL)"
 _EVENTS = "(SELECT CAST(user_id AS VARCHAR) AS user_id, event_type, event_id, 't' || event_id % 40 AS term, 'k' || event_id % 15 AS key FROM events)"
 _WHY = [T.quoted(why, "duckdb") for why, _ in REFUSALS]
 _GUARD = f"list_distinct(regexp_extract_all(text, '{T.TOKEN}'))"
+_EDITED = f"""(SELECT *, length(split_part(text, a, 1)) AS base, len(w) >= 6 AND len(list_filter(low, lambda x: x = low[3])) = 1 AND NOT list_contains(low, lower(a || b)) AND NOT list_contains(low, lower(a) || 'x') AS clear FROM (
+    SELECT *, w[1] AS a, w[2] AS b, list_transform(w, lambda x: lower(x)) AS low FROM (SELECT conv_id * 1000 + turn AS id, (conv_id + turn) % 3 AS kind, text, regexp_extract_all(text, '{T.TOKEN}') AS w FROM conversations)))"""
+_TITLED = f"""(SELECT conv_id * 1000 + turn AS id, CASE (conv_id + turn) % 3 WHEN 0 THEN array_to_string(list_transform(string_split(text, ' '), lambda w: translate(left(w, 1), '{T.LETTERS}', '{T.LETTERS.upper()}') || lower(substring(w, 2))), ' ')
+    WHEN 1 THEN array_to_string(list_transform(string_split(text, ' '), lambda w, i: CASE WHEN i % 2 = 0 THEN translate(left(w, 1), '{T.LETTERS}', '{T.LETTERS.upper()}') || substring(w, 2) ELSE w END), ' ') ELSE text END AS text FROM conversations)"""
+_TOLD = f"""(SELECT id, w, left(w, 1) <> lower(left(w, 1)) AS capital, regexp_matches(w, '^[^0-9×÷]') AS letter, head = '' OR right(head, 1) IN ({", ".join(T.quoted(c, "duckdb") for c in T.ENDERS)}) AS opens FROM (
+    SELECT id, w, rtrim(left(text, CAST(until - length(w) AS BIGINT)), {T.quoted(T.OPENERS, "duckdb")}) AS head FROM (
+      SELECT id, text, w, sum(length(g) + length(w)) OVER (PARTITION BY id ORDER BY i) AS until FROM (
+        SELECT id, text, unnest(ws) AS w, unnest(gs[1:len(ws)]) AS g, unnest(range(len(ws))) AS i FROM (
+          SELECT id, text, regexp_extract_all(text, '{T.TOKEN}') AS ws, regexp_split_to_array(text, '{T.TOKEN}') AS gs FROM {_TITLED})))))"""
+_HEADINGS = f"""(SELECT id, coalesce((n > 1 AND letters > 0 AND big = letters) OR (inside > 2 AND 2 * big_inside >= inside), false) AS heading FROM {_TITLED} LEFT JOIN (
+    SELECT id, count(*) AS n, count(*) FILTER (WHERE letter) AS letters, count(*) FILTER (WHERE letter AND capital) AS big, count(*) FILTER (WHERE NOT opens) AS inside, count(*) FILTER (WHERE NOT opens AND capital) AS big_inside FROM {_TOLD} GROUP BY id) USING (id))"""
 ORACLES = {
+    "observation_pairs": f"SELECT id, CASE WHEN kind = 2 THEN substring(text, base + 1, length(a) + position(b IN substring(text, base + length(a) + 1)) - 1 + length(b)) ELSE a END AS old, CASE kind WHEN 0 THEN translate(a, '{T.LETTERS}', '{T.LETTERS.upper()}') WHEN 1 THEN a || 'x' ELSE a || b END AS new, base AS start FROM {_EDITED} WHERE clear AND (kind > 0 OR regexp_matches(a, '[a-z]'))",
+    "applied_places": oracle.decided(TERMS, SPELLINGS) + "SELECT doc_id, CAST(s + coalesce(sum(length(applied) - (e - s)) OVER (PARTITION BY doc_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS out_start, applied AS word FROM decided WHERE decision = 'applied'",
+    "headings": f"SELECT id, heading FROM {_HEADINGS}",
+    "proper_edits": f"SELECT id, count(*) AS n, count(*) FILTER (WHERE capital AND NOT opens AND NOT heading) AS n_proper FROM {_TOLD} JOIN {_HEADINGS} USING (id) WHERE lower(w) <> w GROUP BY id",
     "term_lookup": f"SELECT p_partkey, n AS name, t.preferred FROM (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN upper(p_name) || 'X' ELSE upper(p_name) END AS n FROM part) LEFT JOIN {_NAMES} t ON t.term = {T.casefold('n')}",
     "key_owner": f"SELECT key, arg_min(preferred, term) AS preferred FROM {_NAMES} GROUP BY key",
     "hydrated_terms": f"SELECT e.user_id, e.term, string_agg(misspelling || ':' || seen || ':' || vetoes || ':' || c.term, ',' ORDER BY misspelling) AS spellings FROM (SELECT DISTINCT CAST(user_id AS VARCHAR) AS user_id, event_type AS term FROM events) e LEFT JOIN (SELECT * FROM {_CHILDREN} WHERE misspelling <> 'm0') c USING (user_id, term) GROUP BY ALL",
