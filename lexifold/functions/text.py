@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 TOKEN = "[A-Za-zÀ-ɏ0-9]+"
@@ -130,43 +131,78 @@ def with_id(rows: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.withColumn("doc_id", F.when(F.col("doc") != "", F.substring("doc", 2, 1 << 30)).cast(docs.schema["doc_id"].dataType))
 
 
-def tokens(docs: DataFrame) -> DataFrame:
-    """One row per token: doc_id, user_id, doc, version, pos, start and end (code points), word, and the gaps before and after.
+def dealt(docs: DataFrame) -> DataFrame:
+    """Texts (as `owned` gives them) by DOC: what reads them again by DOC finds them where they are."""
+    return owned(docs).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *DOC)
 
-    Repeated rows (of one user, id and text) are one text. Texts are dealt before they are cut, so that the windows over
-    tokens need no exchange of tokens. A null text has no tokens.
+
+#: A row of a table, and the order of its tokens. What leads differs most, as sorting asks it first.
+ROW = ("hash", *DOC, "copy")
+
+
+def in_text() -> WindowSpec:
+    return Window.partitionBy(*ROW).orderBy("pos")
+
+
+def tokens(docs: DataFrame, only: DataFrame | None = None, identifiers: bool = False) -> DataFrame:
+    """One row per token: doc_id, ROW, pos, start and end (code points), word, the gap before it, and where wanted
+    `ident`, whether the run without white space that it is in is an identifier.
+
+    Texts are dealt before they are cut, so that the windows over tokens need no exchange of tokens; of texts that aren't
+    in `only` (DOC), no token is cut. Each row has its own tokens, those of repeated rows are told apart by `copy`. A null
+    text has no tokens.
     """
+    rows = dealt(docs)
+    if only is not None:
+        rows = rows.join(only.select(*DOC).distinct().hint("shuffle_hash"), list(DOC), "left_semi")
+    rows = rows.where("text IS NOT NULL").withColumn("hash", F.xxhash64(*DOC)).withColumn("copy", F.monotonically_increasing_id())
     words = F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = owned(docs).where("text IS NOT NULL").repartition(parts, *DOC)
-    dealt = dealt.withColumn("copy", F.row_number().over(Window.partitionBy(*DOC).orderBy("version"))).where("copy = 1")
-    split = dealt.select("doc_id", *DOC, F.split("text", TOKEN, -1).alias("gaps"), words.alias("words"))
-    zipped = F.arrays_zip(F.col("gaps").alias("gap"), F.col("words").alias("word"), F.slice("gaps", 2, F.size("words")).alias("after"))
-    cut = split.select("doc_id", *DOC, F.posexplode(zipped).alias("pos", "t")).where("t.word IS NOT NULL")
-    cut = cut.select("doc_id", *DOC, "pos", "t.gap", "t.word", "t.after")
-    before = F.sum(F.length("gap") + F.length("word")).over(Window.partitionBy(*DOC).orderBy("pos"))
+    parts = [F.split("text", TOKEN, -1).alias("gap"), words.alias("word")]
+    if identifiers:
+        # tokens have no white space, so the runs' own tokens are the text's, run by run
+        run = lambda c: F.array_repeat(marked(c), F.size(F.regexp_extract_all(c, F.lit(TOKEN), F.lit(0))))
+        some = F.col("text").rlike(f"[{re.escape(IDENTIFIER_MARKS)}]|[.]{NO_SPACE}")
+        parts.append(F.when(some, F.flatten(F.transform(F.split("text", f"{SPACE}+"), run))).alias("ident"))
+    split = rows.select("doc_id", *ROW, *parts)
+    zipped = F.arrays_zip("gap", "word", *[F.coalesce("ident", F.expr("CAST(array() AS array<boolean>)")).alias("ident")] * identifiers)
+    cut = split.select("doc_id", *ROW, F.posexplode(zipped).alias("pos", "t")).where("t.word IS NOT NULL")
+    cut = cut.select("doc_id", *ROW, "pos", "t.gap", "t.word", *[F.coalesce("t.ident", F.lit(False)).alias("ident")] * identifiers)
+    before = F.sum(F.length("gap") + F.length("word")).over(in_text())
     return cut.withColumn("end", before.cast("int")).withColumn("start", (F.col("end") - F.length("word")).cast("int"))
 
 
+def marked(chunk: Column) -> Column:
+    """`identifier` of a column."""
+    core = F.btrim(chunk, F.lit(EDGES))
+    return F.translate(core, IDENTIFIER_MARKS + ".", "") != core
+
+
+def keyed(rows: DataFrame, word: Column, name: str = "key") -> DataFrame:
+    """Adds the key of a word, in steps that leave out what most words don't need: letters beyond ASCII, an h, a letter
+    twice. The same as `key` says."""
+    h = [(a, b) for a, b in EQUIVALENCES if "h" in a]
+    rest = [(a, b) for a, b in EQUIVALENCES if "h" not in a]
+    if EQUIVALENCES != (*h, *rest):
+        raise ValueError("spellings with an h come first")
+
+    def replaced(x: str, pairs: list[tuple[str, str]]) -> str:
+        for a, b in pairs:
+            x = f"replace({x}, '{a}', '{b}')"
+        return x
+
+    full = f"translate(_w, '{FROM}', '{TO}')"
+    full = f"regexp_replace(lower({replaced(full, EXPANSIONS)}), '[^a-z0-9]+', '')"
+    out = rows.withColumn("_w", word).withColumn("_w", F.expr(f"CASE WHEN octet_length(_w) = length(_w) THEN lower(_w) ELSE {full} END"))
+    out = out.withColumn("_w", F.expr(f"CASE WHEN contains(_w, 'h') THEN {replaced('_w', h)} ELSE _w END")).withColumn("_w", F.expr(replaced("_w", rest)))
+    return out.withColumn(name, F.expr("CASE WHEN _w RLIKE '([a-z])\\\\1' THEN regexp_replace(_w, '([a-z])\\\\1+', '$1') ELSE _w END")).drop("_w")
+
+
 def sentence_initial() -> Column:
     """Of a token with its gap: whether it opens a sentence."""
     g = F.expr(f"trim(TRAILING {quoted(OPENERS)} FROM gap)")
     return F.when(g == "", F.col("pos") == 0).otherwise(F.right(g, F.lit(1)).isin(*ENDERS))
 
 
-def identifiers(tokens_: DataFrame) -> DataFrame:
-    """Adds `ident`: whether the run without white space that a token is in has a mark of an identifier, edges cut."""
-    order = Window.partitionBy(*DOC).orderBy("pos")
-    marks = lambda x: F.translate(x, IDENTIFIER_MARKS + ".", "") != x
-    opens, shuts = (F.col("pos") == 0) | F.col("gap").rlike(SPACE), F.col("after").rlike(SPACE)
-    before = F.expr(f"trim(LEADING {quoted(EDGES)} FROM regexp_extract(gap, '{NO_SPACE}*\\\\z', 0))")
-    behind = F.expr(f"trim(TRAILING {quoted(EDGES)} FROM regexp_extract(after, '^{NO_SPACE}*', 0))")
-    last = F.lead("pos").over(order).isNull()
-    own = F.when(opens, marks(before)).otherwise(marks(F.col("gap"))) | F.when(shuts | last, marks(behind)).otherwise(F.lit(False))
-    run = tokens_.withColumn("own", own).withColumn("run", F.sum(opens.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return run.withColumn("ident", F.max("own").over(Window.partitionBy(*DOC, "run"))).drop("own", "run", "after")
-
-
 def register(spark: SparkSession) -> None:
     """Temporary SQL functions of the same names."""
     for name, args, body in (

@@ -2,7 +2,8 @@
 
 docs([user_id,] doc_id, text); terms([user_id,] term, preferred, kind, note, trust); misspellings([user_id,] term,
 misspelling, seen, vetoes, guard). A document meets the memory of its user; without a user_id column all share one.
-Windows of tokens meet the memory's keys in an equi-join; single tokens without such a match meet them one edit away, by
+Windows of tokens meet the memory's keys in an equi-join (those of several tokens only from where a key of the user's
+begins); single tokens without such a match meet them one edit away, by
 an equi-join of distinct words on all ways of leaving out one letter and a check; pairs of tokens meet them as one word.
 Spans are settled longest first within each document, then each one gets a decision. A verdicts table ([user_id,] doc_id,
 start, apply, preferred, reason) stands in for a judge. The memory's side of a join is broadcast by the planner only if it
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.lexicon import COMMON, GLUE, listed
 from ..functions.text import DOC
+from ..sources.shared import kept
 from .rules import ACTIVE, FUZZY_LENGTH
 
 
@@ -39,66 +41,103 @@ def shortened(k: str) -> str:
     return f"array_distinct(array_append(transform(sequence(1, length({k})), i -> concat(substring({k}, 1, i - 1), substring({k}, i + 1))), {k}))"
 
 
-def word_matches(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """(user_id, key, match, names): what memory has for a key; "key" for its own keys, "fuzzy" for the keys of words that
-    are one edit from one of them. Each distinct word is looked at once."""
-    words = T.owned(docs).select("user_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(T.TOKEN), F.lit(0)))).alias("word")).distinct()
-    lone = words.select("user_id", F.expr(T.key("word")).alias("key")).where(f"length(key) >= {FUZZY_LENGTH}").distinct().join(keys.select("user_id", "key").distinct(), ["user_id", "key"], "left_anti")
-    near = keys.where("key NOT LIKE '% %'").select("user_id", F.col("key").alias("k"), "term", F.explode(F.expr(shortened("key"))).alias("cut"))
-    fuzzy = lone.withColumn("cut", F.explode(F.expr(shortened("key")))).join(near, ["user_id", "cut"]).where(T.near("key", "k"))
+def with_cuts(rows: DataFrame, k: str) -> DataFrame:
+    """A row for each `shortened` of a key, as `cut`."""
+    return rows.withColumn("_i", F.explode(F.expr(f"sequence(0, length({k}))"))).withColumn("cut", F.expr(f"CASE WHEN _i = 0 THEN {k} ELSE concat(substring({k}, 1, _i - 1), substring({k}, _i + 1)) END")).drop("_i")
+
+
+def word_matches(docs: DataFrame, terms: DataFrame, misspellings: DataFrame) -> DataFrame:
+    """(user_id, key, match, names, spelled, reach): terms that memory has for a key, and how they are spelled; "key" for its own
+    keys, "fuzzy" for the keys of words that are one edit from one of them. Each distinct word is looked at once."""
+    keys = term_keys(terms, misspellings)
+    words = T.dealt(docs).select("user_id", F.explode(F.regexp_extract_all("text", F.lit(T.TOKEN), F.lit(0))).alias("word")).distinct()
+    lone = T.keyed(words, F.col("word")).select("user_id", "key").where(f"length(key) >= {FUZZY_LENGTH}").distinct().join(keys.select("user_id", "key").distinct(), ["user_id", "key"], "left_anti")
+    near = with_cuts(keys.where("key NOT LIKE '% %'").withColumnRenamed("key", "k"), "k")
+    fuzzy = with_cuts(lone, "key").join(near, ["user_id", "cut"]).select("user_id", "key", "k", "term").distinct().where(T.near("key", "k"))
     every = keys.select("user_id", "key", F.lit("key").alias("match"), "term").union(fuzzy.select("user_id", "key", F.lit("fuzzy"), "term"))
-    return every.groupBy("user_id", "key", "match").agg(F.array_sort(F.collect_set("term")).alias("names"))
+    found = every.join(of_user(terms).select("user_id", "term", "preferred"), ["user_id", "term"]).groupBy("user_id", "key", "match").agg(F.array_sort(F.collect_set("term")).alias("names"), F.collect_set("preferred").alias("spelled"))
+    return found.join(longest_terms(terms), "user_id")
+
+
+def longest_terms(terms: DataFrame) -> DataFrame:
+    """(user_id, reach): how many words the longest term of each user has, and a run of tokens may have."""
+    return of_user(terms).groupBy("user_id").agg(F.max(F.size(F.split("preferred", " "))).alias("reach"))
 
 
 def marked_tokens(docs: DataFrame, words: frozenset[str] = COMMON) -> DataFrame:
     """Tokens with their key and what their neighbourhood says: capitalised phrases and identifiers."""
-    order = Window.partitionBy(*DOC).orderBy("pos")
-    t = T.identifiers(T.tokens(docs)).withColumn("key", F.expr(T.key("word"))).withColumn("common", F.expr(T.common("word", listed(words)))).withColumn("opens", T.sentence_initial())
+    t = T.keyed(T.tokens(docs, identifiers=True), F.col("word")).withColumn("common", F.expr(T.common("word", listed(words)))).withColumn("opens", T.sentence_initial())
     upper = (F.left("word", F.lit(1)) != F.lower(F.left("word", F.lit(1)))) & F.col("word").rlike("^[^0-9]")
     seen = F.when(~F.col("word").rlike("^[0-9]+$") & (F.lower("word") != "s"), F.struct(upper.alias("upper"), "opens"))
-    # read backwards: a frame that ends at the last row is computed anew for each row, in the square of a document
-    back = Window.partitionBy(*DOC).orderBy(F.desc("pos"))
-    after = F.last(seen, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1))
-    before = F.last(seen, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    phrase = F.coalesce(F.lead("word").over(order).rlike("^[0-9]+$"), F.lit(False)) | F.coalesce(after["upper"], F.lit(False)) | F.coalesce(before["upper"] & ~before["opens"], F.lit(False))
-    return t.withColumn("in_phrase", phrase)
+    beside = "(PARTITION BY " + ", ".join(T.ROW) + " ORDER BY pos)"
+    t = t.withColumn("seen", seen).withColumn("after", F.expr(f"lead(seen, 1) IGNORE NULLS OVER {beside}")).withColumn("before", F.expr(f"lag(seen, 1) IGNORE NULLS OVER {beside}"))
+    number = F.coalesce(F.lead("word").over(T.in_text()).rlike("^[0-9]+$"), F.lit(False))
+    phrase = number | F.coalesce(F.col("after.upper"), F.lit(False)) | F.coalesce(F.col("before.upper") & ~F.col("before.opens"), F.lit(False))
+    return t.withColumn("in_phrase", phrase).drop("seen", "after", "before")
+
+
+#: Words of a run that are read off beside each token; longer runs are looked for only where one may begin.
+INLINE = 3
 
 
 def windows(tokens: DataFrame, longest: int) -> DataFrame:
     """Runs of 1 to `longest` tokens with one space between neighbours: start, end, n, key, text, all_common, and as
     match "key"; two such neighbours read as one word have the match "join"."""
-    order = Window.partitionBy(*DOC).orderBy("pos")
     step = tokens
     for i in range(1, max(longest, 2)):
-        step = step.withColumn(f"_{i}", F.lead(F.struct("gap", "word", "key", "end", "common", "ident"), i).over(order))
-    kinds = []
+        step = step.withColumn(f"_{i}", F.lead(F.struct("gap", "word", "key", "end", "common", "ident"), i).over(T.in_text()))
+    near = lambda r: F.coalesce(r["gap"] == " ", F.lit(False)) & ~r["ident"]
+    two = ~F.col("ident") & near(F.col("_1")) & ~(F.lower("word").isin("a", "an", "the") & F.col("_1.common"))
+    step = T.keyed(step, F.when(two, F.concat("word", "_1.word")), "both")
+    kinds, run, whole = [], [F.struct("gap", "word", "key", "end", "common", "ident")], ~F.col("ident")
     for n in range(1, longest + 1):
-        rest = [F.col(f"_{i}") for i in range(1, n)]
-        whole: Column = F.lit(True)
-        for r in rest:
-            whole = whole & F.coalesce(r["gap"] == " ", F.lit(False))
-        keys = F.array_join(F.filter(F.array(F.col("key"), *(r["key"] for r in rest)), lambda k: k != ""), " ") if rest else F.col("key")
-        common, clean = F.col("common"), ~F.col("ident")
-        for r in rest:
-            common, clean = common & r["common"], clean & ~r["ident"]
-        kinds.append(F.when(whole & clean & (keys != ""), F.struct(F.lit("key").alias("match"), F.lit(n).alias("n"), (rest[-1]["end"] if rest else F.col("end")).alias("end"), keys.alias("key"), F.concat_ws(" ", "word", *(r["word"] for r in rest)).alias("text"), common.alias("all_common"))))
-    after = F.col("_1")
-    two = F.coalesce(after["gap"] == " ", F.lit(False)) & ~F.col("ident") & ~after["ident"] & ~(F.lower("word").isin("a", "an", "the") & after["common"])
-    kinds.append(F.when(two, F.struct(F.lit("join").alias("match"), F.lit(2).alias("n"), after["end"].alias("end"), F.expr(T.key("concat(word, _1.word)")).alias("key"), F.concat("word", F.lit(" "), after["word"]).alias("text"), (F.col("common") & after["common"]).alias("all_common"))))
+        if n > 1:
+            run.append(F.col(f"_{n - 1}"))
+            whole = whole & near(run[-1])
+        keys = F.array_join(F.filter(F.array(*(r["key"] for r in run)), lambda k: k != ""), " ") if n > 1 else F.col("key")
+        common = F.col("common") if n == 1 else F.forall(F.array(*(r["common"] for r in run)), lambda c: c)
+        kinds.append(F.when(whole & (keys != ""), F.struct(F.lit("key").alias("match"), F.lit(n).alias("n"), run[-1]["end"].alias("end"), keys.alias("key"), F.concat_ws(" ", *(r["word"] for r in run)).alias("text"), common.alias("all_common"))))
+    kinds.append(F.when(two & (F.col("both") != ""), F.struct(F.lit("join").alias("match"), F.lit(2).alias("n"), F.col("_1.end").alias("end"), F.col("both").alias("key"), F.concat("word", F.lit(" "), "_1.word").alias("text"), (F.col("common") & F.col("_1.common")).alias("all_common"))))
     return step.select(*DOC, "start", "in_phrase", F.explode(F.filter(F.array(*kinds), lambda k: k.isNotNull())).alias("w")).select(*DOC, "start", "in_phrase", "w.*")
 
 
+def long_runs(tokens: DataFrame, begun: DataFrame) -> DataFrame:
+    """Runs of more than INLINE tokens, as `windows` has them, for users with terms of so many words: from a token where a
+    key of the user's begins (or one without a key, which may begin any), the tokens from there on meet it by their places.
+    So a long term costs rows where it may begin, and nothing in the texts of other users."""
+    place = [c for c in T.ROW if c != "user_id"]
+    may = tokens.where("NOT ident").select("user_id", *place, "pos", "key")
+    heads = may.join(begun, F.expr("user_id = of_user AND key = first")).select(*T.ROW, F.col("pos").alias("head"), "reach")
+    wanted = heads.withColumn("pos", F.explode(F.expr("sequence(head, head + reach - 1)")))
+    run = wanted.join(tokens, [*T.ROW, "pos"])
+    order = Window.partitionBy(*T.ROW, "head").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    whole = F.min((F.col("pos") == F.col("head")) | ((F.col("gap") == " ") & ~F.col("ident"))).over(order)
+    grown = run.select(
+        *DOC, F.first("start").over(order).alias("start"), F.first("in_phrase").over(order).alias("in_phrase"), F.lit("key").alias("match"), (F.col("pos") - F.col("head") + 1).alias("n"), "end",
+        F.array_join(F.filter(F.collect_list("key").over(order), lambda k: k != ""), " ").alias("key"), F.array_join(F.collect_list("word").over(order), " ").alias("text"), F.min("common").over(order).alias("all_common"), whole.alias("whole"))
+    return grown.where(F.col("whole") & (F.col("n") > INLINE) & (F.col("key") != "")).drop("whole")
+
+
+def beginnings(terms: DataFrame, misspellings: DataFrame) -> DataFrame:
+    """(of_user, first, reach) of users whose longest term has more than INLINE words: first words of their keys, and the
+    empty one, with the words of that term."""
+    longest = longest_terms(terms).where(F.col("reach") > INLINE)
+    keys = term_keys(terms, misspellings).where("key LIKE '% %'").select("user_id", F.explode(F.array(F.substring_index("key", " ", 1), F.lit(""))).alias("first")).distinct()
+    return keys.join(longest, "user_id").select(F.col("user_id").alias("of_user"), "first", "reach")
+
+
 def candidates(docs: DataFrame, terms: DataFrame, misspellings: DataFrame, words: frozenset[str] = COMMON) -> DataFrame:
     """Settled spans: user_id, doc, version, start, end, text, match, all_common, in_phrase, terms (array of names)."""
+    known = word_matches(docs, terms, misspellings).withColumnRenamed("match", "how")
     longest = terms.agg(F.max(F.size(F.split("preferred", " ")))).first()[0] or 1
-    known = word_matches(docs, term_keys(terms, misspellings)).withColumnRenamed("match", "how")
-    w = windows(marked_tokens(docs, words), longest)
-    found = w.join(known, ["user_id", "key"]).where("how = 'key' OR (match = 'key' AND n = 1)")
+    tokens = marked_tokens(docs, words)
+    w = windows(tokens, min(longest, INLINE))
+    if longest > INLINE:
+        w = w.unionByName(long_runs(tokens, beginnings(terms, misspellings)))
+    found = w.join(known, ["user_id", "key"]).where("(how = 'key' OR (match = 'key' AND n = 1)) AND (match = 'join' OR n <= reach)")
     found = found.withColumn("match", F.when(F.col("how") == "fuzzy", "fuzzy").otherwise(F.col("match")))
-    spelled = of_user(terms).groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "preferred"))).alias("spelled"))
-    said = F.exists("names", lambda n: F.element_at("spelled", n) == F.col("text"))
-    found = found.join(spelled, "user_id").select(*DOC, "start", "end", "text", "match", "all_common", "in_phrase", F.col("names").alias("terms"), said.alias("said"))
-    return settled(found)
+    said = F.array_contains("spelled", F.col("text"))
+    return settled(found.select(*DOC, "start", "end", "text", "match", "all_common", "in_phrase", F.col("names").alias("terms"), said.alias("said")))
 
 
 def settled(found: DataFrame) -> DataFrame:
@@ -110,7 +149,8 @@ def settled(found: DataFrame) -> DataFrame:
     spans = spans.withColumn("cluster", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     rank = F.when(F.col("match") == "join", 1).otherwise(0)
     item = F.struct((F.col("start") - F.col("end")).alias("o"), "start", rank.alias("rank"), "end", "text", "match", "all_common", "in_phrase", "terms", "said")
-    lists = spans.groupBy(*DOC, "cluster").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    # repeated rows have the same spans: they count once
+    lists = spans.groupBy(*DOC, "cluster").agg(F.array_sort(F.collect_set(item)).alias("items"))
     free = lambda taken, s: ~F.exists(taken, lambda t: (t["start"] < s["end"]) & (s["start"] < t["end"]))
     taken = F.aggregate("items", F.slice("items", 1, 0), lambda a, s: F.when(free(a, s), F.array_append(a, s)).otherwise(a))
     kept = lists.select(*DOC, F.explode(taken).alias("s")).where("NOT s.said")
@@ -133,7 +173,7 @@ def decisions(docs: DataFrame, terms: DataFrame, misspellings: DataFrame, verdic
     each = each.join(spelled, ["user_id", "term", "name"], "left")
     # only texts with a guarded span need their words
     wary = each.where("vetoes > 0 AND size(guard) > 0").select(*DOC).distinct()
-    context = context_words(T.owned(docs).join(wary, list(DOC), "left_semi")).drop("doc_id").dropDuplicates(list(DOC))
+    context = context_words(T.dealt(docs).join(wary.hint("shuffle_hash"), list(DOC), "left_semi")).drop("doc_id").dropDuplicates(list(DOC))
     each = each.join(context, list(DOC), "left").withColumn("context", F.coalesce("context", F.expr("CAST(array() AS array<string>)")))
     trusted = F.col("trust") >= ACTIVE
     held = F.when(trusted & (F.coalesce("vetoes", F.lit(0)) > 0), F.when(F.size("guard") == 0, "skipped:vetoed").when(F.arrays_overlap("guard", "context"), "skipped:guarded"))
@@ -176,7 +216,8 @@ def spliced(docs: DataFrame, decided: DataFrame) -> DataFrame:
     """
     entry = F.struct("start", "end", "text", "match", "decision", "applied", "reason")
     spans = decided.groupBy(*DOC).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("decision") == "applied", F.struct("start", "end", "applied")))).alias("cuts"), F.array_sort(F.collect_list(entry)).alias("candidates"))
-    both = T.owned(docs).join(spans, list(DOC), "left")
+    # texts stream past the spans of their part, so they need no order
+    both = T.dealt(docs).join(spans.hint("shuffle_hash"), list(DOC), "left")
     out = F.when(F.col("n").isNull(), F.col("text")).otherwise(rebuilt(F.col("text"), F.col("cuts")))
     return both.select("user_id", "doc_id", "text", out.alias("output"), F.coalesce("n", F.lit(0)).alias("n_candidates"), F.when(F.col("n").isNull(), "no-candidates").otherwise("").alias("reason"), "candidates")
 
@@ -208,18 +249,16 @@ def traces(result: DataFrame) -> DataFrame:
 
 
 def elsewhere(spans: DataFrame, docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """Spans with `elsewhere`: the first term of each that the text has as it is preferred, outside the span."""
-    order = Window.partitionBy(*DOC).orderBy("pos")
+    """Spans with `elsewhere`: the first term of each that the text has as it is preferred, outside the span. Only texts
+    with a span are cut, and only words that begin such a term are looked at further."""
     wanted = of_user(terms).select("user_id", "term", "preferred", F.regexp_extract_all("preferred", F.lit(T.TOKEN), F.lit(0)).alias("seq")).where("size(seq) > 0")
-    longest = wanted.agg(F.max(F.size("seq"))).first()[0] or 1
-    run = T.tokens(docs)
-    step = [F.lead(F.struct("word", "end"), i).over(order) for i in range(1, longest)]
-    run = run.select(*DOC, "start", F.array(F.struct("word", "end"), *step).alias("run"))
-    place = run.select(*DOC, F.col("start").alias("at"), F.explode(F.transform("run", lambda r, i: F.struct(F.transform(F.slice("run", 1, i + 1), lambda x: x["word"]).alias("seq"), r["end"].alias("until")))).alias("r")).select(*DOC, "at", "r.seq", "r.until").where("until IS NOT NULL")
-    said = place.join(wanted, ["user_id", "seq"]).select(*DOC, "at", "until", "term", "preferred")
-    each = spans.select(*DOC, "start", "end", F.explode("terms").alias("term"))
-    hits = each.join(said, [*DOC, "term"]).where("until <= start OR at >= end").groupBy(*DOC, "start").agg(F.min(F.struct("term", "preferred"))["preferred"].alias("elsewhere"))
-    return spans.join(hits, [*DOC, "start"], "left")
+    each = spans.select(*DOC, "start", "end", F.explode("terms").alias("term")).join(wanted, ["user_id", "term"])
+    asked = each.select(*DOC, "term", "preferred", "seq", F.explode(F.transform("seq", lambda w, i: F.struct(i.alias("i"), w.alias("word")))).alias("x")).distinct()
+    run = T.tokens(docs, only=spans).select(*T.ROW, "pos", "word", F.col("start").alias("at"), F.col("end").alias("until"))
+    hit = asked.select(*DOC, "term", "preferred", F.size("seq").alias("n"), "x.i", "x.word").join(run, [*DOC, "word"])
+    place = hit.groupBy(*T.ROW, "term", "preferred", "n", (F.col("pos") - F.col("i")).alias("head")).agg(F.count("*").alias("m"), F.min("at").alias("at"), F.max("until").alias("until")).where("m = n")
+    hits = each.select(*DOC, "start", "end", "term").join(place.select(*DOC, "term", "preferred", "at", "until"), [*DOC, "term"]).where("until <= start OR at >= end")
+    return spans.join(hits.groupBy(*DOC, "start").agg(F.min(F.struct("term", "preferred"))["preferred"].alias("elsewhere")), [*DOC, "start"], "left")
 
 
 JOIN_HINT = "two words that sound like one term together"
@@ -228,11 +267,12 @@ JOIN_HINT = "two words that sound like one term together"
 def judge_requests(docs: DataFrame, decided: DataFrame, terms: DataFrame) -> DataFrame:
     """One request for each document with pending spans: user_id, doc_id, version, sentence, and items (start, text,
     options with their kind and note, hint) in the order of the text."""
-    pending = elsewhere(decided.where("pending"), docs, terms.where(F.col("trust") >= ACTIVE))
+    # the decisions are read several times, and few
+    pending = elsewhere(kept(decided.where("pending")), docs, terms.where(F.col("trust") >= ACTIVE))
     hint = F.array_join(F.filter(F.array(F.when(F.col("elsewhere").isNotNull(), F.concat(F.lit("the text also has "), F.col("elsewhere"), F.lit(" as it is spelled"))), F.when(F.col("match") == "join", F.lit(JOIN_HINT))), lambda h: h.isNotNull()), "; ")
     about = of_user(terms).where(F.col("trust") >= ACTIVE).select("user_id", "term", "preferred", F.coalesce("kind", F.lit("term")).alias("kind"), F.coalesce("note", F.lit("")).alias("note"))
     options = pending.select(*DOC, "start", F.explode("terms").alias("term")).join(about, ["user_id", "term"]).groupBy(*DOC, "start").agg(F.array_sort(F.collect_list(F.struct("preferred", "kind", "note"))).alias("options"))
     item = F.struct("start", "text", "options", hint.alias("hint"))
     asked = pending.drop("options").join(options, [*DOC, "start"]).groupBy(*DOC).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    own = T.owned(docs).join(asked.select(*DOC), list(DOC), "left_semi").dropDuplicates(list(DOC))
+    own = T.dealt(docs).join(asked.select(*DOC).hint("shuffle_hash"), list(DOC), "left_semi").dropDuplicates(list(DOC))
     return asked.join(own, list(DOC)).select("user_id", "doc_id", "version", F.col("text").alias("sentence"), "items")
