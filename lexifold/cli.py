@@ -7,6 +7,7 @@ import json
 import sys
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from .operators import memory
 from .operators.engine import Engine
@@ -52,7 +53,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     elif a.command == "observe":
         show(engine.observe(a.user, a.formatted, a.final, a.asr, a.presented))
     elif a.command == "memory":
-        for r in memory.public(engine.terms()).where(f"user_id = '{a.user}'").collect():
+        for r in memory.public(engine.terms()).where(F.col("user_id") == a.user).collect():
             show(r.asDict())
     elif a.command == "why":
         for r in engine.traces().orderBy("trace_id", ascending=False).limit(a.n).collect():
