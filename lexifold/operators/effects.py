@@ -13,6 +13,7 @@ An empty log has no effects; repeated events each count; columns of the log othe
 from __future__ import annotations
 
 import json
+
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -47,7 +48,7 @@ def effects(events: DataFrame, words: frozenset[str] = COMMON) -> DataFrame:
             for of, seq, ts, kind, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if of != user:
                     user, memory = of, Memory(words)
-                report = memory.apply(kind, json.loads(payload), str(ts))
+                report = memory.apply(kind, payload, str(ts))
                 out += effect_rows(user, seq, ts, memory.effects, report)
             columns = zip(*out, strict=True) if out else [[]] * len(_ARROW)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _ARROW.types, strict=True)], schema=_ARROW)

@@ -1,8 +1,8 @@
 """Folding an event log into a memory: events(user_id, seq, ts, type, payload JSON) to terms, misspellings, retired, reports.
 
 The fold is one grouped pass over the log by user, in the order of seq, as each observation is scored against what the
-earlier ones left; what can be told without order, or composes, is DataFrame operations. A payload that isn't valid or an
-unknown type fails the job, and so nothing is written.
+earlier ones left; what can be told without order, or composes, is DataFrame operations. Payloads are read and checked by
+Spark before the fold (sources.log.typed): one that isn't valid or an unknown type fails the job, and so nothing is written.
 """
 
 from __future__ import annotations
@@ -11,11 +11,14 @@ import json
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import text as T
 from ..functions.lexicon import COMMON
+from ..sources.log import as_logged, plain, typed
 from .kernel import Memory, Spelling, Term
 from .rules import ACTIVE, GUARD_WORDS, check_term, fold_name, phrase_key
 
@@ -56,11 +59,12 @@ def remembered(state: Iterable[dict], common: frozenset[str] = COMMON) -> Memory
 
 def played(memory: Memory, log: pd.DataFrame) -> Iterator[tuple[int, dict]]:
     for e in log.sort_values("seq").itertuples():
-        yield e.seq, memory.apply(e.type, json.loads(e.payload), str(e.ts))
+        yield e.seq, memory.apply(e.type, plain(e.payload), str(e.ts))
 
 
-def keyed(events: DataFrame) -> DataFrame:
-    return events.select(F.coalesce(F.col("user_id").cast("string"), F.lit("")).alias("user_id"), "seq", F.col("ts").cast("string"), "type", "payload")
+def keyed(events: DataFrame, others: tuple[str, ...] = ()) -> DataFrame:
+    """Events by a user_id that isn't null, with their payload as a struct; of `others`, types that are no events, too."""
+    return events.select(F.coalesce(F.col("user_id").cast("string"), F.lit("")).alias("user_id"), "seq", F.col("ts").cast("string"), "type", typed(others=others).alias("payload"))
 
 
 def replay(events: DataFrame, words: frozenset[str] = COMMON) -> DataFrame:
@@ -83,11 +87,11 @@ def snapshots(events: DataFrame, words: frozenset[str] = COMMON) -> DataFrame:
             if e.type == "look":
                 out.append(rows(user, memory, mark=e.seq))
                 continue
-            payload, refused = memory.admit(e.type, json.loads(e.payload))
+            payload, refused = memory.admit(e.type, plain(e.payload))
             reports.append((e.seq, refused if refused is not None else memory.apply(e.type, payload, str(e.ts))))
         return pd.concat([*out, rows(user, Memory(words), reports)])
 
-    return keyed(events).groupBy("user_id").applyInPandas(fold, STATE)
+    return keyed(events, ("look",)).groupBy("user_id").applyInPandas(fold, STATE)
 
 
 def fold_onto(state: DataFrame, events: DataFrame, words: frozenset[str] = COMMON) -> DataFrame:
@@ -99,10 +103,10 @@ def fold_onto(state: DataFrame, events: DataFrame, words: frozenset[str] = COMMO
             return pd.DataFrame(columns=COLUMNS)
         memory, said = remembered(before.to_dict("records"), words), {"report": [], "refused": [], "logged": []}
         for e in log.sort_values("seq").itertuples():
-            payload, refusal = memory.admit(e.type, json.loads(e.payload))
+            payload, refusal = memory.admit(e.type, plain(e.payload))
             if refusal is None:
                 said["report"].append((e.seq, memory.apply(e.type, payload, str(e.ts))))
-                said["logged"].append((e.seq, payload))
+                said["logged"].append((e.seq, as_logged(e.type, payload)))
             else:
                 said["refused"].append((e.seq, refusal))
         user = str(log["user_id"].iloc[0])
@@ -124,9 +128,16 @@ def lookup(terms_: DataFrame, user: str, preferred: str) -> DataFrame:
     return terms_.where((F.col("user_id") == user) & (F.col("term") == fold_name(preferred)))
 
 
+@F.arrow_udf(StringType())
+def folded_name(name: pa.Array) -> pa.Array:
+    """rules.fold_name of a column: composed (NFC), then case-folded, of all of Unicode; Spark has no function for either."""
+    return pa.array([None if x is None else fold_name(x) for x in name.to_pylist()], pa.string())
+
+
 def found(names: DataFrame, terms_: DataFrame) -> DataFrame:
-    """Names (user_id, name, ...) with the terms of their users that have the same folded name; null where there's none."""
-    return names.withColumn("term", F.expr(T.casefold("name"))).join(terms_.select("user_id", "term", "preferred"), ["user_id", "term"], "left")
+    """Names (user_id, name, ...) with the terms of their users that have the same folded name, however their accents are
+    written; null where there's none, as for a name that is null."""
+    return names.withColumn("term", folded_name("name")).join(terms_.select("user_id", "term", "preferred"), ["user_id", "term"], "left")
 
 
 def first_by_key(terms_: DataFrame) -> DataFrame:

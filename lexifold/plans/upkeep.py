@@ -26,6 +26,23 @@ def term_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memory.found(names, part_terms(spark, sf_dir)).select("p_partkey", "name", "preferred")
 
 
+#: Letters that have an accent in the terms of `composed_lookup`.
+BARE, ACCENTED, ACCENTS = "aeo", "áéö", "\u0301\u0301\u0308"
+
+
+def composed_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names in capitals whose accents are characters of their own, some without them, looked up among terms written with
+    letters that have them."""
+    p = table(spark, sf_dir, "part")
+    name = F.upper("p_name")
+    for a, accent in zip(BARE.upper(), ACCENTS, strict=True):
+        name = F.when(F.col("p_partkey") % 3 == 0, name).otherwise(F.replace(name, F.lit(a), F.lit(a + accent)))
+    preferred = F.translate("p_name", BARE, ACCENTED)
+    known = p.select(F.lit("").alias("user_id"), preferred.alias("preferred")).distinct().withColumn("term", memory.folded_name("preferred"))
+    names = p.select(F.lit("").alias("user_id"), "p_partkey", name.alias("name"))
+    return memory.found(names, known).select("p_partkey", "name", "preferred")
+
+
 def key_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memory.first_by_key(part_terms(spark, sf_dir)).select("key", "preferred")
 
@@ -188,9 +205,12 @@ def grown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memory.growth(count(e.where("event_id < 300")), count(e))
 
 
-QUERIES = {f.__name__: f for f in (term_lookup, key_owner, hydrated_terms, cascaded, retired_left, guards, checked_names, logged_observations, refused_deletes, spaced_text, observation_pairs, applied_places, headings, proper_edits, numbered_events, undone_text, rendered_prompts, parsed_verdicts, judge_costs, intervention_kinds, grown)}
+QUERIES = {f.__name__: f for f in (term_lookup, composed_lookup, key_owner, hydrated_terms, cascaded, retired_left, guards, checked_names, logged_observations, refused_deletes, spaced_text, observation_pairs, applied_places, headings, proper_edits, numbered_events, undone_text, rendered_prompts, parsed_verdicts, judge_costs, intervention_kinds, grown)}
 
 _NAMES = f"(SELECT DISTINCT p_name AS preferred, {T.casefold('p_name')} AS term, {T.phrase_key('p_name', 'duckdb')} AS key FROM part)"
+_APART = "upper(p_name)"
+for _a, _accent in zip(BARE.upper(), ACCENTS, strict=True):
+    _APART = f"replace({_APART}, '{_a}', '{_a}{_accent}')"
 _CHILDREN = "(SELECT CAST(user_id AS VARCHAR) AS user_id, event_type AS term, 'm' || event_id % 7 AS misspelling, count(*) AS seen, count(*) FILTER (WHERE event_id % 5 = 0) AS vetoes FROM events GROUP BY ALL)"
 _EVENTS = "(SELECT CAST(user_id AS VARCHAR) AS user_id, event_type, event_id, 't' || event_id % 40 AS term, 'k' || event_id % 15 AS key FROM events)"
 _WHY = [T.quoted(why, "duckdb") for why, _ in REFUSALS]
@@ -212,6 +232,7 @@ ORACLES = {
     "headings": f"SELECT id, heading FROM {_HEADINGS}",
     "proper_edits": f"SELECT id, count(*) AS n, count(*) FILTER (WHERE capital AND NOT opens AND NOT heading) AS n_proper FROM {_TOLD} JOIN {_HEADINGS} USING (id) WHERE lower(w) <> w GROUP BY id",
     "term_lookup": f"SELECT p_partkey, n AS name, t.preferred FROM (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN upper(p_name) || 'X' ELSE upper(p_name) END AS n FROM part) LEFT JOIN {_NAMES} t ON t.term = {T.casefold('n')}",
+    "composed_lookup": f"SELECT p_partkey, n AS name, t.preferred FROM (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN upper(p_name) ELSE {_APART} END AS n FROM part) LEFT JOIN (SELECT DISTINCT translate(p_name, '{BARE}', '{ACCENTED}') AS preferred FROM part) t ON lower(nfc_normalize(t.preferred)) = lower(nfc_normalize(n))",
     "key_owner": f"SELECT key, arg_min(preferred, term) AS preferred FROM {_NAMES} GROUP BY key",
     "hydrated_terms": f"SELECT e.user_id, e.term, string_agg(misspelling || ':' || seen || ':' || vetoes || ':' || c.term, ',' ORDER BY misspelling) AS spellings FROM (SELECT DISTINCT CAST(user_id AS VARCHAR) AS user_id, event_type AS term FROM events) e LEFT JOIN (SELECT * FROM {_CHILDREN} WHERE misspelling <> 'm0') c USING (user_id, term) GROUP BY ALL",
     "cascaded": f"SELECT user_id, term, misspelling, seen FROM {_CHILDREN} c WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.event_id % 11 = 0 AND CAST(e.user_id AS VARCHAR) = c.user_id AND e.event_type = c.term)",

@@ -4,10 +4,21 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .shared import kept
+
 EVENTS = "user_id string, seq long, ts timestamp, type string, payload string"
+# Fixed format: the fields of each type of event and the kinds of value that each may have; one that may be missing has None.
+TEXT, WHOLE = ("STRING", "VOID"), ("BIGINT",)
+FIELDS = {
+    "observation": {"formatted": TEXT, "final": TEXT, "presented": (*TEXT, None), "asr": (*TEXT, None)},
+    "add_term": {"preferred": TEXT, "kind": (*TEXT, None), "note": (*TEXT, None)},
+    "delete_term": {"preferred": TEXT},
+    "set_trust": {"preferred": TEXT, "trust": WHOLE},
+}
+PAYLOAD = {name: "long" if kinds is WHOLE else "string" for fields in FIELDS.values() for name, kinds in fields.items()}
 TRACES = "trace_id long, user_id string, ts timestamp, input string, output string, data string"
 
 
@@ -28,6 +39,39 @@ def numbered(new: DataFrame, last: DataFrame | None = None) -> DataFrame:
     return rows.select("user_id", "seq", "ts", "type", "payload")
 
 
+def typed(payload: str = "payload", type_: str = "type", others: tuple[str, ...] = ()) -> Column:
+    """The payload (JSON text) as a struct of PAYLOAD, null where its type has no such field.
+
+    The job fails at a payload that is no JSON object or null, lacks a field, has a value of another kind or a key twice,
+    and at a type other than those of FIELDS and `others`, which carry nothing; further fields are left out.
+    """
+    # by way of a variant each payload is parsed once, and a value keeps its kind
+    whole = F.parse_json(payload)
+    kind = lambda f: F.schema_of_variant(F.variant_get(whole, f"$.{f}", "variant"))
+    may = lambda f, kinds: F.coalesce(kind(f).isin(*filter(None, kinds)), F.lit(None in kinds))
+    fine = F.lit(False)
+    for name, fields in FIELDS.items():
+        fits = F.schema_of_variant(whole).startswith("OBJECT")
+        for f, kinds in fields.items():
+            fits = fits & may(f, kinds)
+        fine = F.when(F.col(type_) == name, fits).otherwise(fine)
+    fine = F.coalesce(fine | F.col(type_).isin(*others) if others else fine, F.lit(False))
+    has = lambda f: F.col(type_).isin(*(name for name, fields in FIELDS.items() if f in fields))
+    read = F.struct(*(F.when(has(f), F.variant_get(whole, f"$.{f}", of)).alias(f) for f, of in PAYLOAD.items()))
+    why = F.concat(F.lit("not a valid payload of an event "), F.coalesce(F.col(type_), F.lit("without a type")), F.lit(": "), F.coalesce(F.col(payload), F.lit("null")))
+    return F.when(fine, read).otherwise(F.raise_error(why))
+
+
+def plain(payload: dict) -> dict:
+    """A payload that came by way of pandas, which makes whole numbers beside nulls floats."""
+    return {f: (None if v is None or v != v else int(v)) if PAYLOAD[f] == "long" else v for f, v in payload.items()}
+
+
+def as_logged(kind: str, payload: dict) -> dict:
+    """A payload as `typed` gives it with the fields of its type; what may be missing and is null is left out."""
+    return {f: payload[f] for f, kinds in FIELDS[kind].items() if None not in kinds or payload[f] is not None}
+
+
 def append_events(new: DataFrame, path: str, last: DataFrame | None = None) -> None:
     """Appends new events to a log with one writer; operators/engine.py is for more."""
     numbered(new, last).write.mode("append").parquet(path)
@@ -74,8 +118,12 @@ def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
 
 def write_traces(traces: DataFrame, path: str, first: int = 1) -> None:
     """Appends traces (user_id, doc_id, input, output, data), numbered from `first` on in the order of user and document."""
-    order = traces.orderBy("user_id", "doc_id", "input").rdd.zipWithIndex().map(lambda x: (x[1] + first, x[0].user_id, x[0].input, x[0].output, x[0].data))
-    rows = traces.sparkSession.createDataFrame(order, "trace_id long, user_id string, input string, output string, data string")
+    names = ("user_id", "doc_id", "input", "output", "data")
+    # kept, as another run of the sort may cut its ranges elsewhere; there is one count for each range
+    placed = kept(traces.select(*names).orderBy("user_id", "doc_id", "input").withColumn("part", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
+    counts = placed.groupBy("part").agg(F.count("*").alias("n"))
+    before = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    rows = placed.join(before, "part").withColumn("trace_id", F.col("row") + F.col("before") + first)
     rows.withColumn("ts", F.date_trunc("second", F.current_timestamp())).select(*(c.split()[0] for c in TRACES.split(", "))).write.mode("append").parquet(path)
 
 

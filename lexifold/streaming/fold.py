@@ -13,7 +13,6 @@ that isn't valid fails the batch, and so nothing of it is kept. A stream without
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -24,9 +23,10 @@ from ..functions.lexicon import COMMON
 from ..operators.effects import EFFECTS, effect_rows
 from ..operators.kernel import Effect, Memory, Spelling, Term
 from ..operators.memory import STATE, keyed, rows
+from ..sources.log import PAYLOAD, plain
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_EVENT = "ts string, type string, payload string"
+_EVENT = "ts string, type string, " + ", ".join(f"{name} {kind}" for name, kind in PAYLOAD.items())
 _TERM = "preferred string, kind string, note string, trust int, source string, created string, updated string"
 #: What was done: seq, ts, effects and report of each event.
 Done = list[tuple[int, str, list[Effect], dict]]
@@ -99,8 +99,8 @@ class Fold(StatefulProcessor):
             memory = self.remembered()
             before = set(memory.retired)
             for seq in ready:
-                ts, kind, payload = held[seq]
-                report = memory.apply(kind, json.loads(payload), ts)
+                ts, kind, *payload = held[seq]
+                report = memory.apply(kind, dict(zip(PAYLOAD, payload, strict=True)), ts)
                 done.append((seq, ts, memory.effects, report))
                 self.waiting.removeKey((seq,))
             self.keep(memory, done, before)
@@ -113,7 +113,7 @@ class Fold(StatefulProcessor):
         for batch in rows:
             for e in batch.itertuples():
                 if e.seq > last:
-                    self.waiting.updateValue((int(e.seq),), (e.ts, e.type, e.payload))
+                    self.waiting.updateValue((int(e.seq),), (e.ts, e.type, *plain(e.payload).values()))
                 elif self.skipped.exists() and any(first <= e.seq <= until for (first,), (until,) in self.skipped.iterator()):
                     late.append(int(e.seq))
         if (out := self.go_on(key[0], False, late)) is not None:
