@@ -64,9 +64,21 @@ def characters(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     full[np.arange(points.size) + row + 1] = _letters()[points]
     keep = np.ones(full.size, bool)
     keep[1:] = (full[1:] != 0) | (full[:-1] != 0)
-    edges = at + np.arange(len(at))  # the boundary before each row; the last one ends the table
-    keep[edges] = True
-    return full[keep], (np.cumsum(keep) - 1)[edges]
+    edges = np.zeros(full.size, bool)
+    edges[at + np.arange(len(at))] = True  # the boundary before each row; the last one ends the table
+    keep |= edges
+    full, edges = full[keep], edges[keep]
+    keep = np.ones(full.size, bool)
+    keep[:-1] = (full[:-1] != 0) | edges[:-1] | ~edges[1:]  # a run at the end of a row is that row's last boundary
+    return full[keep], np.flatnonzero(edges[keep])
+
+
+def windows(chars: np.ndarray, edges: np.ndarray) -> Iterator[np.ndarray]:
+    """Column by column the ORDER characters up to each one after the first; before its row there are only boundaries."""
+    first, at = np.repeat(edges[:-1], np.diff(edges)), np.arange(1, chars.size)
+    for back in range(ORDER - 1, 0, -1):
+        yield np.where(at - back >= first, chars[np.maximum(at - back, 0)], 0)
+    yield chars[1:]
 
 
 def _hash(grams: np.ndarray) -> np.ndarray:
@@ -141,10 +153,9 @@ class Model:
         ids[1:] = 1
         ids[self.alphabet] = np.arange(2, len(self.alphabet) + 2)
         base = len(self.alphabet) + 2
-        x = np.concatenate([np.zeros(ORDER - 1, np.int64), ids[chars]])
-        code = np.zeros(chars.size, np.int64)
-        for j in range(ORDER):
-            code = code * base + x[j: j + chars.size]
+        code = np.zeros(chars.size - 1, np.int64)
+        for column in windows(ids[chars], edges):
+            code = code * base + column
         seen, at = np.unique(code, return_inverse=True)
         points = np.concatenate([[0, 1], self.alphabet.astype(np.int64)])
         grams = np.stack([points[(seen // base ** (ORDER - 1 - j)) % base] for j in range(ORDER)], 1)
@@ -152,7 +163,7 @@ class Model:
         length = np.maximum(np.diff(edges), 1)
         for k, m in enumerate(self.models):
             bits = m.log2(grams).astype(np.float32)[at]
-            out[:, k] = -np.add.reduceat(bits[1:].astype(float), edges[:-1]) / length  # each row begins after its boundary
+            out[:, k] = -np.add.reduceat(bits.astype(float), edges[:-1]) / length  # each row begins after its boundary
         return out, has
 
     def answer(self, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
@@ -170,11 +181,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in slices(whole, "text", CHUNK):
             for lang in batch.column("lang").unique():
-                chars, _ = characters(batch.filter(pa.compute.equal(batch.column("lang"), lang)).column("text"))
-                x = np.concatenate([np.zeros(ORDER - 1, np.uint32), chars[1:]]).astype(np.int32)
-                if len(x) < ORDER:
-                    continue
-                grams, n = np.unique(np.stack([x[j: len(x) - ORDER + 1 + j] for j in range(ORDER)], 1), axis=0, return_counts=True)
+                own = characters(batch.filter(pa.compute.equal(batch.column("lang"), lang)).column("text"))
+                grams, n = np.unique(np.stack([*windows(*own)], 1).astype(np.int32), axis=0, return_counts=True)
                 yield pa.RecordBatch.from_pydict({"lang": pa.array([lang.as_py()] * len(n), pa.string()), **{f"c{j}": grams[:, j] for j in range(ORDER)}, "n": n.astype(np.int64)})
 
 

@@ -1,4 +1,9 @@
+import zlib
+from collections import Counter, defaultdict
+from functools import cache
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lexifold.llm import language
@@ -73,6 +78,96 @@ def test_probabilities_sum_to_one():
         assert np.exp2(model.log2(after)).sum() == pytest.approx(1)
 
 
+def letters(text):
+    """The characters of a text by the definition: lowered letters, each run of anything else one boundary."""
+    out = ["|"]
+    for c in text or "":
+        if c.isalpha():
+            out.append(c.lower() if len(c.lower()) == 1 else c)
+        elif out[-1] != "|":
+            out.append("|")
+    return [*out, "|"] if out[-1] != "|" or len(out) == 1 else out
+
+
+def grams(texts, n):
+    found = Counter()
+    for t in texts:
+        x = ["|"] * (n - 2) + letters(t)  # a text begins after its boundary
+        found.update(tuple(x[i: i + n]) for i in range(len(x) - n + 1))
+    return found
+
+
+def plain_model(texts, alphabet):
+    """Interpolated Kneser-Ney by recursion over dictionaries, by its definition."""
+    levels = {language.ORDER: grams(texts, language.ORDER)}
+    for n in range(language.ORDER - 1, 0, -1):  # how many characters come before a gram
+        levels[n] = Counter(g[1:] for g in levels[n + 1])
+    discounts = {}
+    for n, found in levels.items():
+        once, twice = (sum(c == k for c in found.values()) for k in (1, 2))
+        discounts[n] = min(max(once / max(once + 2 * twice, 1), 0.1), 0.9)
+    followed = {n: defaultdict(list) for n in levels}
+    for n, found in levels.items():
+        for g, c in found.items():
+            followed[n][g[:-1]].append(c)
+
+    @cache
+    def p(g):
+        n = len(g)
+        if n == 0:
+            return 1 / (alphabet + 2)
+        own = followed[n].get(g[:-1])
+        if not own:
+            return p(g[1:])
+        d = discounts[n]
+        return max(levels[n][g] - d, 0) / sum(own) + d * len(own) / sum(own) * p(g[1:])
+
+    return p
+
+
+def test_against_brute_force(spark):
+    r = np.random.default_rng(7)
+    words = {"de": "Straße über größer nicht und der die Übung 3x ſo".split(), "el": "και το Σπίτι ΝΕΡΟ είναι δεν".split(), "en": "the House is warm, and it's not so İ it".split()}
+    rows = [(i, sep.join(r.choice(words[lang], int(r.integers(1, 30)))), lang) for i in range(240) for lang in [("de", "el", "en")[i % 3]] for sep in [(" ", " -- ", "\n")[i // 3 % 3]]]
+    rows += [(500, rows[0][1], "de"), (500, rows[0][1], "de"), (501, "", "en"), (502, None, "en"), (503, "12", "el")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(docs, 10**6)  # all but the share kept for the limit
+    draw = {x.doc_id: x.d for x in docs.selectExpr("doc_id", "pmod(xxhash64('language sample', doc_id), 1L << 31) AS d").collect()}
+    train = {lang: [t for i, t, own in rows if own == lang and t is not None and zlib.crc32(str(i).encode()) % 4 != 2 and draw[i] < int(language.TRAINED * (1 << 31))] for lang in words}
+    seen = {c for ts in train.values() for t in ts for c in letters(t)} - {"|"}
+    plain = {lang: plain_model(ts, len(seen)) for lang, ts in train.items()}
+    asked = rows + [(600, "Ωmega ß ŭ the der", None), (601, "q", None), (602, "a b", None)]
+    got = {(x.doc_id, x.text): x for x in language.classify(spark.createDataFrame(asked, docs.schema), model).collect()}
+    assert model.languages == sorted(words) and set(map(chr, model.alphabet)) == seen
+    for i, text, _ in asked:
+        x = got[i, text]
+        if not any(map(str.isalpha, text or "")):
+            assert (x.lang_pred, x.score, x.bits) == ("und", 0.0, 0.0)
+            continue
+        known = ["?" if c != "|" and c not in seen else c for c in letters(text)]
+        full = ["|"] * (language.ORDER - 2) + known
+        bits = {lang: -sum(np.log2(p(tuple(full[k: k + language.ORDER]))) for k in range(len(known) - 1)) / (len(known) - 1) for lang, p in plain.items()}
+        best = min(sorted(bits), key=bits.get)
+        score = 1 / sum(np.exp((bits[best] - b) * language.SHARPNESS) for b in bits.values())
+        assert x.lang_pred == best and x.bits == pytest.approx(bits[best], rel=1e-5) and x.score == pytest.approx(score, rel=1e-4), (text, bits)
+
+
+def test_neighbours_say_nothing(spark):
+    """A text's bits are its own, whatever rows stand beside it in a batch."""
+    texts = [t + end for t, end in zip(invented(1, "abcdef", 40), ["", ".", " -- ", "!?"] * 10, strict=True)]
+    model = language.train(spark.createDataFrame([(i, t, "a") for i, t in enumerate(texts)], "doc_id long, text string, lang string"))
+    together, alone = model.entropies(pa.array(texts))[0], np.concatenate([model.entropies(pa.array([t]))[0] for t in texts])
+    assert together.tolist() == alone.tolist() and model.entropies(pa.array(texts[::-1]))[0][::-1].tolist() == alone.tolist()
+
+
+def test_held_out_texts_are_told(spark):
+    """Of texts that had no part in training, nearly all get their language."""
+    made = {"a": invented(1, "abcdefghijklmno", 300), "b": invented(2, "efghijklmnopqrst", 300), "c": invented(3, "aeioulmnrstdh", 300)}
+    docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate((lang, t) for lang, ts in made.items() for t in ts)], "doc_id long, text string, lang string")
+    got = language.classify(docs, language.train(docs)).where(language.held_out())
+    assert got.count() > 150 and got.where("lang_pred = lang").count() >= 0.98 * got.count()
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], SCHEMA)
     model = language.train(docs)
