@@ -13,7 +13,6 @@ An empty log has no effects; repeated events each count; columns of the log othe
 from __future__ import annotations
 
 import json
-
 from collections.abc import Iterator
 
 import pyarrow as pa
