@@ -25,9 +25,13 @@ from .rules import ACTIVE, GUARD_WORDS, check_term, fold_name, phrase_key
 STATE = """user_id string, part string, term string, preferred string, kind string, note string, trust int, source string, created string,
 updated string, misspelling string, seen int, vetoes int, guard array<string>, key string, seq long, report string"""
 COLUMNS = [c.split()[0] for c in STATE.replace("\n", " ").split(", ")]
+_KINDS = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "array<string>": pa.list_(pa.string())}
+_ARROW = pa.schema([(c.split()[0], _KINDS[c.split()[1]]) for c in STATE.replace("\n", " ").split(", ")])
+#: Rows that are handed out together.
+OUT = 4096
 
 
-def rows(user: str, memory: Memory, reports: Iterable[tuple[int, dict]] = (), mark: int | None = None) -> pd.DataFrame:
+def parts(user: str, memory: Memory, reports: Iterable[tuple[int, dict]] = (), mark: int | None = None) -> list[dict]:
     """The parts of a memory as rows of STATE; seq is `mark` for all but reports."""
     out: list[dict] = []
     for cf, t in sorted(memory.terms.items()):
@@ -36,7 +40,12 @@ def rows(user: str, memory: Memory, reports: Iterable[tuple[int, dict]] = (), ma
         out += [base | {"part": "misspelling", "misspelling": m, "seen": s.seen, "vetoes": s.vetoes, "guard": s.guard, "updated": s.last, "key": phrase_key(m)} for m, s in sorted(t.spellings.items())]
     out += [{"user_id": user, "part": "retired", "term": cf, "preferred": p, "key": k, "updated": ts, "seq": mark} for cf, (p, k, ts) in sorted(memory.retired.items())]
     out += [{"user_id": user, "part": "report", "seq": n, "report": json.dumps(r, ensure_ascii=False)} for n, r in reports]
-    frame = pd.DataFrame(out, columns=COLUMNS)
+    return out
+
+
+def rows(user: str, memory: Memory, reports: Iterable[tuple[int, dict]] = (), mark: int | None = None) -> pd.DataFrame:
+    """The same as a frame."""
+    frame = pd.DataFrame(parts(user, memory, reports, mark), columns=COLUMNS)
     for c in ("trust", "seen", "vetoes", "seq"):
         frame[c] = frame[c].astype("Int64")
     return frame.astype(object).where(frame.notna(), None)
@@ -67,6 +76,13 @@ def keyed(events: DataFrame, others: tuple[str, ...] = ()) -> DataFrame:
     return events.select(F.coalesce(F.col("user_id").cast("string"), F.lit("")).alias("user_id"), "seq", F.col("ts").cast("string"), "type", typed(others=others).alias("payload"))
 
 
+def by_user(rows_: DataFrame) -> DataFrame:
+    """Rows dealt by user to as many parts as a shuffle has. The number is given, as Spark would else join parts of few
+    bytes, and so run a fold, which takes long for its bytes, in a few tasks."""
+    user = F.coalesce(F.col("user_id").cast("string"), F.lit(""))
+    return rows_.repartition(int(rows_.sparkSession.conf.get("spark.sql.shuffle.partitions")), user)
+
+
 def replay(events: DataFrame, words: frozenset[str] = COMMON) -> DataFrame:
     """Every part of the state after the last event, by user; and a report for each event."""
 
@@ -96,23 +112,45 @@ def snapshots(events: DataFrame, words: frozenset[str] = COMMON) -> DataFrame:
 
 def fold_onto(state: DataFrame, events: DataFrame, words: frozenset[str] = COMMON) -> DataFrame:
     """The state of the users that have new events, with a report for each event; events that aren't to be logged have a
-    report of part "refused", all others their payload as it is logged, of part "logged"."""
-
-    def fold(before: pd.DataFrame, log: pd.DataFrame) -> pd.DataFrame:
-        if not len(log):
-            return pd.DataFrame(columns=COLUMNS)
-        memory, said = remembered(before.to_dict("records"), words), {"report": [], "refused": [], "logged": []}
-        for e in log.sort_values("seq").itertuples():
-            payload, refusal = memory.admit(e.type, plain(e.payload))
-            if refusal is None:
-                said["report"].append((e.seq, memory.apply(e.type, payload, str(e.ts))))
-                said["logged"].append((e.seq, as_logged(e.type, payload)))
-            else:
-                said["refused"].append((e.seq, refusal))
-        user = str(log["user_id"].iloc[0])
-        return pd.concat([rows(user, memory), *(rows(user, Memory(words), found).assign(part=part) for part, found in said.items())])
-
-    return state.groupBy("user_id").cogroup(keyed(events).groupBy("user_id")).applyInPandas(fold, STATE)
+    report of part "refused", all others their payload as it is logged, of part "logged".
+
+    A user's state and then new events, in order, go through a task as a stream of batches, in as many tasks as a shuffle
+    has parts: events are small, but each takes its time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[dict] = []
+        user, before, memory = None, [], None
+
+        def batch() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_pylist(out, schema=_ARROW)
+            out.clear()
+            return made
+
+        for rows_ in batches:
+            for of, seq, ts, kind, payload, was in zip(*(c.to_pylist() for c in rows_.columns), strict=True):
+                if of != user:
+                    out += parts(user, memory) if memory else []
+                    user, before, memory = of, [], None
+                if was is not None:
+                    before.append(was)
+                    continue
+                if memory is None:
+                    memory = remembered(before, words)
+                payload, refusal = memory.admit(kind, payload)
+                said = {"refused": refusal} if refusal is not None else {"report": memory.apply(kind, payload, str(ts)), "logged": as_logged(kind, payload)}
+                out += [{"user_id": user, "part": part, "seq": seq, "report": json.dumps(x, ensure_ascii=False)} for part, x in said.items()]
+                if len(out) >= OUT:
+                    yield batch()
+        out += parts(user, memory) if memory else []
+        yield batch()
+
+    new = events.select(F.coalesce(F.col("user_id").cast("string"), F.lit("")).alias("user_id"), "seq", F.col("ts").cast("string"), "type", "payload")
+    types = dict(new.dtypes)
+    old = state.select("user_id", F.struct(*COLUMNS).alias("was")).select("user_id", *(F.lit(None).cast(types[c]).alias(c) for c in new.columns[1:]), "was")
+    both = old.union(new.withColumn("was", F.lit(None).cast(old.schema["was"].dataType)))
+    # payloads are read once they are dealt: a table of few files would have few tasks for it
+    dealt = by_user(both).withColumn("payload", F.when(F.col("was").isNull(), typed())).sortWithinPartitions("user_id", F.col("was").isNull(), "seq", "type", "payload")
+    return dealt.mapInArrow(run, STATE)
 
 
 def terms(state: DataFrame) -> DataFrame:
