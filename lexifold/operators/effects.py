@@ -20,8 +20,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lexicon import COMMON
+from ..sources.shared import kept
 from .kernel import Effect, Memory
-from .memory import keyed, status, trust_fold
+from .memory import by_user, keyed, status, trust_fold
 from .rules import GUARD_WORDS
 
 EFFECTS = """user_id string, seq long, n int, ts string, op string, term string, preferred string, kind string, note string, misspelling string,
@@ -52,7 +53,7 @@ def effects(events: DataFrame, words: frozenset[str] = COMMON) -> DataFrame:
             columns = zip(*out, strict=True) if out else [[]] * len(_ARROW)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _ARROW.types, strict=True)], schema=_ARROW)
 
-    return keyed(events).repartition("user_id").sortWithinPartitions("user_id", "seq", "type", "payload").mapInArrow(run, EFFECTS)
+    return keyed(by_user(events)).sortWithinPartitions("user_id", "seq", "type", "payload").mapInArrow(run, EFFECTS)
 
 
 _TERM = ["user_id", "term"]
@@ -62,6 +63,11 @@ def _place() -> Column:
     return F.struct("seq", "n")
 
 
+def held(of: DataFrame, ops: tuple[str, ...], *columns: str) -> DataFrame:
+    """Effects of some ops, kept: they are read several times, and each time would be another fold of the log."""
+    return kept(of.where(F.col("op").isin(*ops)).select(*_TERM, "seq", "n", "ts", "op", *columns))
+
+
 def living(of: DataFrame) -> DataFrame:
     """Effects on terms since each was last deleted."""
     gone = of.where("op = 'delete'").groupBy(*_TERM).agg(F.max(_place()).alias("gone"))
@@ -75,7 +81,8 @@ def _last(column: str) -> Column:
 
 def terms(of: DataFrame) -> DataFrame:
     """Columns as memory.terms has them."""
-    alive = living(of).where("op <> 'signal'")
+    of = held(of, ("add", "new", "set", "bump", "delete"), "preferred", "kind", "note", "key", "value")
+    alive = living(of)
     about = alive.groupBy(*_TERM).agg(
         _last("preferred"), _last("kind"), _last("note"), _last("key"), F.min_by("op", _place()).alias("first"), F.min_by("ts", _place()).alias("created"), F.max_by("ts", _place()).alias("updated"))
     trust = trust_fold(alive.select(*_TERM, "seq", "n", "op", "value"), tuple(_TERM))
@@ -86,7 +93,8 @@ def terms(of: DataFrame) -> DataFrame:
 def misspellings(of: DataFrame) -> DataFrame:
     """Columns as memory.misspellings has them. A guard is the words of the latest vetoes, GUARD_WORDS at most."""
     spelled = [*_TERM, "misspelling"]
-    signals = living(of).where("op = 'signal'")
+    of = held(of, ("signal", "delete"), "misspelling", "seen", "vetoes", "guard", "key")
+    signals = living(of)
     counts = signals.groupBy(*spelled).agg(F.sum("seen").cast("int").alias("seen"), F.sum("vetoes").cast("int").alias("vetoes"), F.max_by("ts", _place()).alias("last_ts"), F.first("key").alias("key"))
     words = signals.select(*spelled, "seq", "n", F.explode("guard").alias("word")).groupBy(*spelled, "word").agg(F.max(_place()).alias("at"))
     latest = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("at.seq")).alias("s"), (-F.col("at.n")).alias("n"), "word"))), 1, GUARD_WORDS)
@@ -97,6 +105,7 @@ def misspellings(of: DataFrame) -> DataFrame:
 
 def retired(of: DataFrame) -> DataFrame:
     """Columns as memory.retired has them: terms deleted that no later add lifts, by name or by key."""
+    of = held(of, ("add", "delete"), "preferred", "key")
     gone = of.where("op = 'delete'").groupBy(*_TERM).agg(F.max_by(F.struct("preferred", "key", "ts"), _place()).alias("was"), F.max(_place()).alias("at")).select(*_TERM, "was.*", "at")
     added = of.where("op = 'add'")
     by_name, by_key = (added.groupBy("user_id", c).agg(F.max(_place()).alias(f"by_{c}")) for c in ("term", "key"))
