@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.lexicon import COMMON
+from ..sources.shared import kept
 from . import correct, memory
 from .judge import Judge, judged
 
@@ -60,7 +61,8 @@ def percentiles(rows: DataFrame, by: str, value: str, qs: tuple[int, ...] = (50,
     the two values of a percentile stand; only those ranges are sorted.
     """
     v = rows.where(F.col(value).isNotNull()).groupBy(by, F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    edges = v.groupBy(by).agg(F.percentile_approx("v", [i / RANGES for i in range(1, RANGES)], 1000).alias("edges"), F.sum("c").alias("n"))
+    # kept, as two runs of the same sketch may cut elsewhere, and all that follows has to see the same ranges
+    edges = kept(v.groupBy(by).agg(F.percentile_approx("v", [i / RANGES for i in range(1, RANGES)], 1000).alias("edges"), F.sum("c").alias("n")))
     ranged = v.alias("v").join(edges.alias("e"), F.col(f"v.{by}").eqNullSafe(F.col(f"e.{by}"))).select(F.col(f"v.{by}").alias("g"), "v", "c", "n", F.size(F.filter("edges", lambda x: x < F.col("v"))).alias("range"))
     sums = ranged.groupBy("g", "range", "n").agg(F.sum("c").alias("c"))
     past = F.coalesce(F.sum("c").over(Window.partitionBy("g").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
