@@ -8,28 +8,38 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .kernel import Comparison
 
+#: Edits that are handed out together.
+OUT = 2048
 PAIRS = "n int, old string, new string, start int"
 
 
+def edits_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edits of batches (key, before, after), handed out as they come: texts may have many times their rows of them."""
+    for b in batches:
+        at, out = [], []
+        for row in range(b.num_rows):
+            found = list(Comparison(b.column(1)[row].as_py(), b.column(2)[row].as_py()).edits())
+            at += [row] * len(found)
+            out += [(n, *e) for n, e in enumerate(found)]
+            if out and (len(out) >= OUT or row + 1 == b.num_rows):
+                columns = [b.column(0).take(pa.array(at)), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.string(), pa.string(), pa.int32()), strict=True))]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "n", "old", "new", "start"])
+                at, out = [], []
+
+
 def edit_pairs(texts: DataFrame, key: str, before: str = "formatted", after: str = "final") -> DataFrame:
     """key, n (from 0 in each row), old, new and start: words of the text before and the one word in their place, and where
     that begins. Words changed one for one, be it in case, and two words made one; longer changes say nothing of words."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(k, n, *e) for k, x, y in zip(b["key"], b["before"], b["after"], strict=True) for n, e in enumerate(Comparison(x, y).edits())]
-            yield pd.DataFrame(rows, columns=["key", "n", "old", "new", "start"])
-
     either = [F.coalesce(c, F.lit("")).alias(n) for c, n in ((before, "before"), (after, "after"))]
     differ = texts.select(F.col(key).alias("key"), *either).where("before <> after")
-    return differ.mapInPandas(run, f"key {dict(texts.dtypes)[key]}, {PAIRS}").withColumnRenamed("key", key)
+    return differ.mapInArrow(edits_of, f"key {dict(texts.dtypes)[key]}, {PAIRS}").withColumnRenamed("key", key)
 
 
 def placed(spans: DataFrame, by: list[str], start: str = "start", end: str = "end", applied: str = "applied") -> DataFrame:
